@@ -6,18 +6,34 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules
+from . import quality_rules, token_store, url_filter
 from .common import table
 
 
+def vocabulary(name: str) -> str:
+    """Where the public tokenizers' files are on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.evaluate(url_filter.captures_of(pages), url_filter.list_of(pages))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.quality(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", *quality_rules.BASE, "base_failed", "kept")
 
 
+def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.token_store(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_quality_rules": op4_quality_rules}
+    return {f.__name__: f for f in (op1_url_filter, op4_quality_rules, op7_token_store)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": quality_rules.duckdb_sql()}
+    return {"op1_url_filter": url_filter.DUCKDB_SQL, "op4_quality_rules": quality_rules.duckdb_sql()}
