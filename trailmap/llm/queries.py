@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import quality_rules, token_store, url_filter
+from . import quality_rules, token_store, toxicity, url_filter
 from .common import table
 
 
@@ -22,6 +23,19 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.evaluate(url_filter.captures_of(pages), url_filter.list_of(pages))
 
 
+def learnable(ident: str = "doc_id") -> Column:
+    """Rows that the toxicity query may learn from; the rest is held out."""
+    return F.crc32(F.col(ident).cast("string").cast("binary")) % 3 != 1
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").where(learnable()))
+    rows = toxicity.score(docs, model)
+    held_out = F.coalesce(~learnable(), F.lit(False))
+    return rows.select("doc_id", held_out.alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= 0.7).cast("int").alias("predicted"), F.col("toxic_threshold").alias("lang_threshold"), F.col("is_toxic").cast("int").alias("lang_predicted"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.quality(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", *quality_rules.BASE, "base_failed", "kept")
@@ -32,7 +46,7 @@ def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op4_quality_rules, op7_token_store)}
+    return {f.__name__: f for f in (op1_url_filter, op2_toxicity, op4_quality_rules, op7_token_store)}
 
 
 def oracle_sql() -> dict[str, str]:
