@@ -3,10 +3,10 @@
 A shard holds documents in ascending order of their key. File layout, all numbers little-endian:
 
     block*     entries, then a crc32 of them (4 bytes)
-    entry      varint shared, varint unshared, varint ids; the key's unshared bytes; the ids as uint32
+    entry      varint shared, varint unshared, varint ids; the key's unshared bytes; the ids as uint16 or, if the writer is told so, uint32
     index      for each block: u64 offset, u32 length, u32 entries, u64 ids before it in the shard, u16 key length, first key
     bloom      bits of a Bloom filter over the keys
-    footer     u64 index offset, u64 index length, u64 bloom offset, u64 bloom bits, u64 entries, u64 ids, u32 crc32 of index and bloom, MAGIC
+    footer     u64 index offset, u64 index length, u64 bloom offset, u64 bloom bits, u64 entries, u64 ids, u32 bytes an id, u32 crc32 of index and bloom, MAGIC
 
 Keys are prefix-compressed against the entry before them and whole at a block's start, so
 a reader needs the footer, the sparse index and one block to find a document. A key is a
@@ -20,7 +20,10 @@ further columns of the input are not looked at.
 
 from __future__ import annotations
 
+import array
 import bisect
+import functools
+import itertools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -35,12 +38,14 @@ from pyspark.sql import functions as F
 from .common import ragged, text_chunks, word_codes, work_dir
 
 MAGIC = b"TRAILSST"
-FOOTER = struct.Struct("<QQQQQQI8s")
+FOOTER = struct.Struct("<QQQQQQII8s")
 INDEX = struct.Struct("<QIIQH")
 BLOCK_BYTES = 64 << 10
 BLOOM_BITS, BLOOM_PROBES = 10, 7
 #: Words whose ids a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 400_000
+#: Text that is encoded at once.
+CODED_BYTES = 8 << 20
 
 
 def key_of(ident: int | None) -> bytes:
@@ -80,8 +85,8 @@ def probes(key: bytes, bits: int) -> list[int]:
 class ShardWriter:
     """Writes one shard from documents in ascending key order; holds a block, the sparse index and 9 bytes a key."""
 
-    def __init__(self, out, block_bytes: int = BLOCK_BYTES):
-        self.out, self.block_bytes = out, block_bytes
+    def __init__(self, out, width: int = 2, block_bytes: int = BLOCK_BYTES):
+        self.out, self.width, self.block_bytes = out, width, block_bytes
         self.at = self.ids = self.entries = 0
         self.index, self.keys, self.block, self.size, self.last, self.began = [], [], [], 0, b"", None
 
@@ -93,7 +98,7 @@ class ShardWriter:
             shared = 0
         else:
             shared = next((i for i, (x, y) in enumerate(zip(key, self.last, strict=False)) if x != y), min(len(key), len(self.last)))
-        entry = varint(shared) + varint(len(key) - shared) + varint(len(ids)) + key[shared:] + ids.astype("<u4").tobytes()
+        entry = varint(shared) + varint(len(key) - shared) + varint(len(ids)) + key[shared:] + ids.astype(f"<u{self.width}").tobytes()
         self.block.append(entry)
         self.size += len(entry)
         self.keys.append(key)
@@ -121,7 +126,7 @@ class ShardWriter:
             for p in probes(key, bits):
                 bloom[p >> 3] |= 1 << (p & 7)
         self.out.write(index + bytes(bloom))
-        self.out.write(FOOTER.pack(self.at, len(index), self.at + len(index), bits, self.entries, self.ids, zlib.crc32(index + bytes(bloom)), MAGIC))
+        self.out.write(FOOTER.pack(self.at, len(index), self.at + len(index), bits, self.entries, self.ids, self.width, zlib.crc32(index + bytes(bloom)), MAGIC))
 
 
 class ShardReader:
@@ -130,7 +135,7 @@ class ShardReader:
     def __init__(self, file, size: int):
         self.file = file
         file.seek(size - FOOTER.size)
-        at, length, bloom_at, self.bits, self.entries, self.ids, crc, magic = FOOTER.unpack(file.read(FOOTER.size))
+        at, length, bloom_at, self.bits, self.entries, self.ids, self.width, crc, magic = FOOTER.unpack(file.read(FOOTER.size))
         if magic != MAGIC:
             raise ValueError("not a shard")
         file.seek(at)
@@ -158,8 +163,8 @@ class ShardReader:
             n, at = read_varint(data, at)
             key = key[:shared] + data[at : at + unshared]
             at += unshared
-            yield key, np.frombuffer(data, "<u4", n, at)
-            at += 4 * n
+            yield key, np.frombuffer(data, f"<u{self.width}", n, at).astype("<u4")
+            at += self.width * n
 
     def __iter__(self) -> Iterator[tuple[bytes, np.ndarray]]:
         for i in range(len(self.blocks)):
@@ -181,30 +186,59 @@ class WordEncoder:
     """Ids of whole texts, encoding each distinct word once.
 
     The vocabulary drops white space and no token crosses it, so a text's ids are those of
-    its words in order. Remembered words are forgotten at REMEMBERED.
+    its words in order; nor does one cross from letters to a full stop or comma, and case
+    is folded, so ASCII words that differ in these share their letters' ids. Remembered
+    words are kept in two generations: those not met again while REMEMBERED new ones come
+    are forgotten.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.seen = Tokenizer.from_file(path), {}
+        self.tokenizer, self.young, self.old = Tokenizer.from_file(path), {"": b""}, {}
+        if self.tokenizer.get_vocab_size() > 1 << 16:
+            raise ValueError("ids of this vocabulary don't fit 16 bits")
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        out = []
+        for at in range(0, len(texts), 20_000):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts[at : at + 20_000], add_special_tokens=False)]
+            flat, ends = array.array("H", itertools.chain.from_iterable(found)).tobytes(), [0, *itertools.accumulate(map(len, found))]
+            out += [flat[2 * a : 2 * b] for a, b in itertools.pairwise(ends)]
+        return out
 
     def of_words(self, distinct: list[str]) -> list[bytes]:
-        if len(self.seen) > REMEMBERED:
-            self.seen.clear()
-        seen, new = self.seen, [w for w in distinct if w not in self.seen]
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            seen.update(zip(part, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True))
-        return [seen[w] for w in distinct]
+        if len(self.young) > REMEMBERED:
+            self.young, self.old = {"": b""}, self.young
+        young, old = self.young, self.old
+        ids = list(map(young.get, distinct))
+        split: list[tuple[int, str, str]] = []  # of words not known: place, what is encoded, what follows it
+        for i in [i for i, x in enumerate(ids) if x is None]:
+            w, end = distinct[i], ""
+            if w in old:
+                ids[i] = young[w] = old[w]
+                continue
+            if w.isascii():
+                end = w[-1] if w[-1] in ".," else ""
+                stem = w[: len(w) - len(end)]
+                w, end = (stem.lower(), end) if stem.isalpha() else (w, "")
+            split.append((i, w, end))
+        for part in {w for _, w, _ in split} | {end for _, _, end in split}:
+            if part not in young and part in old:
+                young[part] = old[part]
+        wanted = [x for x in {w for _, w, _ in split} | {end for _, _, end in split} if x not in young]
+        young.update(zip(wanted, self.encode(wanted), strict=True))
+        for i, w, end in split:
+            ids[i] = young[w] + young[end]
+        return ids
 
     def __call__(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by `end_id`, and where each text's begin (one entry more)."""
         codes, offsets, distinct = word_codes(texts)
         pieces = self.of_words(distinct)
-        flat = np.frombuffer(b"".join(pieces), "<u4")
-        sizes = np.fromiter((len(p) // 4 for p in pieces), np.int64, len(pieces))
-        sizes, flat = np.append(sizes, 1), np.append(flat, np.uint32(end_id))
+        flat = np.frombuffer(b"".join(pieces), np.uint16)
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 2
+        sizes, flat = np.append(sizes, 1), np.append(flat, np.uint16(end_id))
         starts = np.cumsum(sizes) - sizes
         with_end = np.insert(codes.astype(np.int64), offsets[1:], len(pieces))
         counts = sizes[with_end]
@@ -213,6 +247,12 @@ class WordEncoder:
         return ids, bounds
 
 
+@functools.cache
+def encoder(path: str) -> WordEncoder:
+    """One for a worker process, which goes on to further tasks with what it remembers."""
+    return WordEncoder(path)
+
+
 def write_shards(docs: DataFrame, out: str, tokenizer: str, end_id: int = 1, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """Writes the shards under `out` and returns a row for each: shard, path, low, n_docs, n_ids (lazy: an action writes).
 
@@ -226,7 +266,7 @@ def write_shards(docs: DataFrame, out: str, tokenizer: str, end_id: int = 1, ide
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode = WordEncoder(tokenizer)
+        encode = encoder(tokenizer)
         task = TaskContext.get()
         fs, folder = pafs.FileSystem.from_uri(out)
         fs.create_dir(folder, recursive=True)
@@ -234,7 +274,7 @@ def write_shards(docs: DataFrame, out: str, tokenizer: str, end_id: int = 1, ide
         hidden = f"{folder}/.{task.partitionId():06d}-{task.taskAttemptId()}"
         low, writer = None, None
         with fs.open_output_stream(hidden) as stream:
-            for batch in text_chunks(batches):
+            for batch in text_chunks(batches, most=CODED_BYTES):
                 ids, bounds = encode(batch.column("text"), end_id)
                 for i, x in enumerate(batch.column("ident").to_pylist()):
                     if writer is None:
