@@ -1,20 +1,47 @@
-"""N-gram Jaccard self-join by PartEnum signatures, exact, down to classes of linked documents."""
+"""N-gram Jaccard self-join by PartEnum signatures, exact, down to classes of linked documents.
+
+The feature domain is cut into partitions of parts; subsets of a partition's parts are
+enumerated, and sets that are similar enough share the content of one subset at least.
+Sizes come in bands, with a scheme each. Documents that share a signature are candidates;
+sketches that never overstate a difference drop most of them, and the rest are compared
+exactly.
+
+Few documents with a signature are paired at once. Where there are more, each is paired
+with the group's first; when the links so found have joined documents to components, the
+pairs across components are tested too, block by block, so no link is lost and no group
+is ever spread out as all its pairs.
+
+Defined cases: a null or empty text has no shingles and no links; equal sets are linked;
+rows with one id are one document that has the links of all of them; null ids take no part
+in naming components: their rows get the component of equal sets, or null; an empty table
+gives an empty result; further columns of the input are not looked at.
+"""
 
 from __future__ import annotations
 
 import functools
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import hash_words, mix64, word_codes
+from .components import components
+from .common import hash_words, materialise, mix64, text_chunks, word_codes
 
 #: Ratio of a size band's ends.
-BAND = 1.6
-#: Up to this size, subsets of two out of three parts are enumerated, beyond it one out of two.
-THREE_PARTS = 200
+BAND = 1.2
+#: Up to this many differing features, subsets of half of four parts are enumerated; beyond it, one part of two.
+FOUR_PARTS = 24
+
+#: Documents of a signature that are paired with each other at once; more are first paired with one.
+FEW = 32
+#: Documents of a larger group that are compared in a task with as many others.
+BLOCK = 2048
 
 
 def shingle_sets(texts: pa.Array, n: int, seen: dict[str, int]) -> list[np.ndarray]:
@@ -59,31 +86,28 @@ def band_ends(i: int) -> tuple[int, int]:
 
 @functools.cache
 def scheme(i: int, num: int, den: int) -> tuple[int, int, int]:
-    """For pairs whose larger set is in band i: (first-level partitions, parts of each, deficient partitions allowed).
+    """For pairs whose larger set is in band i: (partitions, parts of each, deficient partitions allowed).
 
     With similarity num / den or more, sets of sizes a <= b differ in at most
-    (den - num) * (a + b) / (den + num) features, so in at most k over the band. Of n1
-    partitions, those with more than one part that differs (two-part: any) are at most
-    k // 2; so spare + 1 partitions or more hold a subset of parts that agrees.
+    (den - num) * (a + b) / (den + num) features, so in at most k over the band. Of the
+    partitions, at most k // (parts // 2 + 1) have more than half of their parts differing,
+    so the others, spare + 1 or more, hold a subset of half of the parts that agrees.
     """
     low, high = band_ends(i)
     k = (den - num) * 2 * high // (den + num)
-    parts = 3 if high <= THREE_PARTS else 2
-    smallest = max(1, -(-low * num // den))
-    spare = 0
-    while True:
-        n1 = k // 2 + 1 + spare
-        rate = smallest / (n1 * parts)
-        # chance that a partition of the smallest set has an empty subset (one part of two, two of three)
-        p = min(1.0, 2 * math.exp(-rate) if parts == 2 else 3 * math.exp(-2 * rate))
-        mean = n1 * p
-        term = tail = math.exp(-mean)
-        for j in range(1, spare + 1):
-            term *= mean / j
-            tail += term
-        if 1 - tail <= 1e-4 or spare >= 4 + 2 * n1 // 3:
-            return n1, parts, spare
-        spare += 1
+    parts = 4 if k <= FOUR_PARTS else 2
+    subsets, smallest = (6 if parts == 4 else 2), max(1, -(-low * num // den))
+    best = None
+    for spare in range(0, 2 + k // 4):
+        n1 = k // (parts // 2 + 1) + 1 + spare
+        # mean number of partitions of the smallest set with an empty subset, and the chance that there are more than `spare`
+        mean = n1 * min(1.0, subsets * math.exp(-smallest / (2 * n1)))
+        tail = 1 - sum(math.exp(-mean + j * math.log(mean) - math.lgamma(j + 1)) for j in range(spare + 1))
+        if best is None or tail < best[0]:
+            best = (tail, (n1, parts, spare))
+        if tail <= 1e-3:
+            break
+    return best[1]
 
 
 def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -91,36 +115,52 @@ def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
 
     A set takes part in the scheme of its own band and, if it may have a partner there, of
     the next. Each part's content is a sum of hashes; a signature is a subset of a
-    partition's parts. Empty subsets say nothing and are left out, unless so many
-    partitions have one that the guarantee needs them.
+    partition's parts. Empty subsets say nothing and are left out: of spare + 1 agreeing
+    partitions, one has no empty subset. Where more than `spare` have one, which is rare,
+    the guarantee needs the empty ones, and they are kept.
     """
     size = len(s)
     if not size:
         return np.zeros(0, np.uint64)
     own, found = band_of(size), []
-    mixed = mix64(s)
+    sums_to = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix64(s))))
     for i in (own, own + 1):
         if i > own and size * den < band_ends(i)[0] * num:
             continue
         n1, parts, spare = scheme(i, num, den)
-        n = n1 * parts
-        # sets are sorted, so a part is a run of them
-        at = np.searchsorted(s, cuts(n))
-        sums = np.add.reduceat(np.append(mixed, np.uint64(0)), np.minimum(at, size))
-        filled = np.diff(np.append(at, size)) > 0
-        sums[~filled] = 0
-        sums, filled = sums.reshape(n1, parts), filled.reshape(n1, parts)
+        at = np.append(np.searchsorted(s, cuts(n1 * parts)), size)  # sets are sorted, so a part is a run of them
+        sums, sizes = np.diff(sums_to[at]).reshape(n1, parts), np.diff(at).reshape(n1, parts)
         if parts == 2:
-            subs, some = sums, filled
+            subs, some = sums, sizes > 0
         else:
-            with np.errstate(over="ignore"):
-                subs = np.stack([sums[:, 0] + sums[:, 1], sums[:, 0] + sums[:, 2], sums[:, 1] + sums[:, 2]], axis=1)
-            some = np.stack([filled[:, 0] | filled[:, 1], filled[:, 0] | filled[:, 2], filled[:, 1] | filled[:, 2]], axis=1)
-        keep = some if (~some).any(axis=1).sum() <= spare else np.ones_like(some)
-        found.append(mix64(subs.ravel() ^ names(i, n))[keep.ravel()])
+            subs = np.stack([sums[:, a] + sums[:, b] for a, b in PAIRS], axis=1)
+            some = np.stack([sizes[:, a] + sizes[:, b] > 0 for a, b in PAIRS], axis=1)
+        names_ = names(i, subs.size)
+        if (~some).any(axis=1).sum() <= spare:
+            found.append(mix64(subs[some] ^ names_[some.ravel()]))
+        else:
+            found.append(mix64(subs.ravel() ^ names_))
     return np.concatenate(found)
 
 
+PAIRS = ((0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3))
+
+
+def sketch(s: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Parities of the set's features by hash slot, as packed bits.
+
+    A feature that only one of two sets has turns one bit, so sketches of one length never
+    differ in more bits than their sets differ in features. The length follows the band.
+    """
+    bits = sketch_bits(band_of(len(s)))
+    slots = (mix64(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)) % np.uint64(bits)).astype(np.int64)
+    return np.packbits(np.bincount(slots, minlength=bits).astype(np.uint8) & 1)
+
+
+def sketch_bits(band: int) -> int:
+    return max(64, 1 << (2 * band_ends(band)[1] - 1).bit_length())
+
+
 @functools.lru_cache(512)
 def cuts(n: int) -> np.ndarray:
     """Where each of n equal parts of the 64-bit domain begins."""
@@ -131,3 +171,258 @@ def cuts(n: int) -> np.ndarray:
 def names(i: int, n: int) -> np.ndarray:
     """A number of its own for each subset of band i."""
     return mix64(np.arange(n, dtype=np.uint64) + np.uint64((i + 1) << 32))
+
+
+def cut_text(docs: DataFrame, ident: str, text: str) -> DataFrame:
+    return docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text"))
+
+
+def described(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(doc_id, n_shingles, digest, sketch) of documents; digest and sketch are null for empty sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, int] = {}
+        for batch in text_chunks(batches):
+            sets = shingle_sets(batch.column("text"), n, seen)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s) if len(s) else None for s in sets], pa.binary()), pa.array([sketch(s, num, den).tobytes() if len(s) else None for s in sets], pa.binary())],
+                ["doc_id", "n_shingles", "digest", "sketch"],
+            )
+
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, sketch binary")
+
+
+SIGNED = np.dtype([("sig", "<u8"), ("doc", "<i8"), ("size", "<i4")])
+
+
+def signed(docs: DataFrame, n: int, num: int, den: int, buckets: int) -> DataFrame:
+    """(bucket, rows): signatures by range, packed. Of equal sets in a task, the first one signs for all.
+
+    Where a task has more than FEW documents for a signature, only its first goes to the
+    signature's own bucket, with a negative size as mark. The others go to buckets by their
+    id, as pairs with it, so that no bucket has more than FEW rows of a signature from a task.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, int] = {}
+        met: set[bytes] = set()
+        held, count = [], 0
+        for batch in text_chunks(batches):
+            for doc, s in zip(batch.column("doc_id").to_pylist(), shingle_sets(batch.column("text"), n, seen), strict=True):
+                if doc is None or not len(s) or (d := xxhash.xxh3_128_digest(s)) in met:
+                    continue
+                if len(met) < 1_000_000:
+                    met.add(d)
+                sigs = signatures(s, num, den)
+                rows = np.empty(len(sigs), SIGNED)
+                rows["sig"], rows["doc"], rows["size"] = sigs, doc, len(s)
+                held.append(rows)
+                count += len(rows)
+            if count > 3_000_000:
+                yield from dealt(np.concatenate(held), buckets)
+                held, count = [], 0
+        if count:
+            yield from dealt(np.concatenate(held), buckets)
+
+    return docs.mapInArrow(run, "bucket int, kind int, rows binary")
+
+
+def packed(bucket: np.ndarray, kind: int, rows: np.ndarray) -> pa.RecordBatch:
+    """Rows by bucket; each column's bytes together, as they compress better."""
+    at = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    cut = [b"".join(rows[f][a:z].tobytes() for f in rows.dtype.names) for a, z in zip(at, np.append(at[1:], len(rows)), strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[at], pa.int32()), pa.array([kind] * len(at), pa.int32()), pa.array(cut, pa.binary())], ["bucket", "kind", "rows"])
+
+
+def unpacked(data: bytes, dtype: np.dtype) -> np.ndarray:
+    n, at = len(data) // dtype.itemsize, 0
+    out = np.empty(n, dtype)
+    for f in dtype.names:
+        part = dtype[f]
+        out[f] = np.frombuffer(data, part, n, at)
+        at += n * part.itemsize
+    return out
+
+
+def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of runs of equal values."""
+    at = np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.zeros(0, np.int64)
+    return at, np.diff(np.append(at, len(values)))
+
+
+def dealt(rows: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    rows = rows[np.lexsort((rows["doc"], rows["sig"]))]
+    at, length = runs(rows["sig"])
+    many = np.repeat(length > FEW, length)
+    if many.any():
+        first = np.zeros(len(rows), bool)
+        first[at] = True
+        led = rows[many & ~first]
+        pairs = np.empty(len(led), PAIRED)
+        pairs["sig"], pairs["b"] = led["sig"], led["doc"]
+        pairs["a"] = np.repeat(rows["doc"][at], length)[many & ~first]
+        to = (mix64(led["doc"].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        yield packed(to[order], 1, pairs[order])
+        rows["size"][many & first] *= -1
+        rows = rows[~many | first]
+    yield packed(((rows["sig"] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64), 0, rows)
+
+
+PAIRED = np.dtype([("sig", "<u8"), ("a", "<i8"), ("b", "<i8")])
+
+
+def matched(packs: DataFrame, buckets: int, num: int, den: int) -> DataFrame:
+    """(sig, a, b): candidate pairs a < b, with sig where b is one of a larger group, and (sig, a, a) for its first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for batch in batches:
+            for kind, data in zip(batch.column("kind").to_pylist(), batch.column("rows").to_pylist(), strict=True):
+                if kind:
+                    p = unpacked(data, PAIRED)
+                    yield pairs_batch(p["a"], p["b"], p["sig"])
+                else:
+                    held.append(unpacked(data, SIGNED))
+        if not held:
+            return
+        rows = np.concatenate(held)
+        del held
+        rows = rows[np.lexsort((rows["doc"], rows["sig"]))]
+        at, length = runs(rows["sig"])
+        marked = np.add.reduceat(rows["size"] < 0, at) > 0
+        doc, size = rows["doc"], np.abs(rows["size"])
+        large = marked | (length > FEW)
+        for a, n in zip(at[large], length[large], strict=True):
+            yield pairs_batch(np.repeat(doc[a], n), doc[a : a + n], np.repeat(rows["sig"][a], n))
+        found = []
+        for step in range(1, FEW):  # in small groups, each with the one `step` further on
+            i = np.repeat(at[~large & (length > step)], (length - step)[~large & (length > step)])
+            if not len(i):
+                break
+            i = i + (np.arange(len(i)) - np.repeat(np.cumsum(length[~large & (length > step)] - step) - (length[~large & (length > step)] - step), (length - step)[~large & (length > step)]))
+            j = i + step
+            fit = (size[i].astype(np.int64) * den >= size[j].astype(np.int64) * num) & (size[j].astype(np.int64) * den >= size[i].astype(np.int64) * num) & (doc[i] != doc[j])
+            found.append(np.unique(np.stack([doc[i[fit]], doc[j[fit]]], axis=1), axis=0))
+        if found:
+            pairs = np.unique(np.concatenate(found), axis=0)
+            yield pairs_batch(pairs[:, 0], pairs[:, 1], None)
+
+    return packs.repartition(buckets, "bucket").mapInArrow(run, "sig long, a long, b long")
+
+
+def pairs_batch(a: np.ndarray, b: np.ndarray, sig: np.ndarray | None) -> pa.RecordBatch:
+    named = pa.nulls(len(a), pa.int64()) if sig is None else pa.array(sig.view(np.int64) if sig.flags.c_contiguous else sig.copy().view(np.int64), pa.int64())
+    return pa.RecordBatch.from_arrays([named, pa.array(np.ascontiguousarray(a), pa.int64()), pa.array(np.ascontiguousarray(b), pa.int64())], ["sig", "a", "b"])
+
+
+def folded(x: bytes, to: int) -> int:
+    """A sketch as a number, shortened to `to` bytes."""
+    v, n = int.from_bytes(x, "little"), len(x)
+    while n > to:
+        n //= 2
+        v = (v >> (8 * n)) ^ (v & ((1 << (8 * n)) - 1))
+    return v
+
+
+def may_link(x: bytes, nx: int, y: bytes, ny: int, num: int, den: int) -> bool:
+    """False only if the sets certainly aren't similar enough."""
+    if nx * den < ny * num or ny * den < nx * num:
+        return False
+    to = min(len(x), len(y))
+    return (folded(x, to) ^ folded(y, to)).bit_count() * (den + num) <= (den - num) * (nx + ny)
+
+
+def sketched(pairs: DataFrame, rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) that their sketches don't rule out."""
+    side = lambda c: rows.where("sketch IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [may_link(x, nx, y, ny, num, den) for x, nx, y, ny in zip(*(batch.column(c).to_pylist() for c in ("sa", "na", "sb", "nb")), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("a", "b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "sa", "nb", "sb").mapInArrow(run, "a long, b long")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) whose sets are similar enough, compared exactly from the whole texts."""
+    side = lambda c: docs.select(F.col("doc_id").alias(c), F.col("text").alias(f"t{c}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, int] = {}
+        for whole in batches:
+            for batch in text_chunks(iter([whole]), "tb"):
+                left, which = [], []
+                for a in batch.column("a").to_pylist():  # rows of one a come together
+                    if not left or left[-1] != a:
+                        left.append(a)
+                    which.append(len(left) - 1)
+                starts = [which.index(i) for i in range(len(left))]
+                sa = shingle_sets(batch.column("ta").take(pa.array(starts)), n, seen)
+                sb = shingle_sets(batch.column("tb"), n, seen)
+                keep = []
+                for i, y in zip(which, sb, strict=True):
+                    x = sa[i]
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    keep.append(both > 0 and den * both >= num * (len(x) + len(y) - both))
+                yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("a", "b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+
+
+def across(groups: DataFrame, labels: DataFrame, rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) within large groups (sig, doc_id), across components, that sketches don't rule out.
+
+    Groups that lie in one component are done. The others are dealt into blocks by hash and
+    each pair of blocks is compared in a task of its own.
+    """
+    own = groups.join(labels, "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id")).select("sig", "doc_id", "c")
+    open_ = own.groupBy("sig").agg(F.count(F.lit(1)).alias("g"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("sig", F.ceil(F.col("g") / BLOCK).cast("int").alias("nb"))
+    held = own.join(open_, "sig").withColumn("i", F.pmod(F.xxhash64("doc_id"), F.col("nb")).cast("int"))
+    held = held.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("sig", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "doc_id", "c")
+    held = held.join(rows.where("sketch IS NOT NULL").select("doc_id", F.col("n_shingles").alias("size"), "sketch"), "doc_id")
+
+    def compare(key, table):
+        lo, hi = key[1].as_py(), key[2].as_py()
+        i, doc, c, size = (table.column(x).to_numpy() for x in ("i", "doc_id", "c", "size"))
+        raw = table.column("sketch").to_pylist()
+        to = min(map(len, raw))
+        bits = np.frombuffer(b"".join(folded(x, to).to_bytes(to, "little") for x in raw), np.uint64 if to % 8 == 0 else np.uint8).reshape(len(raw), -1)
+        found = []
+        for p in range(len(raw)):
+            q = np.flatnonzero((i == hi) & (doc > doc[p]) & (c != c[p])) if lo == hi else np.flatnonzero((i == hi) & (c != c[p])) if i[p] == lo else []
+            if not len(q):
+                continue
+            differ = np.bitwise_count(bits[q] ^ bits[p]).sum(axis=1, dtype=np.int64)
+            q = q[(differ * (den + num) <= (den - num) * (size[q] + size[p])) & (size[q] * den >= size[p] * num) & (size[p] * den >= size[q] * num)]
+            found.append(np.stack([np.minimum(doc[q], doc[p]), np.maximum(doc[q], doc[p])], axis=1))
+        both = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+        return pa.table({"a": both[:, 0], "b": both[:, 1]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+    return held.groupBy("sig", "lo", "hi").applyInArrow(compare, "a long, b long").distinct()
+
+
+def linked_classes(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, ident: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of `docs`.
+
+    Documents link when num / den of their sets' union or more is shared; the component is
+    the smallest id reachable by links. Ids move as numbers, signatures once, and texts only
+    to be compared with candidates.
+    """
+    own = cut_text(docs, ident, text)
+    rows = materialise(described(own, n, num, den), "described")
+    total = rows.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    buckets = max(8, int(total // 2_000_000))
+    found = materialise(matched(signed(own, n, num, den, buckets), buckets, num, den), "matched")
+    near = sketched(found.where("a < b").select("a", "b").distinct(), rows, num, den)
+    named = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("named"))
+    same = rows.where("digest IS NOT NULL AND doc_id IS NOT NULL").join(named, "digest").where("doc_id > named").select(F.col("doc_id").alias("a"), F.col("named").alias("b"))
+    links = materialise(verified(near, own, n, num, den).unionAll(same), "links")
+    labels = components(links, "a", "b")
+    groups = found.where("sig IS NOT NULL").select("sig", F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    more = materialise(verified(across(groups, labels, rows, num, den), own, n, num, den), "more-links")
+    if not more.isEmpty():
+        labels = components(links.unionAll(more), "a", "b")
+    of_class = named.join(labels, named["named"] == labels["doc_id"], "left").select("digest", F.coalesce("component", "named").alias("component"))
+    return rows.join(of_class, "digest", "left").select(F.col("doc_id").alias(ident), "n_shingles", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))

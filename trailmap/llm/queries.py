@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules, token_store, toxicity, url_filter
+from . import ngram_join, quality_rules, token_store, toxicity, url_filter
 from .common import table
 
 
@@ -45,8 +45,12 @@ def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_store(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1)
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.linked_classes(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_toxicity, op4_quality_rules, op7_token_store)}
+    return {f.__name__: f for f in (op1_url_filter, op2_toxicity, op4_quality_rules, op7_token_store, op10_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
