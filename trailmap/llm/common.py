@@ -59,6 +59,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def text_bytes(df: DataFrame, column: str = "text") -> int:
+    """About how much text there is: from the files' sizes, or counted where the plan doesn't know."""
+    known = int(str(df.select(column)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return 2 * known if known < 1 << 55 else df.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0]
+
+
 def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Batches cut so that each holds at most about `most` bytes of text (a longer text stands alone)."""
     for batch in batches:

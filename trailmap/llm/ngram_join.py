@@ -39,7 +39,7 @@ BAND = 1.2
 FOUR_PARTS = 24
 
 #: Documents of a signature that are paired with each other at once; more are first paired with one.
-FEW = 32
+FEW = 128
 #: Documents of a larger group that are compared in a task with as many others.
 BLOCK = 2048
 
@@ -380,7 +380,8 @@ def across(groups: DataFrame, labels: DataFrame, rows: DataFrame, num: int, den:
     own = groups.join(labels, "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id")).select("sig", "doc_id", "c")
     open_ = own.groupBy("sig").agg(F.count(F.lit(1)).alias("g"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("sig", F.ceil(F.col("g") / BLOCK).cast("int").alias("nb"))
     held = own.join(open_, "sig").withColumn("i", F.pmod(F.xxhash64("doc_id"), F.col("nb")).cast("int"))
-    held = held.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("sig", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "doc_id", "c")
+    wide = held.where("nb > 1").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("sig", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "doc_id", "c")
+    held = held.where("nb = 1").select("sig", "i", F.col("i").alias("hi"), "i", "doc_id", "c").toDF("sig", "lo", "hi", "i", "doc_id", "c").unionAll(wide)
     held = held.join(rows.where("sketch IS NOT NULL").select("doc_id", F.col("n_shingles").alias("size"), "sketch"), "doc_id")
 
     def compare(key, table):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ngram_join, quality_rules, token_store, toxicity, url_filter
+from . import ngram_join, quality_rules, suffix_dedup, token_store, toxicity, url_filter
 from .common import table
 
 
@@ -36,6 +36,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", held_out.alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= 0.7).cast("int").alias("predicted"), F.col("toxic_threshold").alias("lang_threshold"), F.col("is_toxic").cast("int").alias("lang_predicted"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.quality(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", *quality_rules.BASE, "base_failed", "kept")
@@ -50,7 +54,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_toxicity, op4_quality_rules, op7_token_store, op10_ngram_join)}
+    return {f.__name__: f for f in (op1_url_filter, op2_toxicity, op3_suffix_dedup, op4_quality_rules, op7_token_store, op10_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
