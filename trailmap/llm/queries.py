@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ngram_join, quality_rules, suffix_dedup, token_store, toxicity, url_filter
+from . import chat_format, line_dedup, ngram_join, quality_rules, source_mix, suffix_dedup, token_store, toxicity, url_filter
 from .common import table
 
 
@@ -45,17 +45,35 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *quality_rules.BASE, "base_failed", "kept")
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path, pattern, said = vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, "</s>[INST] ok [/INST]"
+    probe = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    return chat_format.read_back(chat_format.format_chats(turns, path, pattern), path, pattern)
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_dedup.dedup(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_store(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1)
 
 
+def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.mix(table(spark, sf_dir, "documents"))
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.linked_classes(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_toxicity, op3_suffix_dedup, op4_quality_rules, op7_token_store, op10_ngram_join)}
+    return {f.__name__: f for f in (op1_url_filter, op2_toxicity, op3_suffix_dedup, op4_quality_rules, op5_chat_format, op6_line_dedup, op7_token_store, op9_source_mix, op10_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": url_filter.DUCKDB_SQL, "op4_quality_rules": quality_rules.duckdb_sql()}
+    return {"op1_url_filter": url_filter.DUCKDB_SQL, "op4_quality_rules": quality_rules.duckdb_sql(), "op6_line_dedup": line_dedup.DUCKDB_SQL}
