@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, line_dedup, ngram_join, quality_rules, source_mix, suffix_dedup, token_store, toxicity, url_filter
+from . import chat_format, decontaminate, line_dedup, ngram_join, quality_rules, source_mix, suffix_dedup, token_store, toxicity, url_filter
 from .common import table
 
 
@@ -63,6 +63,10 @@ def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_store(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1)
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(table(spark, sf_dir, "documents"))
 
@@ -72,7 +76,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_toxicity, op3_suffix_dedup, op4_quality_rules, op5_chat_format, op6_line_dedup, op7_token_store, op9_source_mix, op10_ngram_join)}
+    return {f.__name__: f for f in (op1_url_filter, op2_toxicity, op3_suffix_dedup, op4_quality_rules, op5_chat_format, op6_line_dedup, op7_token_store, op8_decontaminate, op9_source_mix, op10_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
