@@ -82,19 +82,19 @@ def embedded(words: np.ndarray, length: int, walk: int) -> np.ndarray:
     return out
 
 
-def collides(windows: np.ndarray, item: np.ndarray) -> np.ndarray:
-    """Which windows (rows, as long as the item) fall with the item into a bucket of some table."""
+def collisions(windows: np.ndarray, item: np.ndarray) -> Iterator[np.ndarray]:
+    """Table by table, the windows (rows, as long as the item) that newly fall with the item into a bucket."""
     n = len(item)
-    hit, length = np.zeros(len(windows), bool), 3 * n
+    todo, length = np.arange(len(windows)), 3 * n
     for walk in range(repeats_for(n)):
-        todo = np.flatnonzero(~hit)
-        if not len(todo):
-            break
         places = mix64(np.arange(SAMPLED, dtype=np.uint64) + np.uint64((SEED + walk) * 1009)) % np.uint64(length)
         reach = int(places.max()) + 1  # the walk is not followed beyond the places looked at
         both = embedded(np.concatenate((windows[todo], item[None])), reach, walk)[:, places.astype(np.int64)]
-        hit[todo] = (both[:-1] == both[-1]).all(axis=1)
-    return hit
+        hit = (both[:-1] == both[-1]).all(axis=1)
+        yield todo[hit]
+        todo = todo[~hit]
+        if not len(todo):
+            break
 
 
 def best_match(stretch: np.ndarray, item: np.ndarray) -> tuple[int, int, int]:
@@ -166,16 +166,18 @@ class Benchmark:
             starts = np.array(sorted({min(max(s, low), high - 1) for p in places for s in range(p - t, p + t + 1)}))
             grid = starts[:, None] + np.arange(n)
             windows = np.where(grid < high, words[np.minimum(grid, high - 1)], np.uint64(0))
-            hits = starts[collides(windows, item)].tolist()
-            best, done = None, -1
-            for s in hits:
-                if s < done:
-                    continue
-                a, z = max(low, s - t), min(high, s + n + 2 * t)
-                done = s + t
-                edits, x, y = best_match(words[a:z], item)
-                if edits <= t and (best is None or edits < best[0]):
-                    best = (edits, a + x - low, y - x)
+            best, seen = None, set()
+            for hit in collisions(windows, item):
+                for s in starts[hit].tolist():
+                    if s // (t + 1) in seen:  # the stretch that is compared has room for neighbours
+                        continue
+                    seen.add(s // (t + 1))
+                    a, z = max(low, s - t), min(high, s + n + 2 * t)
+                    edits, x, y = best_match(words[a:z], item)
+                    if edits <= t and (best is None or (edits, a + x - low) < best[:2]):
+                        best = (edits, a + x - low, y - x)
+                if best and not best[0]:  # nothing can be nearer
+                    break
             if best:
                 yield d, k, *best
 
