@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .common import hash_words, materialise, mix64, text_chunks, word_codes
+from .common import hash_words, materialise, mix64, ragged, text_chunks, word_codes
 
 #: Ratio of a size band's ends.
 BAND = 1.2
@@ -39,9 +39,13 @@ BAND = 1.2
 FOUR_PARTS = 24
 
 #: Documents of a signature that are paired with each other at once; more are first paired with one.
-FEW = 128
+FEW = 32
+#: Features a subset must have to be told; common lines would share smaller ones.
+LEAST = 2
 #: Documents of a larger group that are compared in a task with as many others.
 BLOCK = 2048
+#: Documents of a signature in a task beyond which they don't all go to its bucket.
+MANY = 1024
 
 
 def shingle_sets(texts: pa.Array, n: int, seen: dict[str, int]) -> list[np.ndarray]:
@@ -98,10 +102,11 @@ def scheme(i: int, num: int, den: int) -> tuple[int, int, int]:
     parts = 4 if k <= FOUR_PARTS else 2
     subsets, smallest = (6 if parts == 4 else 2), max(1, -(-low * num // den))
     best = None
-    for spare in range(0, 2 + k // 4):
+    for spare in range(0, 2 + k // 2):
         n1 = k // (parts // 2 + 1) + 1 + spare
-        # mean number of partitions of the smallest set with an empty subset, and the chance that there are more than `spare`
-        mean = n1 * min(1.0, subsets * math.exp(-smallest / (2 * n1)))
+        # mean number of partitions of the smallest set with a subset below LEAST, and the chance that there are more than `spare`
+        cover = smallest / (2 * n1)
+        mean = n1 * min(1.0, subsets * math.exp(-cover) * sum(cover**j / math.factorial(j) for j in range(LEAST)))
         tail = 1 - sum(math.exp(-mean + j * math.log(mean) - math.lgamma(j + 1)) for j in range(spare + 1))
         if best is None or tail < best[0]:
             best = (tail, (n1, parts, spare))
@@ -115,9 +120,9 @@ def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
 
     A set takes part in the scheme of its own band and, if it may have a partner there, of
     the next. Each part's content is a sum of hashes; a signature is a subset of a
-    partition's parts. Empty subsets say nothing and are left out: of spare + 1 agreeing
-    partitions, one has no empty subset. Where more than `spare` have one, which is rare,
-    the guarantee needs the empty ones, and they are kept.
+    partition's parts. Subsets below LEAST features say little and are left out: of spare + 1
+    agreeing partitions, one has no such subset. Where more than `spare` have one, which
+    is rare, the guarantee needs them, and they are kept.
     """
     size = len(s)
     if not size:
@@ -131,10 +136,10 @@ def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
         at = np.append(np.searchsorted(s, cuts(n1 * parts)), size)  # sets are sorted, so a part is a run of them
         sums, sizes = np.diff(sums_to[at]).reshape(n1, parts), np.diff(at).reshape(n1, parts)
         if parts == 2:
-            subs, some = sums, sizes > 0
+            subs, some = sums, sizes >= LEAST
         else:
             subs = np.stack([sums[:, a] + sums[:, b] for a, b in PAIRS], axis=1)
-            some = np.stack([sizes[:, a] + sizes[:, b] > 0 for a, b in PAIRS], axis=1)
+            some = np.stack([sizes[:, a] + sizes[:, b] >= LEAST for a, b in PAIRS], axis=1)
         names_ = names(i, subs.size)
         if (~some).any(axis=1).sum() <= spare:
             found.append(mix64(subs[some] ^ names_[some.ravel()]))
@@ -198,9 +203,9 @@ SIGNED = np.dtype([("sig", "<u8"), ("doc", "<i8"), ("size", "<i4")])
 def signed(docs: DataFrame, n: int, num: int, den: int, buckets: int) -> DataFrame:
     """(bucket, rows): signatures by range, packed. Of equal sets in a task, the first one signs for all.
 
-    Where a task has more than FEW documents for a signature, only its first goes to the
+    Where a task has more than MANY documents for a signature, only its first goes to the
     signature's own bucket, with a negative size as mark. The others go to buckets by their
-    id, as pairs with it, so that no bucket has more than FEW rows of a signature from a task.
+    id, as pairs with it, so that no bucket has more than MANY rows of a signature from a task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,7 +258,7 @@ def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def dealt(rows: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
     rows = rows[np.lexsort((rows["doc"], rows["sig"]))]
     at, length = runs(rows["sig"])
-    many = np.repeat(length > FEW, length)
+    many = np.repeat(length > MANY, length)
     if many.any():
         first = np.zeros(len(rows), bool)
         first[at] = True
@@ -273,7 +278,10 @@ PAIRED = np.dtype([("sig", "<u8"), ("a", "<i8"), ("b", "<i8")])
 
 
 def matched(packs: DataFrame, buckets: int, num: int, den: int) -> DataFrame:
-    """(sig, a, b): candidate pairs a < b, with sig where b is one of a larger group, and (sig, a, a) for its first."""
+    """(sig, a, b, group): candidate pairs a < b; rows of `group` pack members of larger groups.
+
+    Of groups beyond a BLOCK, pairs have the sig, and (sig, a, a) tells its first.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
@@ -293,9 +301,18 @@ def matched(packs: DataFrame, buckets: int, num: int, den: int) -> DataFrame:
         marked = np.add.reduceat(rows["size"] < 0, at) > 0
         doc, size = rows["doc"], np.abs(rows["size"])
         large = marked | (length > FEW)
-        for a, n in zip(at[large], length[large], strict=True):
+        wide = marked | (length > BLOCK)
+        for a, n in zip(at[wide], length[wide], strict=True):
             yield pairs_batch(np.repeat(doc[a], n), doc[a : a + n], np.repeat(rows["sig"][a], n))
         found = []
+        mid = large & ~wide
+        if mid.any():
+            i, n = ragged(at[mid], length[mid]), length[mid]
+            members = np.empty(len(i), MEMBER)
+            members["sig"], members["doc"] = rows["sig"][i], doc[i]
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * 3, pa.array([members.tobytes()], pa.binary())], ["sig", "a", "b", "group"])
+            stars = np.stack([np.repeat(doc[at[mid]], n), doc[i]], axis=1)
+            found.append(np.unique(stars[stars[:, 0] < stars[:, 1]], axis=0))
         for step in range(1, FEW):  # in small groups, each with the one `step` further on
             i = np.repeat(at[~large & (length > step)], (length - step)[~large & (length > step)])
             if not len(i):
@@ -308,12 +325,15 @@ def matched(packs: DataFrame, buckets: int, num: int, den: int) -> DataFrame:
             pairs = np.unique(np.concatenate(found), axis=0)
             yield pairs_batch(pairs[:, 0], pairs[:, 1], None)
 
-    return packs.repartition(buckets, "bucket").mapInArrow(run, "sig long, a long, b long")
+    return packs.repartition(buckets, "bucket").mapInArrow(run, "sig long, a long, b long, group binary")
+
+
+MEMBER = np.dtype([("sig", "<u8"), ("doc", "<i8")])
 
 
 def pairs_batch(a: np.ndarray, b: np.ndarray, sig: np.ndarray | None) -> pa.RecordBatch:
     named = pa.nulls(len(a), pa.int64()) if sig is None else pa.array(sig.view(np.int64) if sig.flags.c_contiguous else sig.copy().view(np.int64), pa.int64())
-    return pa.RecordBatch.from_arrays([named, pa.array(np.ascontiguousarray(a), pa.int64()), pa.array(np.ascontiguousarray(b), pa.int64())], ["sig", "a", "b"])
+    return pa.RecordBatch.from_arrays([named, pa.array(np.ascontiguousarray(a), pa.int64()), pa.array(np.ascontiguousarray(b), pa.int64()), pa.nulls(len(a), pa.binary())], ["sig", "a", "b", "group"])
 
 
 def folded(x: bytes, to: int) -> int:
@@ -404,6 +424,96 @@ def across(groups: DataFrame, labels: DataFrame, rows: DataFrame, num: int, den:
     return held.groupBy("sig", "lo", "hi").applyInArrow(compare, "a long, b long").distinct()
 
 
+def differing(doc: np.ndarray, comp: np.ndarray, size: np.ndarray, raw: list[bytes], num: int, den: int) -> np.ndarray:
+    """Pairs across components, within one group, that sketches don't rule out."""
+    to = min(map(len, raw))
+    bits = np.frombuffer(b"".join(x if len(x) == to else folded(x, to).to_bytes(to, "little") for x in raw), np.uint64 if to % 8 == 0 else np.uint8).reshape(len(raw), -1)
+    found = []
+    for p in range(len(raw) - 1):
+        q = np.arange(p + 1, len(raw))
+        q = q[(comp[q] != comp[p]) & (size[q] * den >= size[p] * num) & (size[p] * den >= size[q] * num)]
+        if len(q):
+            q = q[np.bitwise_count(bits[q] ^ bits[p]).sum(axis=1, dtype=np.int64) * (den + num) <= (den - num) * (size[q] + size[p])]
+            found.append(np.stack([np.minimum(doc[q], doc[p]), np.maximum(doc[q], doc[p])], axis=1))
+    return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+
+
+def across_packed(groups: DataFrame, labels: DataFrame, rows: DataFrame, buckets: int, num: int, den: int) -> DataFrame:
+    """Like `across`, for groups of a BLOCK at most: their members go by id to labels and sketches, then by signature."""
+    info = rows.where("sketch IS NOT NULL AND doc_id IS NOT NULL").join(labels, "doc_id", "left").select(F.pmod("doc_id", F.lit(buckets)).cast("int").alias("bucket"), F.lit(0).alias("kind"), "doc_id", F.coalesce("component", "doc_id").alias("c"), F.col("n_shingles").alias("size"), F.col("sketch").alias("data"))
+    schema = "bucket int, kind int, doc_id long, c long, size long, data binary"
+
+    def by_doc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column("group").to_pylist():
+                members = np.frombuffer(data, MEMBER)
+                members = members[np.argsort(np.mod(members["doc"], buckets), kind="stable")]
+                at, n = runs(np.mod(members["doc"], buckets))
+                cut = [members[a : a + k].tobytes() for a, k in zip(at, n, strict=True)]
+                none = pa.nulls(len(at), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(np.mod(members["doc"], buckets)[at], pa.int32()), pa.array([1] * len(at), pa.int32()), none, none, none, pa.array(cut, pa.binary())], ["bucket", "kind", "doc_id", "c", "size", "data"])
+
+    def by_sig(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, comps, sizes, sketches = [], [], [], []
+        order = known = None
+        for batch in batches:
+            for kind, d, c, n, data in zip(*(batch.column(x).to_pylist() for x in ("kind", "doc_id", "c", "size", "data")), strict=True):
+                if not kind:
+                    ids.append(d)
+                    comps.append(c)
+                    sizes.append(n)
+                    sketches.append(data)
+                    continue
+                if order is None:
+                    order = np.argsort(np.array(ids, np.int64), kind="stable")
+                    known = np.array(ids, np.int64)[order]
+                members = np.frombuffer(data, MEMBER)
+                which = order[np.searchsorted(known, members["doc"])]
+                to = ((members["sig"] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+                by = np.argsort(to, kind="stable")
+                at, length = runs(to[by])
+                cut = []
+                for a, k in zip(at, length, strict=True):
+                    part = by[a : a + k]
+                    told = np.empty(k, TOLD)
+                    w = which[part]
+                    told["sig"], told["doc"] = members["sig"][part], members["doc"][part]
+                    told["comp"], told["size"], told["bytes"] = np.array(comps, np.int64)[w] if len(w) > 999 else [comps[i] for i in w], [sizes[i] for i in w], [len(sketches[i]) for i in w]
+                    cut.append(np.uint32(k).tobytes() + told.tobytes() + b"".join(sketches[i] for i in w))
+                yield pa.RecordBatch.from_arrays([pa.array(to[by][at], pa.int32()), pa.array(cut, pa.binary())], ["bucket", "data"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told, raw = [], []
+        for batch in batches:
+            for data in batch.column("data").to_pylist():
+                k = int(np.frombuffer(data, "<u4", 1)[0])
+                t = np.frombuffer(data, TOLD, k, 4)
+                ends = 4 + k * TOLD.itemsize + np.cumsum(t["bytes"], dtype=np.int64)
+                told.append(t)
+                raw += [data[z - n : z] for z, n in zip(ends.tolist(), t["bytes"].tolist(), strict=True)]
+        if not told:
+            return
+        t = np.concatenate(told)
+        order = np.lexsort((t["doc"], t["sig"]))
+        t = t[order]
+        at, length = runs(t["sig"])
+        mixed = np.minimum.reduceat(t["comp"], at) < np.maximum.reduceat(t["comp"], at)
+        found = [np.zeros((0, 2), np.int64)]
+        for a, n in zip(at[mixed].tolist(), length[mixed].tolist(), strict=True):
+            part = t[a : a + n]
+            found.append(differing(part["doc"], part["comp"], part["size"].astype(np.int64), [raw[i] for i in order[a : a + n]], num, den))
+            if len(found) > 200:
+                found = [np.unique(np.concatenate(found), axis=0)]
+        both = np.unique(np.concatenate(found), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, i]), pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    told = groups.select("group").mapInArrow(by_doc, schema).unionAll(info).repartition(buckets, "bucket").sortWithinPartitions("kind").mapInArrow(by_sig, "bucket int, data binary")
+    return told.repartition(buckets, "bucket").mapInArrow(compare, "a long, b long").distinct()
+
+
+TOLD = np.dtype([("sig", "<u8"), ("doc", "<i8"), ("comp", "<i8"), ("size", "<i4"), ("bytes", "<i4")])
+
+
 def linked_classes(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of `docs`.
 
@@ -421,8 +531,10 @@ def linked_classes(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, i
     same = rows.where("digest IS NOT NULL AND doc_id IS NOT NULL").join(named, "digest").where("doc_id > named").select(F.col("doc_id").alias("a"), F.col("named").alias("b"))
     links = materialise(verified(near, own, n, num, den).unionAll(same), "links")
     labels = components(links, "a", "b")
-    groups = found.where("sig IS NOT NULL").select("sig", F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    more = materialise(verified(across(groups, labels, rows, num, den), own, n, num, den), "more-links")
+    wide = found.where("sig IS NOT NULL")
+    groups = wide.select("sig", F.col("a").alias("doc_id")).unionAll(wide.select("sig", F.col("b").alias("doc_id"))).distinct()
+    open_ = across(groups, labels, rows, num, den).unionAll(across_packed(found.where("group IS NOT NULL"), labels, rows, buckets, num, den)).distinct()
+    more = materialise(verified(open_, own, n, num, den), "more-links")
     if not more.isEmpty():
         labels = components(links.unionAll(more), "a", "b")
     of_class = named.join(labels, named["named"] == labels["doc_id"], "left").select("digest", F.coalesce("component", "named").alias("component"))
