@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -53,12 +54,26 @@ def work_dir(spark: SparkSession, name: str) -> str:
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Written once to the shared folder and reread: lineage ends there and lost executors cost nothing."""
+    """Written once to the shared folder and reread: lineage ends there and lost executors cost nothing.
+
+    Spark drops shuffle files when the driver's garbage collection finds their plans gone;
+    it is asked to before each step, so that finished steps don't fill the disks.
+    """
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
     path = work_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Like materialise, for rows of large binaries, of which a columnar reader would hold thousands at once."""
+    shared_dir(df.sparkSession)
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+    return df.checkpoint()
+
+
 def text_bytes(df: DataFrame, column: str = "text") -> int:
     """About how much text there is: from the files' sizes, or counted where the plan doesn't know."""
     known = int(str(df.select(column)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -118,8 +118,8 @@ def scheme(i: int, num: int, den: int) -> tuple[int, int, int]:
 def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
     """64-bit signatures of a set: two sets that are similar enough share one at least.
 
-    A set takes part in the scheme of its own band and, if it may have a partner there, of
-    the next. Each part's content is a sum of hashes; a signature is a subset of a
+    A set takes part in the schemes of its own band and of those up to its largest possible
+    partner's. Each part's content is a sum of hashes; a signature is a subset of a
     partition's parts. Subsets below LEAST features say little and are left out: of spare + 1
     agreeing partitions, one has no such subset. Where more than `spare` have one, which
     is rare, the guarantee needs them, and they are kept.
@@ -129,9 +129,7 @@ def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     own, found = band_of(size), []
     sums_to = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix64(s))))
-    for i in (own, own + 1):
-        if i > own and size * den < band_ends(i)[0] * num:
-            continue
+    for i in range(own, band_of(size * den // num) + 1):
         n1, parts, spare = scheme(i, num, den)
         at = np.append(np.searchsorted(s, cuts(n1 * parts)), size)  # sets are sorted, so a part is a run of them
         sums, sizes = np.diff(sums_to[at]).reshape(n1, parts), np.diff(at).reshape(n1, parts)
@@ -514,6 +512,20 @@ def across_packed(groups: DataFrame, labels: DataFrame, rows: DataFrame, buckets
 TOLD = np.dtype([("sig", "<u8"), ("doc", "<i8"), ("comp", "<i8"), ("size", "<i4"), ("bytes", "<i4")])
 
 
+def candidates(near: DataFrame, found: DataFrame) -> DataFrame:
+    """Ids of documents that may have to be compared: in pairs, or in larger groups."""
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column("group").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.frombuffer(data, MEMBER)["doc"]), pa.int64())], ["doc_id"])
+
+    ids = near.select(F.col("a").alias("doc_id")).unionAll(near.select("b"))
+    wide = found.where("sig IS NOT NULL")
+    grouped = found.where("group IS NOT NULL").select("group").mapInArrow(members, "doc_id long")
+    return ids.unionAll(wide.select("a")).unionAll(wide.select("b")).unionAll(grouped).distinct()
+
+
 def linked_classes(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of `docs`.
 
@@ -526,15 +538,16 @@ def linked_classes(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, i
     total = rows.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     buckets = max(8, int(total // 2_000_000))
     found = materialise(matched(signed(own, n, num, den, buckets), buckets, num, den), "matched")
-    near = sketched(found.where("a < b").select("a", "b").distinct(), rows, num, den)
+    near = materialise(sketched(found.where("a < b").select("a", "b").distinct(), rows, num, den), "near")
     named = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("named"))
     same = rows.where("digest IS NOT NULL AND doc_id IS NOT NULL").join(named, "digest").where("doc_id > named").select(F.col("doc_id").alias("a"), F.col("named").alias("b"))
-    links = materialise(verified(near, own, n, num, den).unionAll(same), "links")
+    texts = materialise(own.join(candidates(near, found), "doc_id", "left_semi"), "texts")
+    links = materialise(verified(near, texts, n, num, den).unionAll(same), "links")
     labels = components(links, "a", "b")
     wide = found.where("sig IS NOT NULL")
     groups = wide.select("sig", F.col("a").alias("doc_id")).unionAll(wide.select("sig", F.col("b").alias("doc_id"))).distinct()
     open_ = across(groups, labels, rows, num, den).unionAll(across_packed(found.where("group IS NOT NULL"), labels, rows, buckets, num, den)).distinct()
-    more = materialise(verified(open_, own, n, num, den), "more-links")
+    more = materialise(verified(materialise(open_, "open"), texts, n, num, den), "more-links")
     if not more.isEmpty():
         labels = components(links.unionAll(more), "a", "b")
     of_class = named.join(labels, named["named"] == labels["doc_id"], "left").select("digest", F.coalesce("component", "named").alias("component"))

@@ -82,16 +82,16 @@ def mix(docs: DataFrame, ident: str = "doc_id", source: str = "source", text: st
     written once; the driver gets a row for each source, a task the sizes of one source.
     """
     spark = docs.sparkSession
-    rows = materialise(docs.select(F.col(ident).alias("doc_id"), F.col(source).alias("source"), F.size(words(F.col(text))).cast("long").alias("size"), *keep), "sizes")
-    by_size = rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
-    found = sorted(by_size.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("total")).collect(), key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-8", "surrogatepass")))
+    rows = materialise(docs.select(F.col(ident).alias("doc_id"), F.col(source).alias("__source"), F.size(words(F.col(text))).cast("long").alias("size"), *keep), "sizes")
+    by_size = rows.groupBy("__source", "size").agg(F.count(F.lit(1)).alias("n"))
+    found = sorted(by_size.groupBy("__source").agg(F.sum(F.col("size") * F.col("n")).alias("total")).collect(), key=lambda r: (r["__source"] is None, (r["__source"] or "").encode("utf-8", "surrogatepass")))
     goals = targets([r["total"] for r in found], [weights[i % len(weights)] for i in range(len(found))], most)
     plan = []
     for i, (r, goal) in enumerate(zip(found, goals, strict=True)):
         passes = min(most, int(goal // r["total"])) if r["total"] else 0
-        plan.append((i, r["source"], r["total"], goal, passes, max(0, round(goal) - passes * r["total"]) if passes < most else 0))
-    listed = F.broadcast(spark.createDataFrame(plan, "s int, source string, source_size long, target double, passes int, budget long"))
-    placed = rows.withColumnRenamed("source", "source_").join(listed, F.col("source_").eqNullSafe(F.col("source"))).drop("source_")
+        plan.append((i, r["__source"], r["total"], goal, passes, max(0, round(goal) - passes * r["total"]) if passes < most else 0))
+    listed = F.broadcast(spark.createDataFrame(plan, "s int, __name string, source_size long, target double, passes int, budget long"))
+    placed = rows.join(listed, F.col("__source").eqNullSafe(F.col("__name"))).drop("__source", "__name")
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         taken = fitted(dict(zip(pdf["size"].tolist(), pdf["n"].tolist(), strict=True)), int(pdf["budget"].iloc[0]))

@@ -32,16 +32,18 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, mix64, ragged, text_bytes, text_chunks
+from .common import checkpointed, mix64, ragged, text_bytes, text_chunks
 from .suffix_array import suffix_arrays
 
 WINDOW, PIECE = 50, 20
 #: Rows of an anchor in a task beyond which it is frequent.
 FEW = 32
 #: Text of suffix arrays that are built at once.
-SORTED_BYTES = 2 << 20
+SORTED_BYTES = 1 << 20
+#: Text whose windows are hashed at once; numpy holds some 150 bytes for each of its bytes.
+HASHED_BYTES = 1 << 20
 #: Text for which anchors are dealt out at once, and for which a bucket is made.
-DEALT_BYTES, BUCKET_BYTES = 24 << 20, 32 << 20
+DEALT_BYTES, BUCKET_BYTES = 24 << 20, 8 << 20
 
 BYTE = mix64(np.arange(256, dtype=np.uint64) + np.uint64(0x51ED270B))
 ANCHORED = np.dtype([("k", "<u8"), ("c", "<u8"), ("doc", "<i8")])
@@ -183,13 +185,13 @@ def dealt_anchors(rows: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
 def fated(rows: np.ndarray, fate: int) -> np.ndarray:
     out = np.empty(len(rows), FATED)
     out["doc"], out["key"], out["fate"] = rows["doc"], key_of(rows["k"], rows["c"]), fate
-    return np.unique(out)
+    return out[np.append(True, (out["key"][1:] != out["key"][:-1]) | (out["doc"][1:] != out["doc"][:-1]))] if len(out) else out
 
 
 def anchors(texts: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for batch in text_chunks(batches):
+        for batch in text_chunks(batches, most=HASHED_BYTES):
             x, bounds = bytes_of(batch.column("text"))
             found = contexts(x, bounds)
             rows = np.empty(len(found["k"]), ANCHORED)
@@ -206,36 +208,40 @@ def anchors(texts: DataFrame, buckets: int) -> DataFrame:
     return texts.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(run, PACKS)
 
 
+def decided(rows: np.ndarray, marked: np.ndarray, by_window: bool, doc_buckets: int) -> Iterator[pa.RecordBatch]:
+    """Fates of a bucket's contexts: the smallest id's are compared where contexts of an anchor differ, the others go whole."""
+    rows = rows[np.lexsort((rows["doc"], rows["c"], rows["k"]))]
+    k_new = np.append(True, rows["k"][1:] != rows["k"][:-1])
+    c_new = k_new | np.append(True, rows["c"][1:] != rows["c"][:-1])
+    k_of, k_at, c_at = np.cumsum(k_new) - 1, np.flatnonzero(k_new), np.flatnonzero(c_new)
+    later = rows["doc"] > rows["doc"][c_at][np.cumsum(c_new) - 1]
+    several = (np.bincount(k_of[c_at], minlength=len(k_at)) > 1) & (np.minimum.reduceat(rows["doc"], k_at) < np.maximum.reduceat(rows["doc"], k_at))
+    single = np.isin(rows["k"], marked) if len(marked) and not by_window else np.full(len(rows), by_window)
+    alike = ~single & several[k_of]
+    for which, fate in ((later, WHOLE), (~later & single, BY_WINDOW), (~later & alike, COMPARED)):
+        out = fated(rows[which], fate)
+        yield from by_bucket(doc_bucket(out["doc"], doc_buckets), out, 0)
+
+
 def fates(dealt: DataFrame, buckets: int, doc_buckets: int) -> DataFrame:
     """What becomes of contexts whose anchor several documents have, packed by document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rare, often, marks = [], [], []
+        held: dict[int, dict[int, list[bytes]]] = {}
         for batch in batches:
-            for kind, data in zip(batch.column("kind").to_pylist(), batch.column("data").to_pylist(), strict=True):
+            for bucket, kind, data in zip(*(batch.column(c).to_pylist() for c in ("bucket", "kind", "data")), strict=True):
                 if kind == 1:
                     rows = np.frombuffer(data, FATED)
                     yield from by_bucket(doc_bucket(rows["doc"], doc_buckets), rows, 0)
                 else:
-                    {0: rare, 2: often, 3: marks}[kind].append(unpack_anchors(data))
-        marked = np.unique(np.concatenate([m["k"] for m in marks])) if marks else np.zeros(0, np.uint64)
-        for held, by_window in ((rare, False), (often, True)):
-            if not held:
-                continue
-            rows = np.concatenate(held)
-            held.clear()
-            rows = rows[np.lexsort((rows["doc"], rows["c"], rows["k"]))]
-            k_new = np.append(True, rows["k"][1:] != rows["k"][:-1])
-            c_new = k_new | np.append(True, rows["c"][1:] != rows["c"][:-1])
-            k_of, c_at = np.cumsum(k_new) - 1, np.flatnonzero(c_new)
-            least = rows["doc"][c_at][np.cumsum(c_new) - 1]
-            later = rows["doc"] > least
-            contexts_of = np.bincount(k_of[c_at], minlength=k_of[-1] + 1)[k_of]
-            low, high = np.minimum.reduceat(rows["doc"], np.flatnonzero(k_new))[k_of], np.maximum.reduceat(rows["doc"], np.flatnonzero(k_new))[k_of]
-            single = np.isin(rows["k"], marked) | by_window
-            alike = ~single & (contexts_of > 1) & (low < high)
-            out = np.concatenate((fated(rows[later], WHOLE), fated(rows[~later & single], BY_WINDOW), fated(rows[~later & alike], COMPARED)))
-            yield from by_bucket(doc_bucket(out["doc"], doc_buckets), out, 0)
+                    held.setdefault(bucket, {0: [], 2: [], 3: []})[kind].append(data)
+        while held:  # a bucket at a time, whatever else came to this task
+            packs_of = held.popitem()[1]
+            marked = np.unique(np.concatenate([unpack_anchors(d)["k"] for d in packs_of[3]])) if packs_of[3] else np.zeros(0, np.uint64)
+            for kind in (0, 2):
+                if packs_of[kind]:
+                    rows = np.concatenate([unpack_anchors(d) for d in packs_of.pop(kind)])
+                    yield from decided(rows, marked, kind == 2, doc_buckets)
 
     return dealt.repartition(buckets, "bucket").mapInArrow(run, PACKS)
 
@@ -257,7 +263,7 @@ def meeting(found: DataFrame, texts: DataFrame, buckets: int) -> DataFrame:
     return found.select("bucket", "kind", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("uid"), "data").unionAll(texts).repartition(buckets, "bucket").sortWithinPartitions("kind")
 
 
-def unsqueezed(batches: Iterator[pa.RecordBatch], packs_to: list[bytes], most: int = 4 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, list[int | None], list[int]]]:
+def unsqueezed(batches: Iterator[pa.RecordBatch], packs_to: list[bytes], most: int = HASHED_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, list[int | None], list[int]]]:
     """Puts packs into `packs_to`, then yields texts' bytes, bounds, ids and uids, a few MB at a time."""
     unpress = zstandard.ZstdDecompressor()
     data, ids, uids, size = [], [], [], 0
@@ -466,7 +472,7 @@ def dedup(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFra
     buckets = max(9, text_bytes(own) // BUCKET_BYTES) | 1
     fated_ = fates(anchors(own, buckets), buckets, buckets)
     texts = squeezed(own, doc_bucket_column(F.col("doc_id"), buckets))
-    found = materialise(candidates(meeting(fated_, texts, buckets), buckets, buckets), "candidates")
+    found = checkpointed(candidates(meeting(fated_, texts, buckets), buckets, buckets))
     more = compared(found.where("kind = 1"), buckets, buckets)
     again = squeezed(own, F.pmod("uid", F.lit(buckets)).cast("int"))
     return kept(meeting(found.where("kind = 0").unionAll(more), again, buckets))
