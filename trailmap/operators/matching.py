@@ -44,3 +44,21 @@ def contained_names(widgets: DataFrame, controls: DataFrame) -> DataFrame:
     exact = widgets.join(first_wins(controls, ["control"]).select("control", F.col("rules").alias("exact_rules")), "control", "left")
     near = widgets.join(controls.select(F.lower("control").alias("_c"), F.col("rules").alias("_r"), F.col("ord").alias("_o")), F.contains(F.lower("id"), F.col("_c"))).groupBy("id").agg(F.min_by("_r", "_o").alias("near_rules"))
     return exact.join(near, "id", "left").withColumn("rules", F.coalesce("exact_rules", "near_rules")).drop("exact_rules", "near_rules")
+
+
+LAZY_CLASS = r"\.then\(\s*\w+\s*=>\s*\w+\.(\w+)\s*\)"
+
+
+def assigned_modules(routes: DataFrame, modules: DataFrame) -> DataFrame:
+    """`routes` with their module: the known one that a loader names, else the first that declares the component."""
+    owner = modules.select(F.explode("declarations").alias("component"), F.col("name").alias("_eager"), "ord").groupBy("component").agg(F.min_by("_eager", "ord").alias("_eager"))
+    lazy = modules.select(F.col("name").alias("_lazy")).distinct()
+    named = routes.withColumn("_named", F.nullif(F.regexp_extract(F.coalesce("load_children", F.lit("")), LAZY_CLASS, 1), F.lit("")))
+    out = named.join(owner, "component", "left").join(lazy, F.col("_named") == F.col("_lazy"), "left")
+    return out.withColumn("module", F.coalesce("_lazy", "_eager")).drop("_named", "_eager", "_lazy")
+
+
+def routes_of_selectors(components: DataFrame, routes: DataFrame) -> DataFrame:
+    """(selector, route): all routes of the class that a selector's name stands for by convention."""
+    named = components.select("selector", X.selector_to_class(F.col("selector")).alias("component"))
+    return named.join(routes.select("component", "route"), "component").select("selector", "route")

@@ -532,3 +532,84 @@ def _(t):
     best = t.orders.groupBy(F.col("o_custkey").alias("id")).agg(F.max(rank).alias("r"))
     r = F.coalesce("r", F.lit(0))
     return t.customer.select(F.col("c_custkey").alias("id")).join(best, "id", "left").select("id", F.when(r == 3, "ready").when(r == 2, "capturing").when(r == 1, "waiting").otherwise("missing").alias("status"))
+
+
+# more of the graph and its registries ------------------------------------------------
+
+@query("assign_modules", """WITH r AS (SELECT '/n/' || n_nationkey AS route, 'C' || (n_nationkey % 7) AS component, CASE WHEN n_nationkey % 6 = 0 THEN 'R' || n_regionkey END AS lazy FROM nation),
+m AS (SELECT 'R' || r_regionkey AS name, r_regionkey AS ord, ['C' || r_regionkey, 'C' || (r_regionkey + 1)] AS d FROM region)
+SELECT route, coalesce(CASE WHEN lazy IN (SELECT name FROM m) THEN lazy END, (SELECT arg_min(name, ord) FROM m WHERE list_contains(d, component))) AS module FROM r""")
+def _(t):
+    k, g = F.col("n_nationkey"), F.col("n_regionkey")
+    r = t.nation.select(F.concat(F.lit("/n/"), k).alias("route"), F.concat(F.lit("C"), k % 7).alias("component"), F.when(k % 6 == 0, F.concat(F.lit("() => import('./x').then(m => m.R"), g, F.lit(")"))).alias("load_children"))
+    m = t.region.select(F.concat(F.lit("R"), "r_regionkey").alias("name"), F.array(F.concat(F.lit("C"), "r_regionkey"), F.concat(F.lit("C"), F.col("r_regionkey") + 1)).alias("declarations"), F.col("r_regionkey").alias("ord"))
+    return matching.assigned_modules(r, m).select("route", "module")
+
+
+@query("selector_routes", """SELECT 'app-' || lower(p_brand[1:5]) || '-' || p_partkey AS selector, '/p/' || p_partkey AS route FROM part WHERE p_partkey % 3 = 0""")
+def _(t):
+    selector = F.concat(F.lit("app-"), F.lower(F.substring("p_brand", 1, 5)), F.lit("-"), "p_partkey")
+    named = F.concat(F.initcap(F.substring("p_brand", 1, 5)), "p_partkey", F.when(F.col("p_partkey") % 3 == 0, "Component").otherwise("Widget"))
+    return matching.routes_of_selectors(t.part.select(selector.alias("selector")), t.part.select(F.concat(F.lit("/p/"), "p_partkey").alias("route"), named.alias("component")))
+
+
+@query("ancestor_routes", """WITH RECURSIVE n AS (SELECT n_nationkey AS child, (n_nationkey * 2 + 1) % 25 AS parent FROM nation), up AS (SELECT n_nationkey AS origin, n_nationkey AS id FROM nation UNION SELECT origin, n.parent FROM up JOIN n ON n.child = up.id WHERE up.id = origin OR up.id % 4 <> 0)
+SELECT DISTINCT origin, '/n/' || id AS route FROM up WHERE id <> origin AND id % 4 = 0""")
+def _(t):
+    n = F.col("n_nationkey").cast("long")
+    up = t.nation.select(n.alias("child"), ((n * 2 + 1) % 25).alias("parent"))
+    return closure.ancestors_until(t.nation.select(n.alias("id")), up, t.nation.where("n_nationkey % 4 = 0").select(n.alias("id"))).select("origin", F.concat(F.lit("/n/"), "ancestor").alias("route"))
+
+
+@query("submit_bindings", "SELECT DISTINCT 'W' || l_orderkey || '_' || l_linenumber AS src, 'F' || l_orderkey AS dst, 'submit' AS type FROM (SELECT l_orderkey, l_linenumber, min({'p': l_partkey, 's': l_suppkey, 'r': l_returnflag, 't': l_linestatus}) x FROM lineitem GROUP BY 1, 2) JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE x.r = 'R'")
+def _(t):
+    leaves = t.leaves().where("triggers_submit")
+    up = leaves.select(F.col("leaf").alias("child"), F.col("form").alias("parent")).distinct()
+    near = closure.nearest(leaves.select(F.col("leaf").alias("id")).distinct(), up, leaves.select(F.col("form").alias("id")).distinct(), most=2)
+    return near.select(F.col("id").alias("src"), F.col("ancestor").alias("dst"), F.lit("submit").alias("type"))
+
+
+@query("graph_edges_static", "SELECT 'M' || n_regionkey AS src, '/n/' || n_nationkey AS dst, 'contains' AS type FROM nation UNION SELECT '/n/' || c_nationkey, 'C' || c_custkey, 'contains' FROM customer UNION SELECT 'C' || o_custkey, 'F' || o_orderkey, 'contains' FROM orders UNION SELECT 'F' || l_orderkey, 'W' || l_orderkey || '_' || l_linenumber, 'contains' FROM lineitem")
+def _(t):
+    edge = lambda df, src, dst: df.select(src.alias("src"), dst.alias("dst"), F.lit("contains").alias("type"), F.lit(0).alias("ord"))
+    c = lambda p, *k: F.concat(F.lit(p), *k)
+    emitters = [edge(t.nation, c("M", "n_regionkey"), c("/n/", "n_nationkey")), edge(t.customer, c("/n/", "c_nationkey"), c("C", "c_custkey")), edge(t.orders, c("C", "o_custkey"), c("F", "o_orderkey")), edge(t.lineitem, c("F", "l_orderkey"), c("W", "l_orderkey", F.lit("_"), "l_linenumber"))]
+    return navigation.union_first(emitters, ["src", "dst", "type"]).select("src", "dst", "type")
+
+
+@query("journeys_global", "SELECT 'M0→app-root→W' || c_custkey || '[click]→/backend/s' || (c_custkey % 3) AS id, 4 AS n_steps FROM customer WHERE c_nationkey = 0")
+def _(t):
+    c = t.customer.where("c_nationkey = 0")
+    w = F.concat(F.lit("W"), "c_custkey")
+    paths = c.select(F.lit("M0").alias("root"), F.array(journeys.step("component", F.lit("app-root"))).alias("scope"), F.array(w).alias("path"), F.col("c_custkey").alias("ord"))
+    calls_ = c.select(w.alias("src"), F.concat(F.lit("/backend/s"), F.col("c_custkey") % 3).alias("dst"), F.lit("service-call").alias("type"), F.lit("backend").alias("dst_type"), F.lit("click").alias("source_event"))
+    none = t.spark.createDataFrame([], "trigger string, form string")
+    return journeys.assemble(paths, calls_, none).select("id", F.size("steps").alias("n_steps"))
+
+
+@query("selector_hints", """SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN '[data-e2e="x' || c_custkey || '"]' WHEN 1 THEN '#i' || c_custkey WHEN 2 THEN '[name="n"]' END AS hint FROM customer""")
+def _(t):
+    k = F.col("c_custkey") % 4
+    attrs = F.when(k == 0, F.create_map(F.lit("id"), F.lit("no"), F.lit("data-e2e"), F.concat(F.lit("x"), "c_custkey"))).when(k == 1, F.create_map(F.lit("id"), F.concat(F.lit("i"), "c_custkey"), F.lit("role"), F.lit("r"))).when(k == 2, F.create_map(F.lit("name"), F.lit("n"), F.lit("id"), F.lit(""))).otherwise(F.create_map(F.lit("other"), F.lit("o")))
+    return t.customer.select("c_custkey", actions.selector_hint(attrs).alias("hint"))
+
+
+@query("default_values", """SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 'user@example.com' WHEN 1 THEN '1' WHEN 2 THEN '2000-W01' WHEN 3 THEN 'first' ELSE '' END AS value, CASE WHEN p_size % 2 = 0 THEN 'check' ELSE 'change' END AS kind FROM part""")
+def _(t):
+    k = F.col("p_size") % 5
+    type_ = F.when(k == 0, "email").when(k == 1, "number").when(k == 2, "week").otherwise("select")
+    rules = F.when(F.col("p_size") % 2 == 0, F.array(F.lit("Validators.requiredTrue"))).otherwise(F.array(F.lit("required")))
+    return t.part.select("p_partkey", actions.default_value(type_, F.when(k == 3, "first")).alias("value"), actions.change_kind(F.lit("checkbox"), rules).alias("kind"))
+
+
+@query("public_urls", f"""SELECT page_id, 'http://h/screenshots/a%20b/j/' || replace(substr(p, 2), '/', '%2F') AS public_url FROM (SELECT page_id, {PATH} p FROM pages)""")
+def _(t):
+    encoded = lambda x: F.replace(F.url_encode(x), F.lit("+"), F.lit("%20"))
+    return t.pages_paths().select("page_id", F.concat_ws("/", F.lit("http://h/screenshots"), encoded(F.lit("a b")), F.lit("j"), encoded(F.expr("substring(path, 2)"))).alias("public_url"))
+
+
+@query("stable_keys", """SELECT event_id, sha1('{"a":' || user_id || ',"b":"' || event_type || '"}') AS key FROM events""")
+def _(t):
+    m = F.create_map(F.lit("b"), F.concat(F.lit('"'), "event_type", F.lit('"')), F.lit("a"), F.col("user_id").cast("string"))
+    flat = F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), e["value"])), ",")
+    return t.events.select("event_id", F.sha1(F.concat(F.lit("{"), flat, F.lit("}"))).alias("key"))
