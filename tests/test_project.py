@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 
 from trailmap.operators import refine
-from trailmap.sources import project
+from trailmap.sources import project, requests
 
 
 @pytest.fixture(scope="module")
@@ -79,3 +79,12 @@ def test_refinement_asks_twice_when_nothing_changes(spark):
     rows = {r["source"]: r["id"] for r in refine.stabilised(df, "M").collect()}
     assert rows == {"llm": "J-" + refine.sha1_hex("M#route:/a")[:12], "analyzer": "k"}
     assert refine.stable_json({"b": [1, {"d": 1, "c": "é"}], "a": None}) == '{"a":null,"b":[1,{"c":"é","d":1}]}'
+
+
+def test_requests(spark):
+    rules = (*requests.required("root"), requests.one_of("mode", "primary", "collapse"))
+    lines = spark.createDataFrame([('{"root": "r", "mode": "primary"}',), ('{"mode": "x"}',), ("no json",), (None,)], "body string")
+    got = [r["violations"] for r in requests.parsed(lines, "body", "root string, mode string", rules).collect()]
+    assert got[0] == [] and got[1] == ["root is required", "mode must be one of primary, collapse"] and "root is required" in got[2] and got[3][0] == "the body is no JSON object"
+    assert requests.answers(spark.createDataFrame([("a", 1)], "id string, n int")).first()["body"] == '{"success":true,"id":"a","n":1}'
+    assert [r["id"] for r in requests.by_name(spark.createDataFrame([(x,) for x in "BbAa"], "id string")).collect()] == ["a", "A", "b", "B"]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trailmap.functions import expressions as X
 from trailmap.operators import actions, closure, dedupe, journeys, matching, navigation, roles, validation
-from trailmap.sources import html
+from trailmap.sources import html, requests
 from trailmap.sources.tables import Tables
 from trailmap.streaming import stateful
 
@@ -613,3 +613,9 @@ def _(t):
     m = F.create_map(F.lit("b"), F.concat(F.lit('"'), "event_type", F.lit('"')), F.lit("a"), F.col("user_id").cast("string"))
     flat = F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), e["value"])), ",")
     return t.events.select("event_id", F.sha1(F.concat(F.lit("{"), flat, F.lit("}"))).alias("key"))
+
+
+@query("requests_valid", """SELECT event_id, (props->>'k')::INTEGER AS k, CASE WHEN (props->>'k')::INTEGER >= 50 THEN 'k must be below 50' ELSE '' END AS violations FROM events""")
+def _(t):
+    rules = (*requests.required("k"), requests.Rule("k < 50", "k must be below 50"))
+    return requests.parsed(t.events.select("event_id", "props"), "props", "k int", rules).select("event_id", "k", F.array_join("violations", "; ").alias("violations"))
