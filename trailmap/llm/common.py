@@ -53,14 +53,33 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/trailmap-{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Written once to the shared folder and reread: lineage ends there and lost executors cost nothing.
+def small_batches(spark: SparkSession) -> None:
+    """Rows go to Python a few MB at a time from now on in this session; a batch may otherwise hold 10,000 texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(CHUNK_BYTES))
 
-    Spark drops shuffle files when the driver's garbage collection finds their plans gone;
-    it is asked to before each step, so that finished steps don't fill the disks.
-    """
+
+def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; when they are over, the worker, which stays for other tasks, gives its free memory back."""
+    import ctypes
+    import ctypes.util
+
+    yield from batches
     gc.collect()
-    df.sparkSession._jvm.System.gc()
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(ctypes.util.find_library("c") or "libc.so.6")
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets go of finished steps' shuffle files: Spark drops them when the driver's garbage collection finds their plans gone."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Written once to the shared folder and reread: lineage ends there and lost executors cost nothing."""
+    release(df.sparkSession)
     path = work_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -69,8 +88,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """Like materialise, for rows of large binaries, of which a columnar reader would hold thousands at once."""
     shared_dir(df.sparkSession)
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
+    release(df.sparkSession)
     return df.checkpoint()
 
 

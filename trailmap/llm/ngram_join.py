@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .common import hash_words, materialise, mix64, ragged, text_chunks, word_codes
+from .common import hash_words, materialise, mix64, ragged, small_batches, text_chunks, trimmed, word_codes
 
 #: Ratio of a size band's ends.
 BAND = 1.2
@@ -40,6 +40,8 @@ FOUR_PARTS = 24
 
 #: Documents of a signature that are paired with each other at once; more are first paired with one.
 FEW = 32
+#: Signatures that similar sets share at least, where they may differ in MUCH or more features; one below that.
+SHARED, MUCH = 3, 30
 #: Features a subset must have to be told; common lines would share smaller ones.
 LEAST = 2
 #: Documents of a larger group that are compared in a task with as many others.
@@ -88,6 +90,16 @@ def band_ends(i: int) -> tuple[int, int]:
     return low, high
 
 
+@functools.cache
+def most_differing(i: int, num: int, den: int) -> int:
+    return (den - num) * 2 * band_ends(i)[1] // (den + num)
+
+
+@functools.cache
+def shared_at_least(i: int, num: int, den: int) -> int:
+    return SHARED if most_differing(i, num, den) >= MUCH else 1
+
+
 @functools.cache
 def scheme(i: int, num: int, den: int) -> tuple[int, int, int]:
     """For pairs whose larger set is in band i: (partitions, parts of each, deficient partitions allowed).
@@ -95,15 +107,17 @@ def scheme(i: int, num: int, den: int) -> tuple[int, int, int]:
     With similarity num / den or more, sets of sizes a <= b differ in at most
     (den - num) * (a + b) / (den + num) features, so in at most k over the band. Of the
     partitions, at most k // (parts // 2 + 1) have more than half of their parts differing,
-    so the others, spare + 1 or more, hold a subset of half of the parts that agrees.
+    so the others, as many as may be deficient and the wanted shared ones, hold a subset of
+    half of the parts that agrees.
     """
     low, high = band_ends(i)
-    k = (den - num) * 2 * high // (den + num)
+    k = most_differing(i, num, den)
     parts = 4 if k <= FOUR_PARTS else 2
+    least = shared_at_least(i, num, den) - 1
     subsets, smallest = (6 if parts == 4 else 2), max(1, -(-low * num // den))
     best = None
     for spare in range(0, 2 + k // 2):
-        n1 = k // (parts // 2 + 1) + 1 + spare
+        n1 = k // (parts // 2 + 1) + 1 + spare + least
         # mean number of partitions of the smallest set with a subset below LEAST, and the chance that there are more than `spare`
         cover = smallest / (2 * n1)
         mean = n1 * min(1.0, subsets * math.exp(-cover) * sum(cover**j / math.factorial(j) for j in range(LEAST)))
@@ -120,8 +134,8 @@ def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
 
     A set takes part in the schemes of its own band and of those up to its largest possible
     partner's. Each part's content is a sum of hashes; a signature is a subset of a
-    partition's parts. Subsets below LEAST features say little and are left out: of spare + 1
-    agreeing partitions, one has no such subset. Where more than `spare` have one, which
+    partition's parts. Subsets below LEAST features say little and are left out: of the
+    agreeing partitions, enough have no such subset. Where more than `spare` have one, which
     is rare, the guarantee needs them, and they are kept.
     """
     size = len(s)
@@ -130,6 +144,8 @@ def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
     own, found = band_of(size), []
     sums_to = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix64(s))))
     for i in range(own, band_of(size * den // num) + 1):
+        if not most_differing(i, num, den):
+            continue  # only equal sets are similar, and those are known by their digest
         n1, parts, spare = scheme(i, num, den)
         at = np.append(np.searchsorted(s, cuts(n1 * parts)), size)  # sets are sorted, so a part is a run of them
         sums, sizes = np.diff(sums_to[at]).reshape(n1, parts), np.diff(at).reshape(n1, parts)
@@ -143,7 +159,7 @@ def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
             found.append(mix64(subs[some] ^ names_[some.ravel()]))
         else:
             found.append(mix64(subs.ravel() ^ names_))
-    return np.concatenate(found)
+    return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
 PAIRS = ((0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3))
@@ -192,7 +208,7 @@ def described(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                 ["doc_id", "n_shingles", "digest", "sketch"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, sketch binary")
+    return docs.mapInArrow(lambda batches: trimmed(run(batches)), "doc_id long, n_shingles long, digest binary, sketch binary")
 
 
 SIGNED = np.dtype([("sig", "<u8"), ("doc", "<i8"), ("size", "<i4")])
@@ -221,13 +237,13 @@ def signed(docs: DataFrame, n: int, num: int, den: int, buckets: int) -> DataFra
                 rows["sig"], rows["doc"], rows["size"] = sigs, doc, len(s)
                 held.append(rows)
                 count += len(rows)
-            if count > 3_000_000:
+            if count > 2_000_000:
                 yield from dealt(np.concatenate(held), buckets)
                 held, count = [], 0
         if count:
             yield from dealt(np.concatenate(held), buckets)
 
-    return docs.mapInArrow(run, "bucket int, kind int, rows binary")
+    return docs.mapInArrow(lambda batches: trimmed(run(batches)), "bucket int, kind int, rows binary")
 
 
 def packed(bucket: np.ndarray, kind: int, rows: np.ndarray) -> pa.RecordBatch:
@@ -275,25 +291,35 @@ def dealt(rows: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
 PAIRED = np.dtype([("sig", "<u8"), ("a", "<i8"), ("b", "<i8")])
 
 
+def counted(pairs: np.ndarray) -> np.ndarray:
+    """Pairs (a, b, n) once each, their n summed."""
+    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+    new = np.flatnonzero(np.append(True, (pairs[1:, 0] != pairs[:-1, 0]) | (pairs[1:, 1] != pairs[:-1, 1])))
+    return np.column_stack((pairs[new, :2], np.add.reduceat(pairs[:, 2], new))) if len(pairs) else pairs
+
+
 def matched(packs: DataFrame, buckets: int, num: int, den: int) -> DataFrame:
-    """(sig, a, b, group): candidate pairs a < b; rows of `group` pack members of larger groups.
+    """(sig, a, b, shared, group): candidate pairs a < b with a count of signatures they share, SHARED where one is
+    enough; rows of `group` pack members of larger groups, whose pairs are told with the first only.
 
     Of groups beyond a BLOCK, pairs have the sig, and (sig, a, a) tells its first.
     """
 
+    few_from = np.array([next(size for size in range(1, 1 << 62) if shared_at_least(band_of(size), num, den) > 1)])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = []
+        held: dict[int, list[bytes]] = {}
         for batch in batches:
-            for kind, data in zip(batch.column("kind").to_pylist(), batch.column("rows").to_pylist(), strict=True):
+            for bucket, kind, data in zip(*(batch.column(c).to_pylist() for c in ("bucket", "kind", "rows")), strict=True):
                 if kind:
                     p = unpacked(data, PAIRED)
                     yield pairs_batch(p["a"], p["b"], p["sig"])
                 else:
-                    held.append(unpacked(data, SIGNED))
-        if not held:
-            return
-        rows = np.concatenate(held)
-        del held
+                    held.setdefault(bucket, []).append(data)
+        while held:  # a bucket at a time, whatever else came to this task
+            yield from paired(np.concatenate([unpacked(d, SIGNED) for d in held.popitem()[1]]))
+
+    def paired(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         rows = rows[np.lexsort((rows["doc"], rows["sig"]))]
         at, length = runs(rows["sig"])
         marked = np.add.reduceat(rows["size"] < 0, at) > 0
@@ -308,9 +334,10 @@ def matched(packs: DataFrame, buckets: int, num: int, den: int) -> DataFrame:
             i, n = ragged(at[mid], length[mid]), length[mid]
             members = np.empty(len(i), MEMBER)
             members["sig"], members["doc"] = rows["sig"][i], doc[i]
-            yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * 3, pa.array([members.tobytes()], pa.binary())], ["sig", "a", "b", "group"])
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * 3, pa.nulls(1, pa.int32()), pa.array([members.tobytes()], pa.binary())], ["sig", "a", "b", "shared", "group"])
             stars = np.stack([np.repeat(doc[at[mid]], n), doc[i]], axis=1)
-            found.append(np.unique(stars[stars[:, 0] < stars[:, 1]], axis=0))
+            stars = np.unique(stars[stars[:, 0] < stars[:, 1]], axis=0)
+            yield pairs_batch(stars[:, 0], stars[:, 1], None, np.full(len(stars), SHARED))
         for step in range(1, FEW):  # in small groups, each with the one `step` further on
             i = np.repeat(at[~large & (length > step)], (length - step)[~large & (length > step)])
             if not len(i):
@@ -318,20 +345,25 @@ def matched(packs: DataFrame, buckets: int, num: int, den: int) -> DataFrame:
             i = i + (np.arange(len(i)) - np.repeat(np.cumsum(length[~large & (length > step)] - step) - (length[~large & (length > step)] - step), (length - step)[~large & (length > step)]))
             j = i + step
             fit = (size[i].astype(np.int64) * den >= size[j].astype(np.int64) * num) & (size[j].astype(np.int64) * den >= size[i].astype(np.int64) * num) & (doc[i] != doc[j])
-            found.append(np.unique(np.stack([doc[i[fit]], doc[j[fit]]], axis=1), axis=0))
+            i, j = i[fit], j[fit]
+            sure = np.searchsorted(few_from, np.maximum(size[i], size[j]), side="right")  # 0 where one shared signature is enough
+            found.append(np.stack([doc[i], doc[j], np.where(sure > 0, 1, SHARED)], axis=1))
+            if sum(map(len, found)) > 500_000:
+                found = [counted(np.concatenate(found))]
         if found:
-            pairs = np.unique(np.concatenate(found), axis=0)
-            yield pairs_batch(pairs[:, 0], pairs[:, 1], None)
+            pairs = counted(np.concatenate(found))
+            yield pairs_batch(pairs[:, 0], pairs[:, 1], None, pairs[:, 2])
 
-    return packs.repartition(buckets, "bucket").mapInArrow(run, "sig long, a long, b long, group binary")
+    return packs.repartition(buckets, "bucket").mapInArrow(lambda batches: trimmed(run(batches)), "sig long, a long, b long, shared int, group binary")
 
 
 MEMBER = np.dtype([("sig", "<u8"), ("doc", "<i8")])
 
 
-def pairs_batch(a: np.ndarray, b: np.ndarray, sig: np.ndarray | None) -> pa.RecordBatch:
+def pairs_batch(a: np.ndarray, b: np.ndarray, sig: np.ndarray | None, shared: np.ndarray | None = None) -> pa.RecordBatch:
+    told = np.full(len(a), SHARED) if shared is None else shared
     named = pa.nulls(len(a), pa.int64()) if sig is None else pa.array(sig.view(np.int64) if sig.flags.c_contiguous else sig.copy().view(np.int64), pa.int64())
-    return pa.RecordBatch.from_arrays([named, pa.array(np.ascontiguousarray(a), pa.int64()), pa.array(np.ascontiguousarray(b), pa.int64()), pa.nulls(len(a), pa.binary())], ["sig", "a", "b", "group"])
+    return pa.RecordBatch.from_arrays([named, pa.array(np.ascontiguousarray(a), pa.int64()), pa.array(np.ascontiguousarray(b), pa.int64()), pa.array(told.astype(np.int32)), pa.nulls(len(a), pa.binary())], ["sig", "a", "b", "shared", "group"])
 
 
 def folded(x: bytes, to: int) -> int:
@@ -360,7 +392,7 @@ def sketched(pairs: DataFrame, rows: DataFrame, num: int, den: int) -> DataFrame
             keep = [may_link(x, nx, y, ny, num, den) for x, nx, y, ny in zip(*(batch.column(c).to_pylist() for c in ("sa", "na", "sb", "nb")), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("a", "b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "sa", "nb", "sb").mapInArrow(run, "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "sa", "nb", "sb").mapInArrow(lambda batches: trimmed(run(batches)), "a long, b long")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -386,7 +418,7 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> D
                     keep.append(both > 0 and den * both >= num * (len(x) + len(y) - both))
                 yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("a", "b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb").mapInArrow(lambda batches: trimmed(run(batches)), "a long, b long")
 
 
 def across(groups: DataFrame, labels: DataFrame, rows: DataFrame, num: int, den: int) -> DataFrame:
@@ -533,12 +565,13 @@ def linked_classes(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, i
     the smallest id reachable by links. Ids move as numbers, signatures once, and texts only
     to be compared with candidates.
     """
+    small_batches(docs.sparkSession)
     own = cut_text(docs, ident, text)
     rows = materialise(described(own, n, num, den), "described")
     total = rows.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
-    buckets = max(8, int(total // 2_000_000))
+    buckets = max(8, int(total // 1_000_000))
     found = materialise(matched(signed(own, n, num, den, buckets), buckets, num, den), "matched")
-    near = materialise(sketched(found.where("a < b").select("a", "b").distinct(), rows, num, den), "near")
+    near = materialise(sketched(found.where("a < b").groupBy("a", "b").agg(F.sum("shared").alias("shared")).where(F.col("shared") >= SHARED).select("a", "b"), rows, num, den), "near")
     named = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("named"))
     same = rows.where("digest IS NOT NULL AND doc_id IS NOT NULL").join(named, "digest").where("doc_id > named").select(F.col("doc_id").alias("a"), F.col("named").alias("b"))
     texts = materialise(own.join(candidates(near, found), "doc_id", "left_semi"), "texts")

@@ -32,18 +32,18 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, mix64, ragged, text_bytes, text_chunks
+from .common import checkpointed, mix64, ragged, release, small_batches, text_bytes, text_chunks, trimmed
 from .suffix_array import suffix_arrays
 
 WINDOW, PIECE = 50, 20
 #: Rows of an anchor in a task beyond which it is frequent.
 FEW = 32
 #: Text of suffix arrays that are built at once.
-SORTED_BYTES = 1 << 20
+SORTED_BYTES = 512 << 10
 #: Text whose windows are hashed at once; numpy holds some 150 bytes for each of its bytes.
-HASHED_BYTES = 1 << 20
+HASHED_BYTES = 512 << 10
 #: Text for which anchors are dealt out at once, and for which a bucket is made.
-DEALT_BYTES, BUCKET_BYTES = 24 << 20, 8 << 20
+DEALT_BYTES, BUCKET_BYTES = 8 << 20, 8 << 20
 
 BYTE = mix64(np.arange(256, dtype=np.uint64) + np.uint64(0x51ED270B))
 ANCHORED = np.dtype([("k", "<u8"), ("c", "<u8"), ("doc", "<i8")])
@@ -205,7 +205,7 @@ def anchors(texts: DataFrame, buckets: int) -> DataFrame:
         if held:
             yield from dealt_anchors(np.concatenate(held), buckets)
 
-    return texts.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(run, PACKS)
+    return texts.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(lambda batches: trimmed(run(batches)), PACKS)
 
 
 def decided(rows: np.ndarray, marked: np.ndarray, by_window: bool, doc_buckets: int) -> Iterator[pa.RecordBatch]:
@@ -243,7 +243,7 @@ def fates(dealt: DataFrame, buckets: int, doc_buckets: int) -> DataFrame:
                     rows = np.concatenate([unpack_anchors(d) for d in packs_of.pop(kind)])
                     yield from decided(rows, marked, kind == 2, doc_buckets)
 
-    return dealt.repartition(buckets, "bucket").mapInArrow(run, PACKS)
+    return dealt.repartition(buckets, "bucket").mapInArrow(lambda batches: trimmed(run(batches)), PACKS)
 
 
 def squeezed(texts: DataFrame, bucket: Column) -> DataFrame:
@@ -255,7 +255,7 @@ def squeezed(texts: DataFrame, bucket: Column) -> DataFrame:
             data = [press.compress(t.encode("utf-8", "surrogatepass")) if t is not None else None for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("bucket"), pa.array([9] * batch.num_rows, pa.int32()), batch.column("doc_id"), batch.column("uid"), pa.array(data, pa.binary())], ["bucket", "kind", "doc_id", "uid", "data"])
 
-    return texts.select(F.coalesce(bucket, F.lit(0)).alias("bucket"), "doc_id", "uid", "text").mapInArrow(run, "bucket int, kind int, doc_id long, uid long, data binary")
+    return texts.select(F.coalesce(bucket, F.lit(0)).alias("bucket"), "doc_id", "uid", "text").mapInArrow(lambda batches: trimmed(run(batches)), "bucket int, kind int, doc_id long, uid long, data binary")
 
 
 def meeting(found: DataFrame, texts: DataFrame, buckets: int) -> DataFrame:
@@ -334,7 +334,7 @@ def candidates(met: DataFrame, buckets: int, uid_buckets: int) -> DataFrame:
                         data.append(np.uint32(len(part)).tobytes() + rows[part].tobytes() + x[ragged(place[part], length[part])].tobytes())
                     yield packs(to[order][heads].astype(np.int64), 1, data)
 
-    return met.mapInArrow(run, PACKS)
+    return met.mapInArrow(lambda batches: trimmed(run(batches)), PACKS)
 
 
 def cuts(uid: np.ndarray, start: np.ndarray, end: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
@@ -364,7 +364,7 @@ def compared(strings: DataFrame, buckets: int, uid_buckets: int) -> DataFrame:
             for uid, start, end in repeats(np.concatenate(rows), np.frombuffer(b"".join(data), np.uint8)):
                 yield from cuts(uid, start, end, uid_buckets)
 
-    return strings.repartition(buckets, "bucket").mapInArrow(run, PACKS)
+    return strings.repartition(buckets, "bucket").mapInArrow(lambda batches: trimmed(run(batches)), PACKS)
 
 
 def repeats(rows: np.ndarray, x: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -463,16 +463,19 @@ def kept(met: DataFrame) -> DataFrame:
                     out[c].append(v)
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]))
 
-    return met.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return met.mapInArrow(lambda batches: trimmed(run(batches)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def dedup(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row of `docs`."""
+    small_batches(docs.sparkSession)
     own = docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("uid", F.xxhash64("doc_id", "text"))
     buckets = max(9, text_bytes(own) // BUCKET_BYTES) | 1
     fated_ = fates(anchors(own, buckets), buckets, buckets)
     texts = squeezed(own, doc_bucket_column(F.col("doc_id"), buckets))
     found = checkpointed(candidates(meeting(fated_, texts, buckets), buckets, buckets))
+    del fated_, texts
+    release(docs.sparkSession)
     more = compared(found.where("kind = 1"), buckets, buckets)
     again = squeezed(own, F.pmod("uid", F.lit(buckets)).cast("int"))
     return kept(meeting(found.where("kind = 0").unionAll(more), again, buckets))
