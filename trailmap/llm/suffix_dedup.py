@@ -259,27 +259,31 @@ def squeezed(texts: DataFrame, bucket: Column) -> DataFrame:
 
 
 def meeting(found: DataFrame, texts: DataFrame, buckets: int) -> DataFrame:
-    """Packs, then texts, of each bucket in one partition."""
-    return found.select("bucket", "kind", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("uid"), "data").unionAll(texts).repartition(buckets, "bucket").sortWithinPartitions("kind")
+    """Packs and texts of each bucket in one partition, in any order."""
+    return found.select("bucket", "kind", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("uid"), "data").unionAll(texts).repartition(buckets, "bucket")
 
 
 def unsqueezed(batches: Iterator[pa.RecordBatch], packs_to: list[bytes], most: int = HASHED_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, list[int | None], list[int]]]:
-    """Puts packs into `packs_to`, then yields texts' bytes, bounds, ids and uids, a few MB at a time."""
-    unpress = zstandard.ZstdDecompressor()
-    data, ids, uids, size = [], [], [], 0
+    """Puts all packs into `packs_to`, then yields texts' bytes, bounds, ids and uids, some at a time.
+
+    A partition's texts are held compressed meanwhile, some MB as buckets go; sorting them in the JVM takes more.
+    """
+    unpress, held = zstandard.ZstdDecompressor(), []
     for batch in batches:
-        for kind, d, i, u in zip(*(batch.column(c).to_pylist() for c in ("kind", "data", "doc_id", "uid")), strict=True):
-            if kind != 9:
-                packs_to.append(d)
-                continue
+        for kind, *row in zip(*(batch.column(c).to_pylist() for c in ("kind", "data", "doc_id", "uid")), strict=True):
+            if kind == 9:
+                held.append(row)
+            else:
+                packs_to.append(row[0])
+    held.reverse()
+    while held:
+        data, ids, uids, size = [], [], [], 0
+        while held and size <= most:
+            d, i, u = held.pop()
             data.append(unpress.decompress(d) if d is not None else b"")
             ids.append(i)
             uids.append(u)
             size += len(data[-1])
-            if size > most:
-                yield np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]), ids, uids
-                data, ids, uids, size = [], [], [], 0
-    if data:
         yield np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]), ids, uids
 
 
