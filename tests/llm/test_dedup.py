@@ -159,3 +159,30 @@ def test_line_dedup(spark):
     docs = spark.createDataFrame(rows, DOCS).repartition(3).withColumn("runs", F.lit(1)).withColumn("lines", F.lit(2))
     assert rows_of(line_dedup.dedup(docs)) == without_runs(rows)
     assert line_dedup.dedup(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def without_passages(rows, words):
+    first, seeds = {}, []
+    filled = [(d, [x for x in (t or "").split("\n") if x.strip(line_dedup.BLANK)]) for d, t in rows]
+    for i, (d, x) in enumerate(filled):
+        for p in range(len(x)) if d is not None else ():
+            for n in (1, 2, 3):
+                k = tuple(x[p : p + n])
+                if len(k) == n and (n == 3 or sum(len(WORD.findall(y)) for y in k) >= words):
+                    seeds.append((i, d, p, k))
+                    first[k] = min((d, p), first.get(k, (d, p)))
+    gone = {(i, q) for i, d, p, k in seeds if first[k] < (d, p) for q in range(p, p + len(k))}
+    return [(d, [y for q, y in enumerate(x) if (i, q) not in gone]) for i, (d, x) in enumerate(filled)]
+
+
+def test_line_dedup_of_long_passages(spark):
+    g = random.Random(6)
+    lines = [" ".join(g.choice("abcde") for _ in range(g.choice([1, 2, 4, 5, 6, 9, 10, 11]))) for _ in range(40)]
+    rows = [(i, "\n".join(g.choice(lines) for _ in range(g.randrange(0, 9)))) for i in range(200)]
+    rows += [(300, "p " * 10), (301, "p " * 10), (302, "q " * 4 + "\n" + "r " * 6), (303, "q " * 4 + "\n\n" + "r " * 6), (304, "p " * 9), (305, "p " * 9), (None, "p " * 10)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    got = [(d, [x for x in t.split("\n") if x.strip(line_dedup.BLANK)]) for d, *_, t in line_dedup.dedup(docs, words=10).collect()]
+    assert sorted(got, key=str) == sorted(without_passages(rows, 10), key=str)
+    kept = dict(got)
+    assert kept[301] == [] == kept[303] and kept[305]
+    assert rows_of(line_dedup.dedup(docs)) == without_runs(rows)

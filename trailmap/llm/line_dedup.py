@@ -6,7 +6,8 @@ same place wherever the run stands. Only places whose fingerprint occurs again a
 at: their runs of three lines are joined to the run's first place, matches are extended
 both ways over equal lines, and of each match the later run is deleted. The result is
 exact: a line goes if some three lines over it also stand at an earlier place, in the
-order of (id, line).
+order of (id, line). With `words`, a run of one or two lines that has so many words counts
+as three lines do, so a repeated passage of that length is found however it is broken.
 
 Defined cases: a null text has no lines; lines without a word count for nothing and stay;
 overlapping repeats within a text count, so of a line said five times in a row three to
@@ -35,9 +36,10 @@ def has_word(line: str) -> bool:
     return bool(line.strip(BLANK))
 
 
-def line_hashes(text: str | None) -> np.ndarray:
-    """Hashes of the lines that have a word."""
-    return np.array([xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x in (text or "").split("\n") if has_word(x)], np.uint64)
+def line_hashes(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the lines that have a word, and how many words they have."""
+    filled = [x.encode("utf-8", "surrogatepass") for x in (text or "").split("\n") if has_word(x)]
+    return np.array([xxhash.xxh3_64_intdigest(x) for x in filled], np.uint64), np.array([len(x.split()) for x in filled], np.int64)
 
 
 def winnowed(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -50,19 +52,30 @@ def winnowed(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.minimum(grams[:-1], grams[1:]), runs
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, at, fp, run) for each run of three lines, and the document's line hashes at its first."""
+def short_runs(h: np.ndarray, n: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the runs of one and of two lines that have `words` words."""
+    one, two = np.flatnonzero(n >= words), np.flatnonzero(n[:-1] + n[1:] >= words)
+    with np.errstate(over="ignore"):
+        return np.concatenate((one, two)), np.concatenate((mix64(h[one]), mix64(h[two] * np.uint64(0x9E3779B97F4A7C15) + h[two + 1])))
+
+
+def fingerprints(docs: DataFrame, words: int | None) -> DataFrame:
+    """(doc_id, at, fp, run) for each run that counts, and the document's line hashes at its first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches):
             ids, ats, fps, runs, lines = [], [], [], [], []
             for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                h = line_hashes(t)
+                h, n = line_hashes(t)
                 f, r = winnowed(h)
+                at = np.arange(len(f))
+                if words is not None:
+                    short, hashes = short_runs(h, n, words)
+                    at, f, r = np.concatenate((at, short)), np.concatenate((f, hashes)), np.concatenate((r, hashes))
                 if i is None or not len(f):
                     continue
                 ids.append(np.full(len(f), i, np.int64))
-                ats.append(np.arange(len(f)))
+                ats.append(at)
                 fps.append(f)
                 runs.append(r)
                 lines += [h.tobytes()] + [None] * (len(f) - 1)
@@ -80,7 +93,7 @@ def extended(rows: DataFrame) -> DataFrame:
             ids, starts, ends = [], [], []
             for i, at, first_doc, first_at, own, other in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "at", "first_doc", "first_at", "own", "other")), strict=True):
                 a, b = np.frombuffer(own, np.uint64), np.frombuffer(other, np.uint64)
-                low, high = at, at + RUN
+                low, high = at, at + 1
                 while low > 0 and first_at - (at - low) > 0 and a[low - 1] == b[first_at - (at - low) - 1]:
                     low -= 1
                 while high < len(a) and first_at + high - at < len(b) and a[high] == b[first_at + high - at]:
@@ -115,19 +128,22 @@ def kept(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_lines long, n_removed long, n_runs long, text string")
 
 
-def dedup(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_lines, n_removed, n_runs, text) for every row of `docs`, text without the later runs."""
+def dedup(docs: DataFrame, ident: str = "doc_id", text: str = "text", words: int | None = None) -> DataFrame:
+    """(doc_id, n_lines, n_removed, n_runs, text) for every row of `docs`, text without the later runs.
+
+    `words`: of so many words, runs of one and of two lines count too.
+    """
     own = docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    prints = materialise(fingerprints(own), "fingerprints")
+    prints = materialise(fingerprints(own, words), "fingerprints")
     again = prints.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp")
     places = prints.select("doc_id", "at", "fp", "run").join(again, "fp", "left_semi").drop("fp")
     first = places.groupBy("run").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("run", "first")
     later = places.join(first, "run").where(F.struct("doc_id", "at") > F.col("first")).select("doc_id", "at", F.col("first.doc_id").alias("first_doc"), F.col("first.at").alias("first_at"))
     # a match's places follow each other, and only the first of them is looked up
     key = [(F.col("at") - F.col("first_at")).alias("shift")]
-    heads = later.select("doc_id", "first_doc", *key, "at", "first_at")
+    heads = later.select("doc_id", "first_doc", *key, "at").distinct()
     before = heads.select("doc_id", "first_doc", "shift", (F.col("at") + 1).alias("at"))
-    heads = heads.join(before, ["doc_id", "first_doc", "shift", "at"], "left_anti")
+    heads = heads.join(before, ["doc_id", "first_doc", "shift", "at"], "left_anti").withColumn("first_at", F.col("at") - F.col("shift"))
     lines = prints.where("lines IS NOT NULL").groupBy("doc_id").agg(F.min("lines").alias("lines"))
     met = heads.join(lines.withColumnRenamed("lines", "own"), "doc_id").join(lines.select(F.col("doc_id").alias("first_doc"), F.col("lines").alias("other")), "first_doc")
     runs = extended(met.select("doc_id", "at", "first_doc", "first_at", "own", "other")).distinct().groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
@@ -146,3 +162,20 @@ n AS (SELECT r, count(*) n_runs FROM (SELECT r, p FROM c WHERE NOT EXISTS (SELEC
 SELECT d.doc_id, coalesce(sum(filled::INT), 0)::BIGINT n_lines, coalesce(sum(gone::INT), 0)::BIGINT n_removed, coalesce(any_value(n_runs), 0)::BIGINT n_runs,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (WHERE NOT gone), '')) kept_sha256
 FROM d JOIN x USING (r) LEFT JOIN n USING (r) GROUP BY d.r, d.doc_id"""
+
+#: Words from which `PASSAGE_SQL` counts runs of one and of two lines.
+PASSAGE = 50
+
+PASSAGE_SQL = f"""
+WITH d AS (SELECT row_number() OVER () r, doc_id, coalesce(text, '') t FROM documents),
+l AS (SELECT r, doc_id, unnest(string_split(t, chr(10))) line, generate_subscripts(string_split(t, chr(10)), 1) k FROM d),
+f AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY k) p, len(regexp_extract_all(line, '[^ \\t\\n\\x0B\\f\\r]+')) q FROM l WHERE regexp_matches(line, '[^ \\t\\n\\x0B\\f\\r]')),
+v AS (SELECT r, doc_id, p, line a, lead(line) OVER o b, lead(line, 2) OVER o c, q, lead(q) OVER o q2 FROM f WINDOW o AS (PARTITION BY r ORDER BY p)),
+w AS (SELECT r, doc_id, p, 1 n, a s FROM v WHERE q >= {PASSAGE} UNION ALL SELECT r, doc_id, p, 2, a || chr(10) || b FROM v WHERE q + q2 >= {PASSAGE} UNION ALL SELECT r, doc_id, p, 3, a || chr(10) || b || chr(10) || c FROM v WHERE c IS NOT NULL),
+g AS (SELECT r, p, n FROM (SELECT r, p, n, doc_id, min({{'d': doc_id, 'p': p}}) OVER (PARTITION BY s) m FROM w WHERE doc_id IS NOT NULL) WHERE {{'d': doc_id, 'p': p}} > m),
+c AS (SELECT DISTINCT r, unnest(range(p, p + n)) p FROM g),
+x AS (SELECT l.r, l.k, l.line, f.p IS NOT NULL filled, c.p IS NOT NULL gone, f.p FROM l LEFT JOIN f USING (r, k) LEFT JOIN c ON c.r = f.r AND c.p = f.p),
+n AS (SELECT r, count(*) n_runs FROM (SELECT r, p FROM c WHERE NOT EXISTS (SELECT 1 FROM c b WHERE b.r = c.r AND b.p = c.p - 1)) GROUP BY r)
+SELECT d.doc_id, coalesce(sum(filled::INT), 0)::BIGINT n_lines, coalesce(sum(gone::INT), 0)::BIGINT n_removed, coalesce(any_value(n_runs), 0)::BIGINT n_runs,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (WHERE NOT gone), '')) kept_sha256
+FROM d JOIN x USING (r) LEFT JOIN n USING (r) GROUP BY d.r, d.doc_id"""

@@ -59,6 +59,11 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
+def op6_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_dedup.dedup(table(spark, sf_dir, "documents"), words=line_dedup.PASSAGE)
+    return rows.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_store(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1)
 
@@ -76,8 +81,8 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_toxicity, op3_suffix_dedup, op4_quality_rules, op5_chat_format, op6_line_dedup, op7_token_store, op8_decontaminate, op9_source_mix, op10_ngram_join)}
+    return {f.__name__: f for f in (op1_url_filter, op2_toxicity, op3_suffix_dedup, op4_quality_rules, op5_chat_format, op6_line_dedup, op6_passage_dedup, op7_token_store, op8_decontaminate, op9_source_mix, op10_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": url_filter.DUCKDB_SQL, "op4_quality_rules": quality_rules.duckdb_sql(), "op6_line_dedup": line_dedup.DUCKDB_SQL}
+    return {"op1_url_filter": url_filter.DUCKDB_SQL, "op4_quality_rules": quality_rules.duckdb_sql(), "op6_line_dedup": line_dedup.DUCKDB_SQL, "op6_passage_dedup": line_dedup.PASSAGE_SQL}
