@@ -128,6 +128,13 @@ def test_suffix_dedup(spark, monkeypatch, few):
     assert rows_of(suffix_dedup.dedup(docs)) == cut(rows)
 
 
+def test_suffix_dedup_where_short_hashes_of_contexts_meet(spark):
+    """Two windows with one anchor, unlike in bytes, whose contexts' hashes are equal in the 40 bits told of them before."""
+    a, b = "xbeiadzdsjutylashamqibqmadstrveddbuijncfghoexregab", "xbeiadzdsjutylashamqhjvndkfkglzuykaymixbqrvplfantp"
+    rows = [(1, a), (2, b), (3, a)]
+    assert rows_of(suffix_dedup.dedup(spark.createDataFrame(rows, DOCS))) == cut(rows)
+
+
 def test_suffix_dedup_of_nothing(spark):
     assert suffix_dedup.dedup(spark.createDataFrame([], DOCS)).count() == 0
 

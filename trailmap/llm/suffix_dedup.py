@@ -5,7 +5,8 @@ A byte goes if a 50-byte window over it also starts in a document with a smaller
 1. Of every window, the smallest hash among its 20-byte pieces is its anchor, so equal
    windows have equal anchors. Consecutive windows of one anchor are its context. Anchors
    and contexts travel as hashes, packed by range.
-2. Where documents share an anchor, equal contexts of all but the smallest id go whole.
+2. Where documents share an anchor, equal contexts of all but the smallest id go whole;
+   equal means by hash, 40 bits of the anchor and 64 of the context's bytes.
    Contexts that differ, which is where repeats begin and end, are sent as strings.
 3. Strings of one anchor are put into one text and its suffixes ordered (suffix_array).
    Windows that are equal are neighbours in that order; the smallest id keeps its own.
@@ -70,7 +71,7 @@ def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def contexts(x: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
-    """Anchors of all windows: text number, first and last window, hash of the anchor (40 bits) and of the context.
+    """Anchors of all windows: text number, first and last window, hash of the anchor (40 bits) and of the context (64 bits).
 
     `w` has the hash of the window at every byte.
     """
@@ -101,7 +102,7 @@ def contexts(x: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
     q = at[first]
     with np.errstate(over="ignore"):
         c = mix64(joined_hash(joined_hash(w[first], w[last]), ((q - first) * 64 + (last - first)).astype(np.uint64)))
-    return {"text": text[first], "first": first, "last": last, "k": piece[q] >> np.uint64(24), "c": c >> np.uint64(24), "w": w}
+    return {"text": text[first], "first": first, "last": last, "k": piece[q] >> np.uint64(24), "c": c, "w": w}
 
 
 def key_of(k: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -123,15 +124,15 @@ def pack_anchors(rows: np.ndarray) -> bytes:
     docs, which = np.unique(rows["doc"], return_inverse=True)
     width = 2 if len(docs) <= 1 << 16 else 4
     head = np.array([len(rows), len(docs), width], "<u4").tobytes()
-    return head + docs.astype("<i8").tobytes() + planes(np.ascontiguousarray(rows["k"]), 5) + planes(np.ascontiguousarray(rows["c"]), 5) + which.astype(f"<u{width}").tobytes()
+    return head + docs.astype("<i8").tobytes() + planes(np.ascontiguousarray(rows["k"]), 5) + planes(np.ascontiguousarray(rows["c"]), 8) + which.astype(f"<u{width}").tobytes()
 
 
 def unpack_anchors(data: bytes) -> np.ndarray:
     n, d, width = (int(v) for v in np.frombuffer(data, "<u4", 3))
     docs, at = np.frombuffer(data, "<i8", d, 12), 12 + 8 * d
     out = np.empty(n, ANCHORED)
-    out["k"], out["c"] = from_planes(data, n, 5, at), from_planes(data, n, 5, at + 5 * n)
-    out["doc"] = docs[np.frombuffer(data, f"<u{width}", n, at + 10 * n)]
+    out["k"], out["c"] = from_planes(data, n, 5, at), from_planes(data, n, 8, at + 5 * n)
+    out["doc"] = docs[np.frombuffer(data, f"<u{width}", n, at + 13 * n)]
     return out
 
 
