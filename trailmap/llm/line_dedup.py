@@ -1,9 +1,9 @@
-"""Removal of repeated runs of lines, by winnowing over line hashes.
+"""Removal of repeated runs of lines, by a join of the hashes of all runs of three lines.
 
-Lines with a word are hashed, each two neighbours make a gram, and of each two neighbouring
-grams the smaller hash is a fingerprint: so a run of RUN = 3 lines always holds one, at the
-same place wherever the run stands. Only places whose fingerprint occurs again are looked
-at: their runs of three lines are joined to the run's first place, matches are extended
+Lines with a word are hashed and every three neighbours make a run, RUN = 3; each run's
+place is told, so nothing is winnowed out. The smaller hash of a run's two grams goes along
+only to leave out, before the join, places whose value occurs once. The others' runs are
+joined to the run's first place, matches are extended
 both ways over equal lines, and of each match the later run is deleted. The result is
 exact: a line goes if some three lines over it also stand at an earlier place, in the
 order of (id, line). With `words`, a run of one or two lines that has so many words counts
