@@ -50,6 +50,14 @@ def test_url_as_of(spark):
     assert got == {1: ("block", "*.a.org", 1), 2: ("block", "a.org", 2), 3: ("allow", "a.org/x", 3), 4: ("allow", "a.org", 2), 5: ("block", "*.b.org", 1), 6: ("none", None, 0), 7: ("none", None, 0), 8: ("none", None, 0), 9: ("none", None, 0)}
 
 
+def test_url_of_deep_hosts(spark):
+    deep = ".".join(f"l{i}" for i in range(120))
+    log = [("*.c.d.e.f.g.h.i", 0, "block"), ("*.h.i", 0, "allow"), ("*." + deep, 0, "block"), (deep + "/x", 0, "allow"), ("*.l118.l119", 0, "allow")]
+    seen = [(1, "http://a.b.c.d.e.f.g.h.i/", 5), (2, "http://z.d.e.f.g.h.i/", 5), (3, f"http://{deep}/x", 5), (4, f"http://{deep}/y", 5)]
+    got = {r["page_id"]: (r["verdict"], r["n_active"]) for r in url_filter.evaluate(spark.createDataFrame(seen, "page_id long, url string, fetched_at long"), spark.createDataFrame(log, "key string, at long, action string")).collect()}
+    assert got == {1: ("block", 2), 2: ("allow", 1), 3: ("allow", 3), 4: ("block", 2)}
+
+
 def test_url_of_nothing(spark):
     e = spark.createDataFrame([], "key string, at long, action string")
     assert url_filter.evaluate(spark.createDataFrame([], "page_id long, url string, fetched_at long"), e).count() == 0

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 #: Seconds of a period. Intervals are cut at the periods' ends, so that captures meet only
 #: the entries of their own period however long a key's history is.
 PERIOD = 30 * 86_400
-#: Domains of a host that are looked up, the host itself aside.
+#: Labels of the domains that the SQL looks up; its list has none of more than two. The operator looks up all.
 MOST_LABELS = 6
 
 
@@ -49,7 +49,7 @@ def candidate_keys(host: Column, segment: Column) -> Column:
     """Keys that may hold for a url, the most particular first; array of (rank, key)."""
     labels = F.split(host, "[.]")
     n = F.size(labels)
-    domains = F.transform(F.sequence(F.lit(2), F.least(n, F.lit(MOST_LABELS))), lambda k: F.struct((F.lit(100) - k).alias("rank"), F.concat(F.lit("*."), F.array_join(F.slice(labels, -k, k), ".")).alias("key")))
+    domains = F.transform(F.sequence(F.lit(2), n), lambda k: F.struct((n - k + 2).alias("rank"), F.concat(F.lit("*."), F.array_join(F.slice(labels, -k, k), ".")).alias("key")))
     exact = F.array(F.struct(F.lit(0).alias("rank"), F.concat(host, F.lit("/"), segment).alias("key")), F.struct(F.lit(1).alias("rank"), host.alias("key")))
     return F.filter(F.concat(exact, F.when(n >= 2, domains).otherwise(F.slice(domains, 1, 0))), lambda x: x["key"].isNotNull())
 
