@@ -58,6 +58,14 @@ def test_url_of_deep_hosts(spark):
     assert got == {1: ("block", 2), 2: ("allow", 1), 3: ("allow", 3), 4: ("block", 2)}
 
 
+def test_url_has_a_row_for_each_capture(spark):
+    log = [("a.org/x", 0, "block"), ("*.a.org", 0, "allow"), ("a.org", 0, "allow")]
+    seen = [(None, "http://a.org/x", 5), (None, "http://a.org/y", 5), (None, "http://a.org/y?2", 5), (1, "http://a.org/x/1", 5), (1, "http://a.org/x/2", 5), (1, "http://a.org/", 5), (2, None, 5), (2, "none", 5), (3, "http://a.org/x", None), (3, "http://a.org/x", None), (4, "http://b", 5), (4, "http://b", 5)]
+    got = url_filter.evaluate(spark.createDataFrame(seen, "page_id long, url string, fetched_at long"), spark.createDataFrame(log, "key string, at long, action string")).collect()
+    rows = sorted(((r["page_id"] or 0, r["verdict"], r["n_active"]) for r in got))
+    assert rows == [(0, "allow", 2), (0, "allow", 2), (0, "block", 3), (1, "allow", 2), (1, "block", 3), (1, "block", 3), (2, "none", 0), (2, "none", 0), (3, "none", 0), (3, "none", 0), (4, "none", 0), (4, "none", 0)]
+
+
 def test_url_of_nothing(spark):
     e = spark.createDataFrame([], "key string, at long, action string")
     assert url_filter.evaluate(spark.createDataFrame([], "page_id long, url string, fetched_at long"), e).count() == 0

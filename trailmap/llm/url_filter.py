@@ -7,7 +7,7 @@ first: a host with its first path segment (`host/segment`), a host, and a domain
 ending at a dot; it holds for the hosts below it).
 
 Defined cases: a url that is null, empty or has no host matches nothing and gets `none`;
-so does a capture without a time. Captures equal in id, host and time are one row. Entries without key, time or action are ignored; of entries of
+so does a capture without a time. Every capture has a row of its own, whatever ids repeat or are null. Entries without key, time or action are ignored; of entries of
 one key at one time the alphabetically last action holds, as `block` after `allow`.
 """
 
@@ -64,17 +64,20 @@ def evaluate(captures: DataFrame, entries: DataFrame, ident: str = "page_id", ur
     """
     seen = captures.select(F.col(ident).alias("id"), F.col(url).alias("url"), F.col(at).cast("long").alias("t")).withColumn("host", host_of(F.col("url")))
     seen = seen.withColumn("segment", first_segment(F.col("url")))
-    looked = seen.select("id", "host", "t", F.explode_outer(candidate_keys(F.col("host"), F.col("segment"))).alias("c")).select("id", "host", "t", F.col("c.rank").alias("rank"), F.col("c.key").alias("key"), F.floor(F.col("t") / PERIOD).alias("period"))
+    looked = seen.select("id", "host", "segment", "t", F.explode_outer(candidate_keys(F.col("host"), F.col("segment"))).alias("c")).select("id", "host", "segment", "t", F.col("c.rank").alias("rank"), F.col("c.key").alias("key"), F.floor(F.col("t") / PERIOD).alias("period"))
     ends = captures.agg(F.min(F.col(at).cast("long")).alias("low"), F.max(F.col(at).cast("long")).alias("high")).first()
     low, high = (ends["low"], ends["high"]) if ends["low"] is not None else (0, -1)
     held = intervals(entries.select("key", F.col("at").cast("long").alias("at"), "action")).where((F.col("since") <= high) & (F.coalesce("until", F.lit(high + 1)) > low))
     first, last = F.floor(F.greatest("since", F.lit(low)) / PERIOD), F.floor((F.least(F.coalesce("until", F.lit(high + 1)), F.lit(high + 1)) - 1) / PERIOD)
     cut = held.withColumn("period", F.explode(F.sequence(first, last)))
     active = (looked["key"] == cut["key"]) & (looked["period"] == cut["period"]) & (looked["t"] >= cut["since"]) & (cut["until"].isNull() | (looked["t"] < cut["until"]))
-    met = looked.join(cut, active, "left").select("id", "host", looked["t"], "rank", looked["key"], "action")
+    met = looked.join(cut, active, "left").select("id", "host", "segment", looked["t"], "rank", looked["key"], "action")
     hit = F.col("action").isNotNull()
     best = F.min(F.when(hit, F.struct("rank", "key", "action")))
-    out = met.groupBy("id", "host", "t").agg(best.alias("best"), F.size(F.collect_set(F.when(hit, F.col("key")))).cast("long").alias("n_active"))
+    # captures alike in these have one verdict; each has one row for its host, or one without keys
+    times = F.count(F.when(F.coalesce("rank", F.lit(1)) == 1, 1)).cast("int").alias("times")
+    out = met.groupBy("id", "host", "segment", "t").agg(times, best.alias("best"), F.size(F.collect_set(F.when(hit, F.col("key")))).cast("long").alias("n_active"))
+    out = out.withColumn("time", F.explode(F.array_repeat(F.lit(0), F.col("times"))))
     return out.select(F.col("id").alias(ident), "host", F.coalesce("best.action", F.lit("none")).alias("verdict"), F.col("best.key").alias("matched_key"), "n_active")
 
 
