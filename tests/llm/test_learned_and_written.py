@@ -216,3 +216,20 @@ def test_pipeline_keeps_columns_and_clean_documents(spark, tmp_path):
     assert set(seen["toxicity"]) - set(seen["near_copies"]) == {1000, 1001}
     assert set(seen["near_copies"]) - set(seen["leaks"]) == {1002}
     assert sorted(seen["mix"]) == sorted(seen["tokens"]) and set(seen["mix"]) <= set(seen["leaks"])
+
+
+def test_near_copies_keep_unlike_texts_of_one_id(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    text = lambda c: " ".join(f"{c}{i}" for i in range(40))
+    rows = [(1, text("a")), (1, text("b")), (1, text("a")), (2, text("b")), (3, text("c")), (0, text("c") + " more"), (5, None), (None, text("a"))]
+    got = pipeline.without_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, text("a")), (1, text("b")), (0, text("c") + " more"), (5, None), (None, text("a"))], key=str)
+
+
+def test_later_stages_keep_rows_of_one_id_apart(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    spark.createDataFrame([(1, "item of the test set goes here ok")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(1, "x item of the test set goes here ok y", "a"), (1, "a clean text", "a"), (2, "one two three", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert sorted(map(tuple, pipeline.without_leaks(spark, docs, str(tmp_path)).collect())) == sorted(rows[1:])
+    assert sorted(map(tuple, pipeline.mixed(spark, docs, "").collect())) == sorted(rows)
