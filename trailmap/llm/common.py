@@ -112,8 +112,8 @@ def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text", most: i
             at = to
 
 
-def word_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Words of the texts as codes into a list of distinct words.
+def coded_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Words of the texts as codes into an array of distinct words.
 
     Returns the codes of all words one after another, where each text's words begin in
     them (one entry more than texts), and the distinct words.
@@ -122,14 +122,21 @@ def word_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     offsets = lists.offsets.to_numpy().astype(np.int64)
     flat = lists.values.slice(int(offsets[0]), int(offsets[-1] - offsets[0])).dictionary_encode()
     offsets -= offsets[0]
-    codes, distinct = flat.indices.to_numpy(zero_copy_only=False), flat.dictionary.to_pylist()
-    if "" in distinct:  # splits leave one where a text begins or ends with white space
-        keep = codes != distinct.index("")
+    codes, distinct = flat.indices.to_numpy(zero_copy_only=False), flat.dictionary
+    none = pc.index(distinct, "").as_py()
+    if none >= 0:  # splits leave one where a text begins or ends with white space
+        keep = codes != none
         offsets = np.concatenate(([0], np.cumsum(keep, dtype=np.int64)))[offsets]
         codes = codes[keep]
     return codes, offsets, distinct
 
 
+def word_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Like `coded_words`, with the distinct words as a list."""
+    codes, offsets, distinct = coded_words(texts)
+    return codes, offsets, distinct.to_pylist()
+
+
 def hash_words(distinct: list[str], seen: dict[str, int], most: int = 400_000) -> np.ndarray:
     """64-bit hashes of words; `seen` keeps them between calls and is emptied when it has `most`."""
     import xxhash
@@ -158,4 +165,6 @@ def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Indices start, start + 1, ... for each (start, count), one run after another."""
     ends = np.cumsum(counts)
     total = int(ends[-1]) if len(ends) else 0
-    return np.repeat(starts - (ends - counts), counts) + np.arange(total)
+    out = np.repeat(starts - (ends - counts), counts)
+    out += np.arange(total)
+    return out

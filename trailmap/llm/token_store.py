@@ -14,38 +14,37 @@ flag byte (0 for null) and the id as 8 big-endian bytes with the sign turned, so
 order is number order with null first.
 
 Defined cases: a null or empty text has only the end id; equal ids stay apart as entries
-of their own, ordered by text; an empty table has no shard and gives an empty result;
+of their own, ordered by a hash of the text; an empty table has no shard and gives an empty result;
 further columns of the input are not looked at.
 """
 
 from __future__ import annotations
 
-import array
 import bisect
 import functools
 import itertools
+import json
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ragged, text_chunks, word_codes, work_dir
+from .common import coded_words, ragged, text_chunks, trimmed, work_dir
 
 MAGIC = b"TRAILSST"
 FOOTER = struct.Struct("<QQQQQQII8s")
 INDEX = struct.Struct("<QIIQH")
 BLOCK_BYTES = 64 << 10
 BLOOM_BITS, BLOOM_PROBES = 10, 7
-#: Words whose ids a worker remembers.
-REMEMBERED = 400_000
-#: Text that is encoded at once.
-CODED_BYTES = 8 << 20
+#: Text that is encoded at once, and words that go to the model as one text.
+CODED_BYTES, JOINED = 8 << 20, 1024
 
 
 def key_of(ident: int | None) -> bytes:
@@ -182,65 +181,98 @@ class ShardReader:
         return found
 
 
-class WordEncoder:
-    """Ids of whole texts, encoding each distinct word once.
+# fixed values: the form of tokenizer file for which a text's ids are those of its words
+WORD_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+WORD_SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+WORD_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+WORD_END = "</w>"
+
+#: A word of Latin letters with marks after it: it is cut between the two, lower case is one character for one, and its letters are NFC.
+LETTERS_AND_MARKS = r"^(?P<stem>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[!-&(-/:-@\[-`{-~]*)$"
+
+
+def byte_letters() -> dict[int, str]:
+    """Letters beyond ASCII as the characters that stand for their bytes in a byte-level vocabulary."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    stands = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(shown))}
+    return {c: "".join(stands[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
 
-    The vocabulary drops white space and no token crosses it, so a text's ids are those of
-    its words in order; nor does one cross from letters to a full stop or comma, and case
-    is folded, so ASCII words that differ in these share their letters' ids. Remembered
-    words are kept in two generations: those not met again while REMEMBERED new ones come
-    are forgotten.
+
+class WordEncoder:
+    """Ids of whole texts, encoding each distinct word of a call once.
+
+    A vocabulary of words (WORD_NORMALIZER, WORD_SPLIT, WORD_BYTES) drops white space and no
+    token crosses it, so a text's ids are those of its words in order. Letters and the
+    marks after them are pieces of their own there, so words that differ in case or marks
+    share their letters' ids; letters go to the same model many at a time without the
+    steps that would leave them as they are. All other words go through the whole
+    tokenizer, and with any other kind of file, whole texts do.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.young, self.old = Tokenizer.from_file(path), {"": b""}, {}
-        if self.tokenizer.get_vocab_size() > 1 << 16:
-            raise ValueError("ids of this vocabulary don't fit 16 bits")
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for at in range(0, len(texts), 20_000):
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts[at : at + 20_000], add_special_tokens=False)]
-            flat, ends = array.array("H", itertools.chain.from_iterable(found)).tobytes(), [0, *itertools.accumulate(map(len, found))]
-            out += [flat[2 * a : 2 * b] for a, b in itertools.pairwise(ends)]
-        return out
-
-    def of_words(self, distinct: list[str]) -> list[bytes]:
-        if len(self.young) > REMEMBERED:
-            self.young, self.old = {"": b""}, self.young
-        young, old = self.young, self.old
-        ids = list(map(young.get, distinct))
-        split: list[tuple[int, str, str]] = []  # of words not known: place, what is encoded, what follows it
-        for i in [i for i, x in enumerate(ids) if x is None]:
-            w, end = distinct[i], ""
-            if w in old:
-                ids[i] = young[w] = old[w]
-                continue
-            if w.isascii():
-                end = w[-1] if w[-1] in ".," else ""
-                stem = w[: len(w) - len(end)]
-                w, end = (stem.lower(), end) if stem.isalpha() else (w, "")
-            split.append((i, w, end))
-        for part in {w for _, w, _ in split} | {end for _, _, end in split}:
-            if part not in young and part in old:
-                young[part] = old[part]
-        wanted = [x for x in {w for _, w, _ in split} | {end for _, _, end in split} if x not in young]
-        young.update(zip(wanted, self.encode(wanted), strict=True))
-        for i, w, end in split:
-            ids[i] = young[w] + young[end]
-        return ids
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        model = spec["model"]
+        self.by_words = spec["normalizer"] == WORD_NORMALIZER and spec["pre_tokenizer"] == {"type": "Sequence", "pretokenizers": [WORD_SPLIT, WORD_BYTES]} and model["type"] == "BPE" and model["end_of_word_suffix"] == WORD_END and not model["continuing_subword_prefix"] and not model["dropout"] and not model["unk_token"]
+        if self.by_words:
+            self.ends = np.zeros(max(model["vocab"].values()) + 1, bool)
+            self.ends[[i for t, i in model["vocab"].items() if t.endswith(WORD_END)]] = True
+            self.letters = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None, "added_tokens": []}))
+            self.shown = byte_letters()
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts, one text's after another's, and how many each has."""
+        out, sizes = [np.zeros(0, self.dtype)], []
+        for at in range(0, len(texts), 10_000):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts[at : at + 10_000], add_special_tokens=False)]
+            sizes += map(len, found)
+            out.append(np.fromiter(itertools.chain.from_iterable(found), self.dtype))
+        return np.concatenate(out), np.array(sizes, np.int64)
+
+    def of_stems(self, stems: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Like `encode`, for words of lower-case letters: the last token of each ends a word."""
+        cuts = np.minimum(np.arange(0, len(stems) + JOINED, JOINED), len(stems)).astype(np.int32)
+        lines = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts), stems), " ").to_pylist()
+        found = self.letters.encode_batch_fast([x if x.isascii() else x.translate(self.shown) for x in lines], add_special_tokens=False)
+        ids = np.concatenate([np.zeros(0, self.dtype), *(np.array(e.ids, self.dtype) for e in found)])
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(stems):
+            return self.encode(stems.to_pylist())
+        return ids, np.diff(ends, prepend=0)
+
+    def of_words(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Like `encode`, for words without white space."""
+        cut = pc.extract_regex(distinct, LETTERS_AND_MARKS)
+        plain = cut.is_valid().to_numpy(zero_copy_only=False)
+        stem, marks = (pc.struct_field(cut.drop_null(), f).dictionary_encode() for f in ("stem", "marks"))
+        low = pc.utf8_lower(stem.dictionary).dictionary_encode()
+        parts = [self.of_stems(low.dictionary), self.encode(marks.dictionary.to_pylist()), self.encode(distinct.filter(pa.array(~plain)).to_pylist())]
+        pool, sizes = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        starts = np.cumsum(sizes) - sizes
+        first, second = np.zeros(len(distinct), np.int64), np.full(len(distinct), len(sizes), np.int64)  # no second part
+        first[plain] = low.indices.to_numpy()[stem.indices.to_numpy()]
+        second[plain] = len(low.dictionary) + marks.indices.to_numpy()
+        first[~plain] = len(low.dictionary) + len(marks.dictionary) + np.arange(len(distinct) - plain.sum())
+        both = np.stack([first, second], axis=1)
+        starts, sizes = np.append(starts, 0)[both], np.append(sizes, 0)[both]
+        return pool[ragged(starts.ravel(), sizes.ravel())], sizes.sum(axis=1)
 
     def __call__(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by `end_id`, and where each text's begin (one entry more)."""
-        codes, offsets, distinct = word_codes(texts)
-        pieces = self.of_words(distinct)
-        flat = np.frombuffer(b"".join(pieces), np.uint16)
-        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 2
-        sizes, flat = np.append(sizes, 1), np.append(flat, np.uint16(end_id))
+        if self.by_words:
+            codes, offsets, distinct = coded_words(texts)
+            flat, sizes = self.of_words(distinct)
+        else:
+            flat, sizes = self.encode(pc.fill_null(texts, "").to_pylist())
+            codes, offsets = np.arange(len(texts)), np.arange(len(texts) + 1)
+        n = len(sizes)
+        sizes, flat = np.append(sizes, 1), np.append(flat, self.dtype(end_id))
         starts = np.cumsum(sizes) - sizes
-        with_end = np.insert(codes.astype(np.int64), offsets[1:], len(pieces))
+        with_end = np.insert(codes, offsets[1:], n)
         counts = sizes[with_end]
         ids = flat[ragged(starts[with_end], counts)]
         bounds = np.concatenate(([0], np.cumsum(counts)))[offsets + np.arange(len(offsets))]
@@ -249,14 +281,15 @@ class WordEncoder:
 
 @functools.cache
 def encoder(path: str) -> WordEncoder:
-    """One for a worker process, which goes on to further tasks with what it remembers."""
+    """One for a worker process; it keeps the vocabulary, and nothing of the texts."""
     return WordEncoder(path)
 
 
 def write_shards(docs: DataFrame, out: str, tokenizer: str, end_id: int = 1, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """Writes the shards under `out` and returns a row for each: shard, path, low, n_docs, n_ids (lazy: an action writes).
 
-    Documents are dealt by range of id, sorted where they land and streamed into files. A
+    Documents are dealt by range of id (and of a hash of the text, so that an id at very many
+    rows, or none, fills no single shard), sorted where they land and streamed into files. A
     file gets its name only when it is whole, and a repeated task writes the same bytes.
     """
 
@@ -278,7 +311,7 @@ def write_shards(docs: DataFrame, out: str, tokenizer: str, end_id: int = 1, ide
                 ids, bounds = encode(batch.column("text"), end_id)
                 for i, x in enumerate(batch.column("ident").to_pylist()):
                     if writer is None:
-                        low, writer = key_of(x), ShardWriter(stream)
+                        low, writer = key_of(x), ShardWriter(stream, np.dtype(encode.dtype).itemsize)
                     writer.add(key_of(x), ids[bounds[i] : bounds[i + 1]])
             if writer is not None:
                 writer.finish()
@@ -290,8 +323,9 @@ def write_shards(docs: DataFrame, out: str, tokenizer: str, end_id: int = 1, ide
         fs.move(hidden, name)
         yield pa.RecordBatch.from_pydict({"path": [name], "low": [low], "n_docs": [writer.entries], "n_ids": [writer.ids]})
 
-    rows = docs.select(F.col(ident).cast("long").alias("ident"), F.col(text).alias("text"))
-    return rows.repartitionByRange("ident").sortWithinPartitions("ident", "text").mapInArrow(write, "path string, low binary, n_docs long, n_ids long")
+    rows = docs.select(F.col(ident).cast("long").alias("ident"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"))
+    ordered = rows.repartitionByRange("ident", "hash").sortWithinPartitions("ident", "hash", "text").select("ident", "text")
+    return ordered.mapInArrow(lambda batches: trimmed(write(batches)), "path string, low binary, n_docs long, n_ids long")
 
 
 def read_shards(spark: SparkSession, out: str, shards: list[tuple[str, int]]) -> DataFrame:
