@@ -31,9 +31,9 @@ def learnable(ident: str = "doc_id") -> Column:
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = toxicity.train(docs, table(spark, sf_dir, "labels").where(learnable()))
-    rows = toxicity.score(docs, model)
-    held_out = F.coalesce(~learnable(), F.lit(False))
-    return rows.select("doc_id", held_out.alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= 0.7).cast("int").alias("predicted"), F.col("toxic_threshold").alias("lang_threshold"), F.col("is_toxic").cast("int").alias("lang_predicted"))
+    rows = toxicity.score(docs, model, into="t")
+    held_out, said = F.coalesce(~learnable(), F.lit(False)), F.col("t.score")
+    return rows.select("doc_id", held_out.alias("held_out"), said.alias("score"), (said >= 0.7).cast("int").alias("predicted"), F.col("t.threshold").alias("lang_threshold"), F.col("t.toxic").cast("int").alias("lang_predicted"))
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
