@@ -12,7 +12,8 @@ assembled as a stream into pieces of bounded length.
 
 Defined cases: null role or text is empty; turns of one number are ordered by role, then
 text, nulls first; rows that repeat are turns of their own; null is a conversation id like
-others; an empty table gives an empty result; further columns are not looked at.
+others; very long texts are encoded in parts, whose ids need not be the whole text's but
+say the same; an empty table gives an empty result; further columns are not looked at.
 """
 
 from __future__ import annotations
@@ -28,13 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, text_chunks, trimmed
 
 BEGIN, ROLE, TEXT, END = "<s>", "[INST]", "[/INST]", "</s>"
 CONTROLS = (BEGIN, ROLE, TEXT, END)
 TRAINED = "assistant"
 #: Ids of a piece of a conversation, about: it ends with the turn that passes this.
 PIECE = 1 << 16
+#: Characters that are encoded at once.
+ENCODED_CHARS = 1 << 14
 
 _PLAIN = re.compile(r"([<\[])(\\*)(s>|/s>|INST\]|/INST\])")
 _ESCAPED = re.compile(r"([<\[])\\(\\*)(s>|/s>|INST\]|/INST\])")
@@ -64,17 +67,30 @@ def encoding(path: str, pattern: str):
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), pieces, size
 
 
+def encoded_text(enc, text: str) -> np.ndarray:
+    """Ids of an escaped text; long ones are cut, where there is one before a space, as patterns recurse over long runs."""
+    ids, at = [], 0
+    while at < len(text):
+        end = len(text)
+        if end - at > ENCODED_CHARS:
+            space = text.rfind(" ", at + 1, at + ENCODED_CHARS)
+            end = space if space > at else at + ENCODED_CHARS
+        ids.append(np.array(enc.encode_ordinary(text[at:end]), "<u4"))
+        at = end
+    return np.concatenate(ids) if ids else np.zeros(0, "<u4")
+
+
 def encoded(turns: DataFrame, path: str, pattern: str) -> DataFrame:
     """Turns with the ids of role and text, each encoded for itself after escaping."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path, pattern)[0]
-        ids = lambda s: np.array(enc.encode_ordinary(escape(s)) if s else [], "<u4").tobytes()
-        for batch in batches:
+        ids = lambda s: encoded_text(enc, escape(s or "")).tobytes()
+        for batch in text_chunks(batches):
             made = [pa.array(map(ids, batch.column(c).to_pylist()), pa.binary()) for c in ("role", "text")]
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, "role_ids", "text_ids"])
 
-    return turns.select("conv_id", "turn", "role", "text").mapInArrow(run, "conv_id long, turn long, role string, text string, role_ids binary, text_ids binary")
+    return turns.select("conv_id", "turn", "role", "text").mapInArrow(lambda batches: trimmed(run(batches)), "conv_id long, turn long, role string, text string, role_ids binary, text_ids binary")
 
 
 def assembled(turns: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -109,12 +125,12 @@ def assembled(turns: DataFrame, path: str, pattern: str) -> DataFrame:
                 segments += [mark(role), np.frombuffer(r, "<u4"), mark(text), t, mark(end)]
                 if who == TRAINED and len(t):
                     trained.append(len(segments) - 2)
-                size += len(t)
+                size += len(r) // 4 + len(t)
         if segments:
             yield flush()
 
     ordered = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return ordered.select("conv_id", "role", "role_ids", "text_ids").mapInArrow(run, "conv_id long, piece long, ids binary, mask binary")
+    return ordered.select("conv_id", "role", "role_ids", "text_ids").mapInArrow(lambda batches: trimmed(run(batches)), "conv_id long, piece long, ids binary, mask binary")
 
 
 def read_back(pieces: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -147,7 +163,7 @@ def read_back(pieces: DataFrame, path: str, pattern: str) -> DataFrame:
             yield row()
 
     ordered = pieces.repartition("conv_id").sortWithinPartitions("conv_id", "piece")
-    return ordered.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return ordered.mapInArrow(lambda batches: trimmed(run(batches)), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def format_chats(turns: DataFrame, path: str, pattern: str) -> DataFrame:
