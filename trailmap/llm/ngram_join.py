@@ -6,10 +6,13 @@ Sizes come in bands, with a scheme each. Documents that share a signature are ca
 sketches that never overstate a difference drop most of them, and the rest are compared
 exactly.
 
-Few documents with a signature are paired at once. Where there are more, each is paired
-with the group's first; when the links so found have joined documents to components, the
-pairs across components are tested too, block by block, so no link is lost and no group
-is ever spread out as all its pairs.
+Schemes are wide enough that similar sets share SHARED signatures, not one only. Few
+documents with a signature are paired at once, and pairs that meet at fewer signatures are
+dropped as numbers, before anything else is looked up. Where there are more, each is
+paired with the group's first only. A forest of the pairs, the smallest partner of each
+document, is compared exactly and joined to components; then the pairs across components
+are tested, those of larger groups block by block. So no link is lost, no group is ever
+spread out as all its pairs, and of a group of copies few texts are sent.
 
 Defined cases: a null or empty text has no shingles and no links; equal sets are linked;
 rows with one id are one document that has the links of all of them; null ids take no part
@@ -31,13 +34,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .common import hash_words, materialise, mix64, ragged, text_chunks, word_codes
+from .common import hash_words, materialise, mix64, ragged, text_chunks, trimmed, word_codes
 
 #: Ratio of a size band's ends.
 BAND = 1.2
 #: Up to this many differing features, subsets of half of four parts are enumerated; beyond it, one part of two.
 FOUR_PARTS = 24
 
+#: Signatures that similar sets share at least.
+SHARED = 2
 #: Documents of a signature that are paired with each other at once; more are first paired with one.
 FEW = 32
 #: Features a subset must have to be told; common lines would share smaller ones.
@@ -95,7 +100,7 @@ def scheme(i: int, num: int, den: int) -> tuple[int, int, int]:
     With similarity num / den or more, sets of sizes a <= b differ in at most
     (den - num) * (a + b) / (den + num) features, so in at most k over the band. Of the
     partitions, at most k // (parts // 2 + 1) have more than half of their parts differing,
-    so the others, spare + 1 or more, hold a subset of half of the parts that agrees.
+    so the others, spare + SHARED or more, hold a subset of half of the parts that agrees.
     """
     low, high = band_ends(i)
     k = (den - num) * 2 * high // (den + num)
@@ -103,7 +108,7 @@ def scheme(i: int, num: int, den: int) -> tuple[int, int, int]:
     subsets, smallest = (6 if parts == 4 else 2), max(1, -(-low * num // den))
     best = None
     for spare in range(0, 2 + k // 2):
-        n1 = k // (parts // 2 + 1) + 1 + spare
+        n1 = k // (parts // 2 + 1) + SHARED + spare
         # mean number of partitions of the smallest set with a subset below LEAST, and the chance that there are more than `spare`
         cover = smallest / (2 * n1)
         mean = n1 * min(1.0, subsets * math.exp(-cover) * sum(cover**j / math.factorial(j) for j in range(LEAST)))
@@ -116,12 +121,12 @@ def scheme(i: int, num: int, den: int) -> tuple[int, int, int]:
 
 
 def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
-    """64-bit signatures of a set: two sets that are similar enough share one at least.
+    """64-bit signatures of a set: two sets that are similar enough share SHARED at least.
 
     A set takes part in the schemes of its own band and of those up to its largest possible
     partner's. Each part's content is a sum of hashes; a signature is a subset of a
-    partition's parts. Subsets below LEAST features say little and are left out: of spare + 1
-    agreeing partitions, one has no such subset. Where more than `spare` have one, which
+    partition's parts. Subsets below LEAST features say little and are left out: of spare +
+    SHARED agreeing partitions, SHARED have no such subset. Where more than `spare` have one, which
     is rare, the guarantee needs them, and they are kept.
     """
     size = len(s)
@@ -161,7 +166,7 @@ def sketch(s: np.ndarray, num: int, den: int) -> np.ndarray:
 
 
 def sketch_bits(band: int) -> int:
-    return max(64, 1 << (2 * band_ends(band)[1] - 1).bit_length())
+    return max(64, 1 << (band_ends(band)[1] - 1).bit_length())
 
 
 @functools.lru_cache(512)
@@ -192,7 +197,7 @@ def described(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                 ["doc_id", "n_shingles", "digest", "sketch"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, sketch binary")
+    return docs.mapInArrow(lambda batches: trimmed(run(batches)), "doc_id long, n_shingles long, digest binary, sketch binary")
 
 
 SIGNED = np.dtype([("sig", "<u8"), ("doc", "<i8"), ("size", "<i4")])
@@ -227,23 +232,38 @@ def signed(docs: DataFrame, n: int, num: int, den: int, buckets: int) -> DataFra
         if count:
             yield from dealt(np.concatenate(held), buckets)
 
-    return docs.mapInArrow(run, "bucket int, kind int, rows binary")
+    return docs.mapInArrow(lambda batches: trimmed(run(batches)), "bucket int, kind int, rows binary")
 
 
-def packed(bucket: np.ndarray, kind: int, rows: np.ndarray) -> pa.RecordBatch:
-    """Rows by bucket; each column's bytes together, as they compress better."""
+def packed(bucket: np.ndarray, kind: int, rows: np.ndarray, pack) -> pa.RecordBatch:
+    """Rows by bucket."""
     at = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-    cut = [b"".join(rows[f][a:z].tobytes() for f in rows.dtype.names) for a, z in zip(at, np.append(at[1:], len(rows)), strict=True)]
+    cut = [pack(rows[a:z]) for a, z in zip(at, np.append(at[1:], len(rows)), strict=True)]
     return pa.RecordBatch.from_arrays([pa.array(bucket[at], pa.int32()), pa.array([kind] * len(at), pa.int32()), pa.array(cut, pa.binary())], ["bucket", "kind", "rows"])
 
 
-def unpacked(data: bytes, dtype: np.dtype) -> np.ndarray:
-    n, at = len(data) // dtype.itemsize, 0
-    out = np.empty(n, dtype)
-    for f in dtype.names:
-        part = dtype[f]
-        out[f] = np.frombuffer(data, part, n, at)
-        at += n * part.itemsize
+def byte_planes(x: np.ndarray) -> bytes:
+    """Numbers with their first bytes together, then their second ones: sorted numbers compress so."""
+    return x.view(np.uint8).reshape(len(x), -1).T.tobytes()
+
+
+def pack_signed(rows: np.ndarray) -> bytes:
+    """Rows sorted by signature; each document's id and size once, with its number in the rows."""
+    docs, first, which = np.unique(rows["doc"], return_index=True, return_inverse=True)
+    width = 2 if len(docs) <= 1 << 16 else 4
+    head = np.array([len(rows), len(docs), width], "<u4").tobytes()
+    return head + byte_planes(docs.astype("<i8")) + rows["size"][first].astype("<i4").tobytes() + byte_planes(np.ascontiguousarray(rows["sig"])) + which.astype(f"<u{width}").tobytes() + np.packbits(rows["size"] < 0).tobytes()
+
+
+def unpack_signed(data: bytes) -> np.ndarray:
+    n, d, width = (int(v) for v in np.frombuffer(data, "<u4", 3))
+    plane = lambda k, at, kind: np.ascontiguousarray(np.frombuffer(data, np.uint8, 8 * k, at).reshape(8, k).T).view(kind).ravel()
+    out = np.empty(n, SIGNED)
+    which = np.frombuffer(data, f"<u{width}", n, 12 + 12 * d + 8 * n)
+    out["sig"], out["doc"] = plane(n, 12 + 12 * d, "<u8"), plane(d, 12, "<i8")[which]
+    out["size"] = np.abs(np.frombuffer(data, "<i4", d, 12 + 8 * d))[which]
+    marked = np.unpackbits(np.frombuffer(data, np.uint8, (n + 7) // 8, 12 + 12 * d + (8 + width) * n), count=n).astype(bool)
+    out["size"][marked] *= -1
     return out
 
 
@@ -266,17 +286,17 @@ def dealt(rows: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
         pairs["a"] = np.repeat(rows["doc"][at], length)[many & ~first]
         to = (mix64(led["doc"].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(to, kind="stable")
-        yield packed(to[order], 1, pairs[order])
+        yield packed(to[order], 1, pairs[order], lambda rows: rows.tobytes())
         rows["size"][many & first] *= -1
         rows = rows[~many | first]
-    yield packed(((rows["sig"] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64), 0, rows)
+    yield packed(((rows["sig"] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64), 0, rows, pack_signed)
 
 
 PAIRED = np.dtype([("sig", "<u8"), ("a", "<i8"), ("b", "<i8")])
 
 
 def matched(packs: DataFrame, buckets: int, num: int, den: int) -> DataFrame:
-    """(sig, a, b, group): candidate pairs a < b; rows of `group` pack members of larger groups.
+    """(sig, a, b, n, group): pairs a < b that meet at n signatures; rows of `group` pack members of larger groups.
 
     Of groups beyond a BLOCK, pairs have the sig, and (sig, a, a) tells its first.
     """
@@ -286,10 +306,10 @@ def matched(packs: DataFrame, buckets: int, num: int, den: int) -> DataFrame:
         for batch in batches:
             for kind, data in zip(batch.column("kind").to_pylist(), batch.column("rows").to_pylist(), strict=True):
                 if kind:
-                    p = unpacked(data, PAIRED)
+                    p = np.frombuffer(data, PAIRED)
                     yield pairs_batch(p["a"], p["b"], p["sig"])
                 else:
-                    held.append(unpacked(data, SIGNED))
+                    held.append(unpack_signed(data))
         if not held:
             return
         rows = np.concatenate(held)
@@ -308,30 +328,53 @@ def matched(packs: DataFrame, buckets: int, num: int, den: int) -> DataFrame:
             i, n = ragged(at[mid], length[mid]), length[mid]
             members = np.empty(len(i), MEMBER)
             members["sig"], members["doc"] = rows["sig"][i], doc[i]
-            yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * 3, pa.array([members.tobytes()], pa.binary())], ["sig", "a", "b", "group"])
-            stars = np.stack([np.repeat(doc[at[mid]], n), doc[i]], axis=1)
-            found.append(np.unique(stars[stars[:, 0] < stars[:, 1]], axis=0))
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * 3, pa.nulls(1, pa.int32()), pa.array([members.tobytes()], pa.binary())], ["sig", "a", "b", "n", "group"])
+            one, many = np.repeat(at[mid], n), i
+            found.append(pairs_of(one[fits(size, one, many, num, den)], many[fits(size, one, many, num, den)], doc))
         for step in range(1, FEW):  # in small groups, each with the one `step` further on
             i = np.repeat(at[~large & (length > step)], (length - step)[~large & (length > step)])
             if not len(i):
                 break
             i = i + (np.arange(len(i)) - np.repeat(np.cumsum(length[~large & (length > step)] - step) - (length[~large & (length > step)] - step), (length - step)[~large & (length > step)]))
             j = i + step
-            fit = (size[i].astype(np.int64) * den >= size[j].astype(np.int64) * num) & (size[j].astype(np.int64) * den >= size[i].astype(np.int64) * num) & (doc[i] != doc[j])
-            found.append(np.unique(np.stack([doc[i[fit]], doc[j[fit]]], axis=1), axis=0))
+            fit = fits(size, i, j, num, den)
+            found.append(pairs_of(i[fit], j[fit], doc))
         if found:
-            pairs = np.unique(np.concatenate(found), axis=0)
-            yield pairs_batch(pairs[:, 0], pairs[:, 1], None)
+            pairs, times = counted(np.concatenate(found))
+            yield pairs_batch(pairs["a"], pairs["b"], None, times)
+
+    return packs.repartition(buckets, "bucket").mapInArrow(lambda batches: trimmed(run(batches)), "sig long, a long, b long, n int, group binary")
+
+
+PAIR = np.dtype([("a", "<i8"), ("b", "<i8")])
+
+
+def fits(size: np.ndarray, i: np.ndarray, j: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether sets of these sizes can be similar enough."""
+    x, y = size[i].astype(np.int64), size[j].astype(np.int64)
+    return (x * den >= y * num) & (y * den >= x * num)
+
+
+def pairs_of(i: np.ndarray, j: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    out = np.empty(len(i), PAIR)
+    out["a"], out["b"] = doc[i], doc[j]
+    return out[out["a"] < out["b"]]
+
 
-    return packs.repartition(buckets, "bucket").mapInArrow(run, "sig long, a long, b long, group binary")
+def counted(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs and how often each stands."""
+    pairs = pairs[np.lexsort((pairs["b"], pairs["a"]))]
+    new = np.append(True, (pairs["a"][1:] != pairs["a"][:-1]) | (pairs["b"][1:] != pairs["b"][:-1])) if len(pairs) else np.zeros(0, bool)
+    at = np.flatnonzero(new)
+    return pairs[at], np.diff(np.append(at, len(pairs)))
 
 
 MEMBER = np.dtype([("sig", "<u8"), ("doc", "<i8")])
 
 
-def pairs_batch(a: np.ndarray, b: np.ndarray, sig: np.ndarray | None) -> pa.RecordBatch:
+def pairs_batch(a: np.ndarray, b: np.ndarray, sig: np.ndarray | None, n: np.ndarray | None = None) -> pa.RecordBatch:
     named = pa.nulls(len(a), pa.int64()) if sig is None else pa.array(sig.view(np.int64) if sig.flags.c_contiguous else sig.copy().view(np.int64), pa.int64())
-    return pa.RecordBatch.from_arrays([named, pa.array(np.ascontiguousarray(a), pa.int64()), pa.array(np.ascontiguousarray(b), pa.int64()), pa.nulls(len(a), pa.binary())], ["sig", "a", "b", "group"])
+    return pa.RecordBatch.from_arrays([named, pa.array(np.ascontiguousarray(a), pa.int64()), pa.array(np.ascontiguousarray(b), pa.int64()), pa.array(np.ones(len(a), np.int32) if n is None else n.astype(np.int32)), pa.nulls(len(a), pa.binary())], ["sig", "a", "b", "n", "group"])
 
 
 def folded(x: bytes, to: int) -> int:
@@ -524,14 +567,19 @@ def linked_classes(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, i
     total = rows.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     buckets = max(8, int(total // 2_000_000))
     found = materialise(matched(signed(own, n, num, den, buckets), buckets, num, den), "matched")
-    near = sketched(found.where("a < b").select("a", "b").distinct(), rows, num, den)
+    met = found.where("a < b").groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= SHARED).select("a", "b")
+    near = materialise(sketched(met, rows, num, den), "near")
+    forest = near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     named = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("named"))
     same = rows.where("digest IS NOT NULL AND doc_id IS NOT NULL").join(named, "digest").where("doc_id > named").select(F.col("doc_id").alias("a"), F.col("named").alias("b"))
-    links = materialise(verified(near, own, n, num, den).unionAll(same), "links")
+    links = materialise(verified(forest, own, n, num, den).unionAll(same), "links")
     labels = components(links, "a", "b")
     wide = found.where("sig IS NOT NULL")
     groups = wide.select("sig", F.col("a").alias("doc_id")).unionAll(wide.select("sig", F.col("b").alias("doc_id"))).distinct()
-    open_ = across(groups, labels, rows, num, den).unionAll(across_packed(found.where("group IS NOT NULL"), labels, rows, buckets, num, den)).distinct()
+    label = lambda c: labels.select(F.col("doc_id").alias(c), F.col("component").alias(f"c{c}"))
+    apart = F.coalesce("ca", "a") != F.coalesce("cb", "b")
+    rest = near.join(label("a"), "a", "left").join(label("b"), "b", "left").where(apart).select("a", "b").join(forest, ["a", "b"], "left_anti")
+    open_ = rest.unionAll(across(groups, labels, rows, num, den)).unionAll(across_packed(found.where("group IS NOT NULL"), labels, rows, buckets, num, den)).distinct()
     more = materialise(verified(open_, own, n, num, den), "more-links")
     if not more.isEmpty():
         labels = components(links.unionAll(more), "a", "b")
