@@ -48,7 +48,7 @@ def test_link(spark, given, wanted):
 
 
 def test_backend_noise_is_dropped_before_backends_are_kept(spark):
-    noise = X.is_noise_call(F.col("c"), F.col("m"), X.is_backend_caller(F.col("c")), F.lit(False), navigation.NOISE_METHODS, navigation.FREE_FUNCTIONS)
+    noise = X.is_noise_call(F.col("c"), F.col("m"), X.is_backend_caller(F.col("c")), F.lit(False), X.NOISE_METHODS, X.FREE_FUNCTIONS)
     assert one(spark, noise, c="this.http", m="get") is True
     assert one(spark, noise, c="this.http", m="post") is False
     assert one(spark, noise, c="console", m="log") is True
@@ -101,7 +101,7 @@ def test_redirects_stop_loop_end_and_give_up(spark):
 
 def test_an_href_also_makes_a_virtual_route(spark):
     calls = spark.createDataFrame([("w", "href", None, 1, "this", "http://x", []), ("v", "routerLink", None, 1, "this", "nowhere", []), ("u", "click", "go()", 1, "this.router", "navigate", ["a", "b"]), ("t", "click", None, 1, "this.userService", "load", []), ("t", "click", None, 2, "this.userService", "pipe", [])], "widget string, event string, handler string, call_ord long, caller string, called string, data array<string>")
-    got = {tuple(r) for r in navigation.widget_transitions(calls, routes(spark, "/a/:id")).collect()}
+    got = {tuple(r) for r in navigation.widget_transitions(calls, routes(spark, "/a/:id")).select("src", "dst", "type", "dst_type").collect()}
     assert got == {("w", "http://x", "href", "external-route"), ("w", "/ui/w/href", "href", "virtual-route"), ("v", "/ui/v/routerLink", "routerLink", "virtual-route"), ("u", "/a/:id", "click", "route"), ("t", "/backend/user/load", "service-call", "backend")}
 
 
@@ -178,5 +178,75 @@ def test_template_widgets(spark):
     w = html.widgets(rows).orderBy("pos").collect()
     assert [r["tag"] for r in w] == ["form", "input", "button", "a", "input"]
     assert [r["type"] for r in w] == ["form", "text", "submit", "a", "text"]
-    assert w[1]["rules"] == "required" and w[2]["triggers_submit"] and w[2]["id"].startswith("send_it_now__")
-    assert w[1]["id"].startswith("email__") and w[4]["id"].endswith("__2")
+    assert w[1]["rules"] == ["required"] and w[2]["triggers_submit"] and w[2]["id"].startswith("1__button__send_it_now__")
+    assert w[1]["id"].startswith("1__input__email__") and w[4]["id"].startswith("1__input__email__") and w[1]["id"] != w[4]["id"]
+    assert [r["parent_id"] for r in w] == [None, w[0]["id"], w[0]["id"], None, None]
+    assert [tuple(e) for e in w[0]["events"]] == [("ngSubmit", "save")] and [tuple(e) for e in w[3]["events"]] == [("routerLink", "/u")]
+
+
+def test_widgets_bubble_and_are_named_by_their_longest_text(spark):
+    page = """<section (click)="pick($event)"><p>short</p><span>a longer text</span><em *ngIf="x">the longest text of all here</em><ng-template><b>or this one which is longer still</b></ng-template>{{ bound and very very very long }}
+<div><div (hover)="h()"><my-el (x)="y()"></my-el></div></div></section><app-a (go)="g()"></app-a><APP-b></APP-b><form [formGroup]="theForm value"></form><input id=" own " [(ngModel)]="m"><a routerLink="/a/{{ b.c }}/d" href="">x</a>"""
+    rows = html.elements(spark.createDataFrame([("k", page)], "sel string, html string"), "sel")
+    w = html.widgets(rows, "sel").orderBy("pos").collect()
+    ids = [r["id"] for r in w]
+    assert ids[3] == "k__APP-A"
+    assert ids[0].startswith("k__section__a_longer_text__") and ids[1:3] == ["k__DIV", "k__MY-EL"] and ids[4].startswith("k__form__theForm__") and ids[5] == "k__own" and ids[6].startswith("k__a___a_{{_b.c_}}_d__")
+    assert [r["parent_id"] for r in w] == [None, ids[0], ids[1], None, None, None, None]
+    assert [tuple(e) for e in w[0]["events"]] == [("click", "pick($event)")] and [tuple(e) for e in w[5]["events"]] == [("ngModelChange", "m")] and [tuple(e) for e in w[6]["events"]] == [("routerLink", "/a/:c/d")]
+    assert [(r["name"], r["ord"]) for r in html.nested(rows, "sel").orderBy("ord").collect()] == [("app-a", 9), ("APP-b", 10)]
+
+
+def test_symbolic_ids_are_numbered_as_elements_end(spark):
+    rows = html.elements(spark.createDataFrame([("k", "<div (a)='x()'><div (a)='y()'></div></div><div (a)='z()'></div>")], "sel string, html string"), "sel")
+    assert [r["id"] for r in html.widgets(rows, "sel").orderBy("pos").collect()] == ["k__DIV__2", "k__DIV", "k__DIV__3"]
+
+
+def test_bounded_closures_raise_when_cut_short(spark):
+    edges = spark.createDataFrame([(str(i), str(i + 1)) for i in range(5)], "src string, dst string")
+    start = spark.createDataFrame([("o", "0")], "origin string, id string")
+    assert closure.reach(start, edges, most=6).count() == 6
+    with pytest.raises(RuntimeError, match="not complete"):
+        closure.reach(start, edges, most=3)
+
+
+def test_first_transition_stands_with_what_it_was(spark):
+    calls = spark.createDataFrame(
+        [("w", "click", "a()", 5, "this.userService", "load", []), ("w", "blur", "b()", 2, "this.userService", "load", []), ("w", "blur", "b()", 3, "this", "show", []), ("w", "blur", "b()", 1, "this", "hide", [])],
+        "widget string, event string, handler string, call_ord int, caller string, called string, data array<string>",
+    )
+    got = [r.asDict() for r in navigation.widget_transitions(calls, routes(spark, "/a")).collect()]
+    assert len(got) == 1 and got[0]["dst"] == "/backend/user/load" and got[0]["source_event"] == "blur" and got[0]["handler"] == "b()" and got[0]["effects"] == ["hide", "show"] and got[0]["service"] == "user"
+
+
+def test_report_registry_and_lookups(spark):
+    nodes = spark.createDataFrame([("w__0123abcd", "widget"), ("/a", "route"), ("/b", "backend")], "id string, type string")
+    steps = spark.createDataFrame([("j", 0, "widget", "w"), ("j", 1, "route", "/b"), ("k", 0, "widget", "none__89abcdef"), ("k", 1, "backend", "/b")], "journey string, pos int, step_type string, node_id string")
+    r = validation.report(nodes, steps).first()
+    assert (r["missing"], r["tail_mismatches"], r["base_looking_widgets"]) == (2, 1, 1)
+    assert [(e["node_id"], e["suggested"]) for e in r["examples"]] == [("w", "w__0123abcd"), ("none__89abcdef", None)]
+    reg = validation.Registry(spark.createDataFrame([("b", 1), ("A", 2)], "id string, n int"))
+    assert [x["id"] for x in reg.all().collect()] == ["A", "b"] and reg.has("b") and reg.size() == 2 and reg.clear().size() == 0
+    more = reg.add(spark.createDataFrame([("b", 9)], "id string, n int"))
+    assert more.get("b").first()["n"] == 9 and more.remove("A").size() == 1
+
+
+def test_cache_on_a_stream_and_of_analyses(spark, tmp_path):
+    schema = "event_id long, key string, ms long, op string, value string"
+    rows = [(1, "k", 0, "get", None), (2, "k", 10, "set", "v"), (3, "k", 20, "get", None), (4, "k", 111, "get", None), (5, "k", 112, "set", "w"), (6, "k", 113, "delete", None), (7, "k", 114, "get", None)]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    q = stateful.cache_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), 100).writeStream.format("memory").queryName("cached").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert {r["event_id"]: r["value"] for r in spark.sql("SELECT * FROM cached").collect()} == {1: None, 3: "v", 4: None, 7: None}
+    assert stateful.swept(spark.createDataFrame([("a", 5), ("b", 4)], "key string, ends long"), 5).count() == 1
+    now = [0]
+    cache = stateful.AnalysisCache(10, lambda: now[0])
+    assert not cache.put_journey("a", "j", 1)
+    cache.put("a", "graph", "routes")
+    now[0] = 8
+    assert cache.put_journey("a", "j", 1) and cache.put_scenario("a", "j", "s", 2) and not cache.put_scenario("a", "x", "s", 2)
+    now[0] = 18
+    assert cache.get("a")["journeys"]["j"]["scenarios"] == {"s": 2}
+    now[0] = 19
+    assert cache.get("a") is None

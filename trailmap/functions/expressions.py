@@ -12,6 +12,18 @@ TERMINALS = ("route", "external-route", "backend", "virtual-route")
 NAVIGATION_EVENTS = ("routerLink", "href", "static-redirect", "submit")
 SERVICE_CALLER = r"(?i)\bthis\.(?:[A-Za-z]\w*Service|http|httpClient|api)(?=\.|$)"
 ROUTER_CALL = r"\.\s*navigate(?:ByUrl)?\s*(?:\(|$)"
+HEX_SUFFIX = r"__[0-9a-fA-F]{8}(?=\z|/)"
+# the class that a lazy loader names
+LAZY_CLASS = r"\.then\(\s*\w+\s*=>\s*\w+\.(\w+)\)"
+# methods that never name a backend's operation, and creation functions
+NOISE_METHODS = (
+    "pipe", "subscribe", "toPromise", "then", "catch", "finally",
+    "map", "switchMap", "mergeMap", "concatMap", "exhaustMap",
+    "tap", "catchError", "finalize", "shareReplay", "debounceTime",
+    "throttleTime", "delay", "filter", "take", "takeUntil", "first", "last", "scan",
+    "log", "toLocaleDateString", "readAsDataURL", "reset", "get",
+)
+FREE_FUNCTIONS = ("of", "from", "timer", "interval")
 HTML_RULES = ("required", "pattern", "min", "max", "minLength", "maxLength")
 # ------------------------------------------------------------------------------
 
@@ -31,7 +43,7 @@ def unquoted(x: Column) -> Column:
 def selector_to_class(selector: Column) -> Column:
     """app-foo-bar -> FooBarComponent; '' without a hyphen."""
     parts = F.split(selector, "-")
-    up = F.transform(F.slice(parts, 2, 100_000), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 100_000)))
+    up = F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2))))
     return F.when(F.size(parts) < 2, "").otherwise(F.concat(F.array_join(up, ""), F.lit("Component")))
 
 
@@ -80,7 +92,7 @@ def is_backend_caller(text: Column) -> Column:
 
 def is_noise_call(caller: Column, method: Column, backend: Column, navigation: Column, methods: tuple[str, ...], functions: tuple[str, ...]) -> Column:
     """Noise methods first, even of backends; then backends and navigation stay; then console.log and free functions go."""
-    return F.when(method.isin(*methods), True).when(backend | navigation, False).when((caller == "console") & (method == "log"), True).otherwise((F.coalesce(caller, F.lit("")) == "") & method.isin(*functions))
+    return F.when(method.isin(*methods), True).when(backend | navigation, False).when((caller == "console") & (method == "log"), True).otherwise(~F.contains(F.coalesce(caller, F.lit("")), F.lit(".")) & method.isin(*functions))
 
 
 def service_name(x: Column) -> Column:
@@ -95,7 +107,7 @@ def title_case(segment: Column) -> Column:
     """user-list -> User List; null for ''."""
     clean = F.regexp_replace(segment, "^:", "")
     words = F.filter(F.split(clean, "-"), lambda w: w != "")
-    made = F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 100_000))), " ")
+    made = F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2)))), " ")
     return F.when(made != "", made)
 
 
@@ -115,7 +127,7 @@ def external_label(url: Column) -> Column:
 def backend_label(ident: Column) -> Column:
     parts = F.filter(F.split(ident, "/"), lambda p: p != "")
     second = F.get(parts, F.lit(1))
-    return F.when(F.size(parts) <= 1, "Background Action").when(F.size(parts) == 2, F.concat(F.lit("Call "), second, F.lit(" service"))).otherwise(F.concat(F.lit("Call "), second, F.lit("."), F.array_join(F.slice(parts, 3, 100_000), ".")))
+    return F.when(F.size(parts) <= 1, "Background Action").when(F.size(parts) == 2, F.concat(F.lit("Call "), second, F.lit(" service"))).otherwise(F.concat(F.lit("Call "), second, F.lit("."), F.array_join(F.slice(parts, F.lit(3), F.greatest(F.size(parts) - 2, F.lit(0))), ".")))
 
 
 def virtual_label(ident: Column) -> Column:
@@ -138,6 +150,24 @@ def via_of(kind: Column, source_event: Column) -> Column:
     return F.when(kind == "service-call", F.coalesce(source_event, F.lit("click"))).otherwise(kind)
 
 
+def is_terminal(kind: Column) -> Column:
+    """Kinds of nodes at which a journey may end."""
+    return F.coalesce(kind.isin(*TERMINALS), F.lit(False))
+
+
+def terminal_of(kind: Column) -> Column:
+    """A node's kind as a journey's end: what isn't one is a virtual route."""
+    return F.when(is_terminal(kind), kind).otherwise("virtual-route")
+
+
+def is_backend(kind: Column) -> Column:
+    return F.coalesce(kind == "backend", F.lit(False))
+
+
+def is_virtual(kind: Column) -> Column:
+    return F.coalesce(kind == "virtual-route", F.lit(False))
+
+
 def step_signature(steps: Column) -> Column:
     """type:node@via of each step, joined by arrows."""
     return F.array_join(F.transform(steps, lambda s: F.concat(s["step_type"], F.lit(":"), s["node_id"], F.when(F.coalesce(s["via"], F.lit("")) != "", F.concat(F.lit("@"), s["via"])).otherwise(""))), "→")

@@ -14,15 +14,20 @@ DEFAULTS = {"email": "user@example.com", "number": "1", "date": "2000-01-01", "t
 HINTS = (("data-e2e", '[data-e2e="%s"]'), ("id", "#%s"), ("formControlName", '[formControlName="%s"]'), ("name", '[name="%s"]'), ("aria-label", '[aria-label="%s"]'), ("role", '[role="%s"]'), ("matTooltip", '[matTooltip="%s"]'))
 
 
+# fixed values: forms of references, and messages
+REF_ID, REF_ATTR, QUOTED = r"^#([\w\-:./]+)\z", r"(?i)^attr\((.+)\)\z", r'^"([^"]*)"\z'
+NEEDS_REF, NEEDS_VALUE, UNKNOWN = " needs a widget ref", ' needs <ref> = "value"', 'Unknown command "'
+
+
 def _ref(raw: Column) -> tuple[Column, Column]:
     """(id, display) of `#id` or `attr(...)`, null for anything else."""
     t = X.trimmed(raw)
-    ident, attr = F.regexp_extract(t, r"^#([\w\-:./]+)\z", 1), F.regexp_extract(t, r"(?i)^attr\((.+)\)\z", 1)
+    ident, attr = F.regexp_extract(t, REF_ID, 1), F.regexp_extract(t, REF_ATTR, 1)
     return F.when(ident != "", ident).when(attr != "", F.concat(F.lit("attr:"), attr)), F.when((ident == "") & (attr != ""), F.concat(F.lit("attr("), attr, F.lit(")")))
 
 
 def _quoted(s: Column) -> Column:
-    return F.when(X.trimmed(s).rlike(r'^"[^"]*"\z'), F.regexp_extract(X.trimmed(s), r'^"([^"]*)"\z', 1))
+    return F.when(X.trimmed(s).rlike(QUOTED), F.regexp_extract(X.trimmed(s), QUOTED, 1))
 
 
 def parsed(scripts: DataFrame) -> DataFrame:
@@ -47,7 +52,7 @@ def parsed(scripts: DataFrame) -> DataFrame:
         F.when(clicks | assigned, display).alias("display"),
         F.when(assigned & ident.isNotNull(), F.coalesce(_quoted(right), right)).alias("value"),
         F.when(head == "NOOP", F.coalesce(_quoted(rest), F.nullif(rest, F.lit("")), F.lit("noop"))).alias("reason"),
-        F.when(clicks & ident.isNull(), F.concat(head, F.lit(" needs a widget ref"))).when(assigned & ident.isNull(), F.concat(head, F.lit(' needs <ref> = "value"'))).when(~head.isin("NAVIGATE", "NOOP") & ~clicks & ~assigned, F.concat(F.lit('Unknown command "'), head, F.lit('"'))).alias("message"),
+        F.when(clicks & ident.isNull(), F.concat(head, F.lit(NEEDS_REF))).when(assigned & ident.isNull(), F.concat(head, F.lit(NEEDS_VALUE))).when(~head.isin("NAVIGATE", "NOOP") & ~clicks & ~assigned, F.concat(F.lit(UNKNOWN), head, F.lit('"'))).alias("message"),
     )
 
 
@@ -81,6 +86,19 @@ def selector_hint(attributes: Column) -> Column:
     return F.coalesce(*[F.when(F.coalesce(F.try_element_at(attributes, F.lit(k)), F.lit("")) != "", F.format_string(f, F.try_element_at(attributes, F.lit(k)))) for k, f in HINTS])
 
 
+def widgets_of(nodes: DataFrame) -> DataFrame:
+    """(id, type, attributes, rules, triggers_submit) of a graph's widgets; the type is the attribute of that name, else the word widget."""
+    own = nodes.where("type = 'widget'")
+    kind = F.coalesce(F.nullif(F.try_element_at("attributes", F.lit("type")), F.lit("")), F.lit("widget"))
+    none = F.expr("cast(array() as array<string>)")
+    return own.select("id", kind.alias("type"), "attributes", F.coalesce("rules", none).alias("rules"), F.coalesce("triggers_submit", F.lit(False)).alias("triggers_submit"))
+
+
+def widget_meta(via: Column, rules: Column, options: Column, attributes: Column) -> Column:
+    """What an action notes of its widget: via, validators, options if there are any, and the best selector."""
+    return F.struct(via.alias("via"), F.coalesce(rules, F.expr("cast(array() as array<string>)")).alias("validators"), F.when(F.size(options) > 0, options).alias("options"), selector_hint(attributes).alias("selector_hint"))
+
+
 def inferred(steps: DataFrame, widgets: DataFrame) -> DataFrame:
     """(journey, order, kind, target_type, target_id, value) from steps (journey, pos, step_type, node_id, via).
 

@@ -29,22 +29,28 @@ def first_filled(value: Column, order: Column) -> Column:
     return F.min_by(F.nullif(value, F.lit("")), F.when(F.nullif(value, F.lit("")).isNotNull(), order))
 
 
-def merged_array(values: Column, order: Column) -> Column:
-    """Distinct members of arrays, in the order in which they are first met."""
-    found = F.array_sort(F.collect_list(F.struct(order.alias("o"), values.alias("v"))))
-    return F.array_distinct(F.flatten(F.transform(found, lambda x: F.coalesce(x["v"], F.expr("cast(array() as array<string>)")))))
-
-
-def merged_map(values: Column, order: Column) -> Column:
-    """Maps laid over each other in order: later entries win."""
-    found = F.array_sort(F.collect_list(F.struct(order.alias("o"), F.map_entries(values).alias("v"))))
-    entries = F.flatten(F.transform(found, lambda x: F.coalesce(x["v"], F.expr("cast(array() as array<struct<key: string, value: string>>)"))))
-    latest = F.aggregate(entries, F.expr("cast(map() as map<string, string>)"), lambda acc, e: F.map_concat(F.map_filter(acc, lambda k, _: k != e["key"]), F.map_from_entries(F.array(e))))
-    return latest
-
-
 def merge_routes(routes: DataFrame, scalars: tuple[str, ...], arrays: tuple[str, ...] = (), maps: tuple[str, ...] = (), key: str = "route", order: str = "ord") -> DataFrame:
-    """One row for each path: scalars first filled, guards united, maps laid over each other, place of the first."""
+    """One row for each path: scalars first filled, guards united as first met, maps laid over each other, place of the first.
+
+    Members and entries are combined by (path, column, member) before they are put
+    together, so what is held of a path is what it has, not its rows.
+    """
     o = F.col(order)
-    made = [first_filled(F.col(c), o).alias(c) for c in scalars] + [merged_array(F.col(c), o).alias(c) for c in arrays] + [merged_map(F.col(c), o).alias(c) for c in maps]
-    return routes.groupBy(key).agg(*made, F.min(order).alias(order))
+    one = routes.groupBy(key).agg(*[first_filled(F.col(c), o).alias(c) for c in scalars], F.min(order).alias(order))
+    if not arrays and not maps:
+        return one
+    kind = "array<struct<c: string, p: int, k: string, v: string>>"
+    none_of = lambda t: F.expr(f"cast(array() as array<{t}>)")
+
+    def members(c: str) -> Column:
+        return F.transform(F.coalesce(F.col(c), none_of("string")), lambda v, i: F.struct(F.lit(c).alias("c"), i.alias("p"), v.alias("k"), v.alias("v")))
+
+    def entries(c: str) -> Column:
+        return F.transform(F.coalesce(F.map_entries(c), none_of("struct<key: string, value: string>")), lambda e: F.struct(F.lit(c).alias("c"), F.lit(0).alias("p"), e["key"].alias("k"), e["value"].alias("v")))
+
+    told = routes.select(key, o.alias("_o"), F.explode(F.concat(*[x.cast(kind) for x in (*map(members, arrays), *map(entries, maps))])).alias("m"))
+    found = told.groupBy(key, F.col("m.c").alias("c"), F.col("m.k").alias("k")).agg(F.min(F.struct("_o", "m.p")).alias("at"), F.max_by("m.v", "_o").alias("v"))
+    whole = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("c", "at", "k", "v"))).alias("_all"))
+    own = lambda c: F.filter(F.coalesce("_all", F.expr("cast(array() as array<struct<c: string, at: struct<_o: bigint, p: int>, k: string, v: string>>)")), lambda x: x["c"] == c)
+    made = [F.transform(own(c), lambda x: x["v"]).alias(c) for c in arrays] + [F.map_from_entries(F.transform(own(c), lambda x: F.struct(x["k"], x["v"]))).alias(c) for c in maps]
+    return one.join(whole, key, "left").select(key, *scalars, *made, order)

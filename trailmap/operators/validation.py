@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trailmap.functions import expressions as X
+from trailmap.sources.requests import by_name
+
+from .matching import suggest_ids
+
 
 def missing_nodes(steps: DataFrame, nodes: DataFrame) -> DataFrame:
     """Steps whose node isn't in the graph."""
@@ -38,3 +43,57 @@ def final_set(original: DataFrame, removed: DataFrame, merged_from: DataFrame, *
     for a in added:
         out = out.unionByName(a)
     return out
+
+
+#: Examples of missing nodes that a report shows, and candidates that it names for one.
+EXAMPLES, NAMED = 10, 3
+
+
+def report(nodes: DataFrame, steps: DataFrame, examples: int = EXAMPLES) -> DataFrame:
+    """One row about journeys' steps (journey, pos, step_type, node_id) against the graph's nodes (id, type).
+
+    How many steps name no node, with some examples in the order of journey and step (of
+    the same base id: the only node, or the first few); how many last steps are of another
+    type than their node; how many widget steps have no hexadecimal suffix.
+    """
+    known = nodes.select(F.col("id").alias("node_id"), F.col("type").alias("node_type")).dropDuplicates(["node_id"])
+    at = steps.join(known, "node_id", "left").withColumn("_last", F.max("pos").over(Window.partitionBy("journey")) == F.col("pos"))
+    absent = F.col("node_type").isNull()
+    counts = at.agg(
+        F.count_if(absent).alias("missing"),
+        F.count_if(F.col("_last") & ~absent & (F.col("node_type") != F.col("step_type"))).alias("tail_mismatches"),
+        F.count_if((F.col("step_type") == "widget") & ~F.col("node_id").rlike(X.HEX_SUFFIX)).alias("base_looking_widgets"),
+    )
+    first = at.where(absent).orderBy("journey", "pos").limit(examples).select("journey", "pos", "step_type", "node_id")
+    said = first.join(suggest_ids(first.select("node_id"), nodes, limit=NAMED), "node_id", "left")
+    shown = said.agg(F.array_sort(F.collect_list(F.struct("journey", "pos", "step_type", "node_id", "suggested", "ambiguous"))).alias("examples"))
+    return counts.withColumn("_one", F.lit(1)).join(shown.withColumn("_one", F.lit(1)), "_one").drop("_one")
+
+
+class Registry:
+    """Journeys by id, over a table (id, ...): an added one takes the place of one with its id."""
+
+    def __init__(self, journeys: DataFrame):
+        self.journeys = journeys
+
+    def get(self, ident: str) -> DataFrame:
+        return self.journeys.where(F.col("id") == ident)
+
+    def all(self) -> DataFrame:
+        """Sorted by id, as a reader would."""
+        return by_name(self.journeys)
+
+    def has(self, ident: str) -> bool:
+        return not self.get(ident).isEmpty()
+
+    def add(self, more: DataFrame) -> Registry:
+        return Registry(self.journeys.join(more.select("id"), "id", "left_anti").select(*self.journeys.columns).unionByName(more))
+
+    def remove(self, ident: str) -> Registry:
+        return Registry(self.journeys.where(F.col("id") != ident))
+
+    def size(self) -> int:
+        return self.journeys.count()
+
+    def clear(self) -> Registry:
+        return Registry(self.journeys.limit(0))

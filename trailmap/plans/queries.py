@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailmap.functions import expressions as X
-from trailmap.operators import actions, closure, dedupe, journeys, matching, navigation, roles, validation
+from trailmap.operators import actions, closure, dedupe, graph, journeys, matching, navigation, refine, roles, screenshots, validation
 from trailmap.sources import html, requests
 from trailmap.sources.tables import Tables
 from trailmap.streaming import stateful
@@ -98,7 +98,7 @@ CASE event_type WHEN 'click' THEN false WHEN 'view' THEN false ELSE true END AS
 def _(t):
     c, caller, method = calls(t), F.col("caller"), F.col("method")
     nav, backend = X.is_router_call(F.concat(caller, F.lit("."), method)), X.is_backend_caller(caller)
-    return c.select("event_id", nav.alias("is_nav"), backend.alias("is_backend"), X.is_noise_call(caller, method, backend, nav, navigation.NOISE_METHODS, navigation.FREE_FUNCTIONS).alias("is_noise"), X.service_name(caller).alias("service"))
+    return c.select("event_id", nav.alias("is_nav"), backend.alias("is_backend"), X.is_noise_call(caller, method, backend, nav, X.NOISE_METHODS, X.FREE_FUNCTIONS).alias("is_noise"), X.service_name(caller).alias("service"))
 
 
 @query("expr_link", """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '/u/' || user_id WHEN event_id % 3 = 1 THEN '/u/:id' ELSE '/u' || user_id END AS link FROM events""")
@@ -155,16 +155,15 @@ def _(t):
     return t.supplier.select("s_suppkey").join(t.lineitem.where("l_returnflag = 'R'").select(F.col("l_suppkey").alias("s_suppkey")), "s_suppkey", "left_semi").distinct()
 
 
-ROUTES = f"""(SELECT '/' || l || '/:id' AS route, row_number() OVER (ORDER BY l) AS ord FROM (SELECT DISTINCT string_split({PATH}, '/')[2] l FROM pages) WHERE l <> 'es' UNION ALL SELECT {PATH}, 1000 + page_id FROM pages WHERE page_id % 50 = 0)"""
+ROUTES = f"""(SELECT '/' || l || '/:id' AS route, row_number() OVER (ORDER BY l) AS ord FROM (SELECT DISTINCT string_split({PATH}, '/')[2] l FROM pages) WHERE l <> 'es' UNION ALL SELECT {PATH}, 1000 + page_id FROM pages WHERE string_split({PATH}, '/')[2] <> 'de')"""
 
 
 def page_routes(t: Tables) -> DataFrame:
-    p = t.pages_paths()
-    langs = p.select(F.get(F.split("path", "/"), F.lit(1)).alias("l")).distinct().where("l <> 'es'")
-    from pyspark.sql import Window
-
-    shapes = langs.select(F.concat(F.lit("/"), "l", F.lit("/:id")).alias("route"), F.row_number().over(Window.orderBy("l")).cast("long").alias("ord"))
-    return shapes.unionAll(p.where("page_id % 50 = 0").select("path", F.col("page_id") + 1000))
+    """A template for each language but one, and every page's own path but those of another language."""
+    p = t.pages_paths().withColumn("l", F.get(F.split("path", "/"), F.lit(1)))
+    langs = p.where("l <> 'es'").agg(F.array_sort(F.collect_set("l")).alias("l"))
+    shapes = langs.select(F.posexplode("l").alias("at", "l")).select(F.concat(F.lit("/"), "l", F.lit("/:id")).alias("route"), (F.col("at") + 1).cast("long").alias("ord"))
+    return shapes.unionAll(p.where("l <> 'de'").select("path", F.col("page_id") + 1000))
 
 
 @query("join_theta_canonical_route", f"""WITH r AS {ROUTES}, t AS (SELECT page_id, {PATH} AS target FROM pages),
@@ -174,14 +173,13 @@ def _(t):
     return matching.canonical_routes(t.pages_paths().select("page_id", F.col("path").alias("target")), page_routes(t)).select("page_id", "target", "canonical")
 
 
-@query("join_fallback_contains", """SELECT s_name AS id, coalesce(any_value(e.rules), arg_min(f.rules, f.ord)) AS rules FROM supplier LEFT JOIN (SELECT 'n' || n_nationkey control, n_name rules FROM nation) e ON e.control = 'n' || (s_suppkey % 50) LEFT JOIN (SELECT n_nationkey ord, n_nationkey::VARCHAR c, n_name rules FROM nation) f ON contains(lower(s_name), f.c) GROUP BY s_name""")
+@query("join_fallback_contains", """WITH w AS (SELECT s_name AS id, s_nationkey % 5 AS comp, 'n' || (s_suppkey % 50) AS control FROM supplier), k AS (SELECT n_regionkey AS comp, CASE WHEN n_nationkey % 2 = 0 THEN 'n' || n_nationkey ELSE n_nationkey::VARCHAR END AS control, n_name AS rules, n_nationkey AS ord FROM nation)
+SELECT w.id, coalesce(any_value(e.rules), arg_min(f.rules, f.ord)) AS rules FROM w LEFT JOIN k e ON e.comp = w.comp AND e.control = w.control LEFT JOIN k f ON f.comp = w.comp AND contains(lower(w.id), f.control) GROUP BY w.id""")
 def _(t):
-    w = t.supplier.select(F.col("s_name").alias("id"), F.concat(F.lit("n"), F.col("s_suppkey") % 50).alias("control"))
-    exact = t.nation.select(F.concat(F.lit("n"), "n_nationkey").alias("control"), F.col("n_name").alias("rules"), F.col("n_nationkey").alias("ord"))
-    near = t.nation.select(F.col("n_nationkey").cast("string").alias("control"), F.col("n_name").alias("rules"), F.col("n_nationkey").alias("ord"))
-    a = w.join(exact.select("control", F.col("rules").alias("e")), "control", "left").select("id", "e")
-    b = matching.contained_names(w.withColumn("control", F.lit("-")), near)
-    return a.join(b, "id").select("id", F.coalesce("e", "rules").alias("rules"))
+    w = t.supplier.select((F.col("s_nationkey") % 5).alias("component"), F.col("s_name").alias("id"), F.concat(F.lit("n"), F.col("s_suppkey") % 50).alias("control"))
+    n = F.col("n_nationkey")
+    c = t.nation.select(F.col("n_regionkey").alias("component"), F.when(n % 2 == 0, F.concat(F.lit("n"), n)).otherwise(n.cast("string")).alias("control"), F.col("n_name").alias("rules"), n.alias("ord"))
+    return matching.contained_names(w, c).select("id", "rules")
 
 
 BASES = "(SELECT 'w' || o_custkey || '__' || substr(md5(o_orderkey::VARCHAR), 1, 8) AS id, 'w' || o_custkey AS base FROM orders)"
@@ -343,7 +341,7 @@ def _(t):
     return journeys.without_repeats(e).select("journey", "pos")
 
 
-@query("journeys_route_to_route", f"SELECT 'M0→' || src || '→[static-redirect]→' || dst AS id, 3 AS n_steps FROM {REDIRECTS}")
+@query("journeys_route_to_route", f"SELECT 'M0→' || src || '[static-redirect]→' || dst AS id, 3 AS n_steps FROM {REDIRECTS}")
 def _(t):
     r = t.redirections()
     nodes = r.select(F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("type", F.lit("route"))
@@ -377,7 +375,7 @@ UNION ALL SELECT DISTINCT src, x.d, 'href', x.k FROM c, (VALUES (1)) v(q), LATER
 
 
 for _g, _t in (("single", "'/backend'"), ("service", "'/backend/s' || (user_id % 7)"), ("method", "'/backend/s' || (user_id % 7) || '/m' || (event_id % 3)")):
-    query(f"transitions_widget_{_g}", widget_sql(_t))(lambda t, g=_g: navigation.widget_transitions(widget_calls(t), t.routes(), g))
+    query(f"transitions_widget_{_g}", widget_sql(_t))(lambda t, g=_g: navigation.widget_transitions(widget_calls(t), t.routes(), g).select("src", "dst", "type", "dst_type"))
 
 
 @query("lazy_loads", "SELECT DISTINCT 'M' || n_regionkey AS src, 'NATION_' || ((n_nationkey + 1) % 30) AS dst FROM nation WHERE (n_nationkey + 1) % 30 < 25")
@@ -429,9 +427,42 @@ def _(t):
     return validation.uncovered(graph_nodes(t), journey_steps(t), "route")
 
 
-@query("node_index", f"SELECT type, string_agg(id, ',' ORDER BY id) AS ids FROM {NODES} GROUP BY type")
+@query("node_index", f"SELECT type, id, row_number() OVER (PARTITION BY type ORDER BY length(id), id) AS at FROM {NODES}")
+def _(t):
+    return graph.node_index(graph_nodes(t).withColumn("ord", F.length("id"))).select("type", "id", F.col("at").cast("long").alias("at"))
+
+
+@query("validator_report", f"""WITH s AS (SELECT o_orderkey AS journey, 0 AS pos, '/n/' || (o_custkey % 20) AS node_id, 'route' AS step_type FROM orders UNION ALL SELECT o_orderkey, 1, '/backend/' || (o_orderkey % 130), CASE WHEN o_orderkey % 9 = 0 THEN 'route' ELSE 'backend' END FROM orders),
+n AS {NODES}, a AS (SELECT s.*, n.type AS nt FROM s LEFT JOIN n ON n.id = s.node_id)
+SELECT count(*) FILTER (WHERE nt IS NULL) AS missing, count(*) FILTER (WHERE pos = 1 AND nt IS NOT NULL AND nt <> step_type) AS tail_mismatches, 0 AS base_looking_widgets, (SELECT string_agg(node_id, ',' ORDER BY journey, pos) FROM (SELECT * FROM a WHERE nt IS NULL ORDER BY journey, pos LIMIT 10)) AS examples FROM a""")
+def _(t):
+    o = t.orders
+    s = o.select(F.col("o_orderkey").alias("journey"), F.lit(0).alias("pos"), F.lit("route").alias("step_type"), F.concat(F.lit("/n/"), F.col("o_custkey") % 20).alias("node_id"))
+    s = s.unionAll(o.select("o_orderkey", F.lit(1), F.when(F.col("o_orderkey") % 9 == 0, "route").otherwise("backend"), F.concat(F.lit("/backend/"), F.col("o_orderkey") % 130)))
+    return validation.report(graph_nodes(t), s).select("missing", "tail_mismatches", "base_looking_widgets", F.array_join(F.transform("examples", lambda e: e["node_id"]), ",").alias("examples"))
+
+
+@query("looked_up_roles", "SELECT 'C' || c_custkey AS selector, CASE min(CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 WHEN 'P' THEN 3 END) WHEN 1 THEN 'dead' WHEN 2 THEN 'global' WHEN 3 THEN 'shared' ELSE 'mapped' END AS role FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
+def _(t):
+    role = F.when(F.col("o_orderstatus") == "F", "dead").when(F.col("o_orderstatus") == "O", "global").otherwise("shared")
+    told = t.orders.select(F.concat(F.lit("C"), "o_custkey").alias("selector"), role.alias("role"))
+    return graph.looked_up_roles(t.customer.select(F.concat(F.lit("C"), "c_custkey").alias("selector")), told)
+
+
+@query("parents_of", "SELECT DISTINCT 'C' || o_custkey AS child, 'P' || o_orderpriority AS parent FROM orders")
 def _(t):
-    return graph_nodes(t).groupBy("type").agg(F.array_join(F.sort_array(F.collect_list("id")), ",").alias("ids"))
+    return matching.parents(t.orders.select(F.concat(F.lit("P"), "o_orderpriority").alias("selector"), F.concat(F.lit("C"), "o_custkey").alias("child")))
+
+
+@query("redirects_merged", "SELECT user_id AS route, arg_min(CASE WHEN event_type <> 'error' THEN event_type END, event_id) AS redirect_to, min(event_id) AS ord FROM events GROUP BY user_id")
+def _(t):
+    return dedupe.merge_routes(t.events.select(F.col("user_id").alias("route"), F.when(F.col("event_type") == "error", "").otherwise(F.col("event_type")).alias("redirect_to"), F.col("event_id").alias("ord")), ("redirect_to",))
+
+
+@query("graph_predicates", "SELECT event_id, event_type IN ('view', 'click') AS terminal, event_type = 'click' AS backend, CASE event_type WHEN 'view' THEN 'route' WHEN 'click' THEN 'backend' ELSE 'virtual-route' END AS ends_at FROM events")
+def _(t):
+    kind = F.when(F.col("event_type") == "view", "route").when(F.col("event_type") == "click", "backend").otherwise("widget")
+    return t.events.select("event_id", X.is_terminal(kind).alias("terminal"), X.is_backend(kind).alias("backend"), X.terminal_of(kind).alias("ends_at"))
 
 
 @query("final_journeys", "SELECT o_orderkey AS id, 'original' AS source FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey % 5 <> 0 UNION ALL SELECT c_custkey, 'llm' FROM customer WHERE c_custkey % 4 = 0")
@@ -516,22 +547,26 @@ def _(t):
     return html.anchors(html.elements(t.pages.select("page_id", "html"))).groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.sort_array(F.collect_list("href")), " ").alias("hrefs"))
 
 
-@query("page_widgets")
+@query("page_widgets", """WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href, generate_subscripts(regexp_extract_all(html, '<a href="([^"]*)"', 1), 1) AS i FROM pages),
+b AS (SELECT *, lower(regexp_replace(trim(href), '[\\s-]+', '_', 'g')) AS base FROM h), n AS (SELECT *, row_number() OVER (PARTITION BY page_id, base ORDER BY i) AS k FROM b)
+SELECT page_id, page_id || '__' || replace('a__' || base || '__' || substr(sha1(page_id || '|a|' || base || '|' || k), 1, 8), '/', '_') AS id, 'a' AS type, '' AS rules, false AS triggers_submit FROM n""")
 def _(t):
-    return html.widgets(html.elements(t.pages.select("page_id", "html")))
+    return html.widgets(html.elements(t.pages.select("page_id", "html"))).select("page_id", "id", "type", F.array_join("rules", ",").alias("rules"), "triggers_submit")
 
 
 @query("screenshot_paths", f"SELECT page_id, sha1('a') || '/' || sha1('j') || '/' || sha1(p) || '.png' AS file FROM (SELECT page_id, {PATH} p FROM pages)")
 def _(t):
-    return t.pages_paths().select("page_id", F.concat_ws("/", F.sha1(F.lit("a")), F.sha1(F.lit("j")), F.concat(F.sha1("path"), F.lit(".png"))).alias("file"))
+    return t.pages_paths().select("page_id", screenshots.file_of(F.lit("a"), F.lit("j"), F.col("path")).alias("file"))
 
 
 @query("screenshot_status", """SELECT c_custkey AS id, CASE coalesce(max(CASE o_orderstatus WHEN 'F' THEN 3 WHEN 'O' THEN 2 ELSE 1 END), 0) WHEN 3 THEN 'ready' WHEN 2 THEN 'capturing' WHEN 1 THEN 'waiting' ELSE 'missing' END AS status FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey""")
 def _(t):
-    rank = F.when(F.col("o_orderstatus") == "F", 3).when(F.col("o_orderstatus") == "O", 2).otherwise(1)
-    best = t.orders.groupBy(F.col("o_custkey").alias("id")).agg(F.max(rank).alias("r"))
-    r = F.coalesce("r", F.lit(0))
-    return t.customer.select(F.col("c_custkey").alias("id")).join(best, "id", "left").select("id", F.when(r == 3, "ready").when(r == 2, "capturing").when(r == 1, "waiting").otherwise("missing").alias("status"))
+    ending = F.when(F.col("o_orderstatus") == "F", "png").when(F.col("o_orderstatus") == "O", "capturing").otherwise("pending")
+    route = lambda k: F.concat(F.lit("/c/"), k)
+    stem = F.regexp_replace(screenshots.file_of(F.lit("a"), F.lit("j"), route(F.col("o_custkey"))), "png$", "")
+    files = t.orders.select(F.concat(F.lit("/root/"), stem, ending).alias("path"))
+    wanted = t.customer.select(F.col("c_custkey").alias("id"), F.lit("a").alias("analysis"), F.lit("j").alias("journey"), route(F.col("c_custkey")).alias("route"))
+    return screenshots.statuses(wanted, files).select("id", "status")
 
 
 # more of the graph and its registries ------------------------------------------------
@@ -577,9 +612,9 @@ def _(t):
     return navigation.union_first(emitters, ["src", "dst", "type"]).select("src", "dst", "type")
 
 
-@query("journeys_global", "SELECT 'M0→app-root→W' || c_custkey || '[click]→/backend/s' || (c_custkey % 3) AS id, 4 AS n_steps FROM customer WHERE c_nationkey = 0")
+@query("journeys_global", "SELECT 'M0→app-root→W' || c_custkey || '[click]→/backend/s' || (c_custkey % 3) AS id, 4 AS n_steps FROM customer")
 def _(t):
-    c = t.customer.where("c_nationkey = 0")
+    c = t.customer
     w = F.concat(F.lit("W"), "c_custkey")
     paths = c.select(F.lit("M0").alias("root"), F.array(journeys.step("component", F.lit("app-root"))).alias("scope"), F.array(w).alias("path"), F.col("c_custkey").alias("ord"))
     calls_ = c.select(w.alias("src"), F.concat(F.lit("/backend/s"), F.col("c_custkey") % 3).alias("dst"), F.lit("service-call").alias("type"), F.lit("backend").alias("dst_type"), F.lit("click").alias("source_event"))
@@ -604,18 +639,30 @@ def _(t):
 
 @query("public_urls", f"""SELECT page_id, 'http://h/screenshots/a%20b/j/' || replace(substr(p, 2), '/', '%2F') AS public_url FROM (SELECT page_id, {PATH} p FROM pages)""")
 def _(t):
-    encoded = lambda x: F.replace(F.url_encode(x), F.lit("+"), F.lit("%20"))
-    return t.pages_paths().select("page_id", F.concat_ws("/", F.lit("http://h/screenshots"), encoded(F.lit("a b")), F.lit("j"), encoded(F.expr("substring(path, 2)"))).alias("public_url"))
+    return t.pages_paths().select("page_id", screenshots.public_url("http://h", F.lit("a b"), F.lit("j"), F.col("path")).alias("public_url"))
 
 
 @query("stable_keys", """SELECT event_id, sha1('{"a":' || user_id || ',"b":"' || event_type || '"}') AS key FROM events""")
 def _(t):
     m = F.create_map(F.lit("b"), F.concat(F.lit('"'), "event_type", F.lit('"')), F.lit("a"), F.col("user_id").cast("string"))
-    flat = F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), e["value"])), ",")
-    return t.events.select("event_id", F.sha1(F.concat(F.lit("{"), flat, F.lit("}"))).alias("key"))
+    return t.events.select("event_id", F.sha1(refine.stable_map(m)).alias("key"))
+
+
+@query("widget_metas", """SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN '#i' || p_partkey END AS selector_hint, p_size % 3 = 0 AS has_options, CASE WHEN p_size % 5 = 0 THEN 'email' ELSE 'widget' END AS type FROM part""")
+def _(t):
+    k = F.col("p_size")
+    attrs = F.map_filter(F.create_map(F.lit("id"), F.when(k % 2 == 0, F.concat(F.lit("i"), "p_partkey")), F.lit("type"), F.when(k % 5 == 0, "email")), lambda _, v: v.isNotNull())
+    nodes = t.part.select(F.col("p_partkey").alias("id"), F.lit("widget").alias("type"), attrs.alias("attributes"), F.expr("cast(null as array<string>)").alias("rules"), F.lit(None).cast("boolean").alias("triggers_submit"), k.alias("k"))
+    w = actions.widgets_of(nodes).join(t.part.select(F.col("p_partkey").alias("id"), k.alias("k")), "id")
+    options = F.when(F.col("k") % 3 == 0, F.array(F.lit("x"))).otherwise(F.expr("cast(array() as array<string>)"))
+    meta = actions.widget_meta(F.lit("click"), F.col("rules"), options, F.col("attributes"))
+    return w.select(F.col("id").alias("p_partkey"), meta["selector_hint"].alias("selector_hint"), meta["options"].isNotNull().alias("has_options"), "type")
 
 
 @query("requests_valid", """SELECT event_id, (props->>'k')::INTEGER AS k, CASE WHEN (props->>'k')::INTEGER >= 50 THEN 'k must be below 50' ELSE '' END AS violations FROM events""")
 def _(t):
     rules = (*requests.required("k"), requests.Rule("k < 50", "k must be below 50"))
     return requests.parsed(t.events.select("event_id", "props"), "props", "k int", rules).select("event_id", "k", F.array_join("violations", "; ").alias("violations"))
+
+
+from trailmap.plans import project_queries  # noqa: E402, F401

@@ -1,40 +1,32 @@
-"""Session settings that the library's semantics rely on."""
+"""What the library needs of a session: a folder that all machines share, and cuts of lineage into it."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-
-#: Later map entries win, times are UTC, and recursion may go as deep as containment does.
-SETTINGS = {
-    "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
-    "spark.sql.session.timeZone": "UTC",
-    "spark.sql.adaptive.enabled": "true",
-}
+import tempfile
 
+from pyspark.sql import DataFrame, SparkSession
 
-def configure(spark: SparkSession) -> SparkSession:
-    for key, value in SETTINGS.items():
-        spark.conf.set(key, value)
-    return spark
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir.
 
-def session(app: str = "trailmap", master: str | None = None) -> SparkSession:
-    builder = SparkSession.builder.appName(app)
-    if master:
-        builder = builder.master(master)
-    return configure(builder.getOrCreate())
+    Where it is unset, a local master gets a temporary folder (one machine, as in tests);
+    any other master, local-cluster too, is refused, as a machine's own folder is not seen by the rest.
+    """
+    sc = spark.sparkContext
+    path = sc.getConf().get("spark.checkpoint.dir")
+    if path:
+        return path.rstrip("/")
+    kept = sc._jsc.sc().getCheckpointDir()
+    if kept.isDefined():
+        return kept.get().rstrip("/")
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+    sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="trailmap-"))
+    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """`df` computed and written to the shared checkpoint folder: loops grow no lineage and lost executors cost nothing.
-
-    Where no folder is set, a local session gets a temporary one; a cluster must name its own.
-    """
-    import tempfile
-
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="trailmap-"))
+    """`df` computed and written to the shared folder: loops grow no lineage and lost executors cost nothing."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
