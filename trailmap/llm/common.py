@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -13,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trailmap.session import shared_dir
+
 #: A word is a maximal run of characters that are not ASCII white space.
 WORD_GAP = "[ \\t-\\r]+"
 #: Text that is worked on at once in a Python worker.
@@ -28,34 +30,55 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), WORD_GAP), "")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
+def free_name(taken: list[str], wanted: str) -> str:
+    """`wanted`, with as many underscores after it as make it a name that no column has."""
+    low = {c.lower() for c in taken}
+    while wanted.lower() in low:
+        wanted += "_"
+    return wanted
+
+
+def work_dir(spark: SparkSession, name: str) -> str:
+    """A new folder of its own under the shared one; `drop_written` knows it."""
+    path = f"{shared_dir(spark)}/trailmap-{name}-{uuid.uuid4().hex[:12]}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+_WRITTEN: dict[str, list[str]] = {}
+
 
-    Where it is unset, a local master gets a temporary folder (one machine, as in tests);
-    any other master is refused, as a machine's own folder is not seen by the rest.
+def drop_written(spark: SparkSession, *kept: str) -> int:
+    """Deletes the tables and files that operators of this application wrote to the shared folder, but for those `kept`.
+
+    For the time when their results have been written or aren't wanted any more: results are
+    lazy and read these tables. Returns how many folders went.
     """
-    sc = spark.sparkContext
-    path = sc.getConf().get("spark.checkpoint.dir")
-    if path:
-        return path.rstrip("/")
-    kept = sc._jsc.sc().getCheckpointDir()
-    if kept.isDefined():
-        return kept.get().rstrip("/")
-    if not sc.master.startswith("local[") and sc.master != "local":
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
-    path = "file://" + tempfile.mkdtemp(prefix="trailmap-")
-    sc.setCheckpointDir(path)
-    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
+    listed = _WRITTEN.get(spark.sparkContext.applicationId, [])
+    gone = [p for p in listed if p not in kept]
+    for path in gone:
+        delete(spark, path)
+    listed[:] = [p for p in listed if p in kept]
+    return len(gone)
 
 
-def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder of its own under the shared one."""
-    return f"{shared_dir(spark)}/trailmap-{name}-{uuid.uuid4().hex[:12]}"
+def delete(spark: SparkSession, path: str) -> None:
+    if not path:
+        return
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Rows go to Python a few MB at a time from now on in this session; a batch may otherwise hold 10,000 texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(CHUNK_BYTES))
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What is computed within goes to Python a few MB at a time; a batch may otherwise hold 10,000 texts."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    was = spark.conf.get(key, None)
+    spark.conf.set(key, str(CHUNK_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if was is None else spark.conf.set(key, was)
 
 
 def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,8 +94,13 @@ def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         libc.malloc_trim(0)
 
 
+def in_buckets(df: DataFrame, buckets: int, column: str = "bucket") -> DataFrame:
+    """Each bucket in a partition of its own: by hash, several would share one and others stay empty."""
+    return df.repartitionById(buckets, F.col(column))
+
+
 def release(spark: SparkSession) -> None:
-    """Lets go of finished steps' shuffle files: Spark drops them when the driver's garbage collection finds their plans gone."""
+    """Frees disk: Spark deletes finished steps' shuffle files when the driver's garbage collection finds their plans gone."""
     gc.collect()
     spark._jvm.System.gc()
 
@@ -85,6 +113,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def path_of(df: DataFrame) -> str:
+    """Where a table that `materialise` gave lies; '' if it has no rows' files."""
+    files = df.inputFiles()
+    return files[0].rsplit("/", 1)[0] if files else ""
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Like materialise, for rows of large binaries, of which a columnar reader would hold thousands at once."""
     shared_dir(df.sparkSession)

@@ -4,7 +4,7 @@ A byte goes if a 50-byte window over it also starts in a document with a smaller
 
 1. Of every window, the smallest hash among its 20-byte pieces is its anchor, so equal
    windows have equal anchors. Consecutive windows of one anchor are its context. Anchors
-   and contexts travel as hashes, packed by range.
+   and contexts travel as hashes, packed by bucket.
 2. Where documents share an anchor, equal contexts of all but the smallest id go whole;
    equal means by hash, 40 bits of the anchor and 64 of the context's bytes.
    Contexts that differ, which is where repeats begin and end, are sent as strings.
@@ -12,9 +12,10 @@ A byte goes if a 50-byte window over it also starts in a document with a smaller
    Windows that are equal are neighbours in that order; the smallest id keeps its own.
 4. Removed runs meet their texts again.
 
-Anchors that are frequent within a task travel by context instead, and their strings by
-window, each already reduced to the smallest id of the task; so no key gathers rows in
-one place with its frequency.
+Of equal contexts only the smallest id of a task travels to their anchor. Anchors that have
+many unlike contexts within a task travel by context instead, and their strings by window,
+each already reduced to the smallest id of the task; so no key gathers rows in one place
+with its frequency.
 
 Defined cases: a null text is empty, and nothing is removed from texts below 50 bytes; a
 row without id is never earlier or later than another and stays whole; rows with one id
@@ -33,18 +34,18 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, mix64, ragged, release, small_batches, text_bytes, text_chunks, trimmed
+from .common import checkpointed, in_buckets, mix64, ragged, release, small_batches, text_bytes, text_chunks, trimmed
 from .suffix_array import suffix_arrays
 
 WINDOW, PIECE = 50, 20
-#: Rows of an anchor in a task beyond which it is frequent.
+#: Unlike contexts of an anchor, of those dealt out at once, beyond which it is frequent.
 FEW = 32
 #: Text of suffix arrays that are built at once.
 SORTED_BYTES = 512 << 10
-#: Text whose windows are hashed at once; numpy holds some 150 bytes for each of its bytes.
-HASHED_BYTES = 512 << 10
-#: Text for which anchors are dealt out at once, and for which a bucket is made.
-DEALT_BYTES, BUCKET_BYTES = 8 << 20, 8 << 20
+#: Text whose windows are hashed at once; numpy holds some 150 bytes for each of its bytes. Longer texts are cut there.
+HASHED_BYTES = 192 << 10
+#: Contexts that are dealt out at once, and text for which a bucket is made.
+DEALT_ROWS, BUCKET_BYTES = 400_000, 8 << 20
 
 BYTE = mix64(np.arange(256, dtype=np.uint64) + np.uint64(0x51ED270B))
 ANCHORED = np.dtype([("k", "<u8"), ("c", "<u8"), ("doc", "<i8")])
@@ -73,7 +74,7 @@ def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def contexts(x: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
     """Anchors of all windows: text number, first and last window, hash of the anchor (40 bits) and of the context (64 bits).
 
-    `w` has the hash of the window at every byte.
+    `w` has the hash of the window at every byte of `x`.
     """
     n = len(x)
     none = {f: np.zeros(0, np.int64) for f in ("text", "first", "last")} | {f: np.zeros(0, np.uint64) for f in ("k", "c", "w")}
@@ -105,6 +106,28 @@ def contexts(x: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
     return {"text": text[first], "first": first, "last": last, "k": piece[q] >> np.uint64(24), "c": c, "w": w}
 
 
+def in_parts(x: np.ndarray, bounds: np.ndarray) -> Iterator[dict[str, np.ndarray]]:
+    """`contexts` of some texts after others, HASHED_BYTES at a time, with places as they are in `x`.
+
+    A text that is longer is cut at multiples of that, so always alike; parts overlap by a
+    window less a byte, so each window is in one part, and a context across a cut is two.
+    """
+    n = np.maximum(1, -(-np.maximum(0, np.diff(bounds) - WINDOW + 1) // HASHED_BYTES))
+    text = np.repeat(np.arange(len(n)), n)
+    start = bounds[text] + (np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)) * HASHED_BYTES
+    end = np.minimum(start + HASHED_BYTES + WINDOW - 1, bounds[text + 1])
+    size = end - start
+    at = 0
+    while at < len(text):
+        to = max(at + 1, int(np.searchsorted(np.cumsum(size[at:]), HASHED_BYTES + WINDOW, side="right")) + at)
+        part = x[start[at] : end[at]] if to == at + 1 else x[ragged(start[at:to], size[at:to])]
+        inner = np.concatenate(([0], np.cumsum(size[at:to])))
+        found = contexts(part, inner)
+        shift = (start[at:to] - inner[:-1])[found["text"]]
+        yield found | {"text": text[at:to][found["text"]], "first": found["first"] + shift, "last": found["last"] + shift, "within": found["first"]}
+        at = to
+
+
 def key_of(k: np.ndarray, c: np.ndarray) -> np.ndarray:
     return mix64(mix64(k) + c)
 
@@ -162,25 +185,22 @@ def doc_bucket_column(doc: Column, buckets: int) -> Column:
 
 
 def dealt_anchors(rows: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Kind 0 by anchor; of frequent anchors kind 2 by context, the smallest id only, kind 1 by id, whose fate is known,
-    and kind 3 by anchor, a row that tells the rest that it is frequent."""
+    """Of each context the smallest id only: kind 0 by anchor; of frequent anchors kind 2 by context, and kind 3 by anchor,
+    a row that tells the rest that it is frequent. Kind 1 by id: larger ids, whose fate is known."""
     rows = rows[np.lexsort((rows["doc"], rows["c"], rows["k"]))]
-    new = np.append(True, rows["k"][1:] != rows["k"][:-1])
+    head = np.append(True, (rows["k"][1:] != rows["k"][:-1]) | (rows["c"][1:] != rows["c"][:-1]))
+    first = rows[head]
+    known = fated(rows[rows["doc"] > first["doc"][np.cumsum(head) - 1]], WHOLE)
+    yield from by_bucket(doc_bucket(known["doc"], buckets), known, 1)
+    new = np.append(True, first["k"][1:] != first["k"][:-1])
     number = np.cumsum(new) - 1
     frequent = np.bincount(number)[number] > FEW
-    rare = rows[~frequent]
-    by_anchor = lambda rows: (rows["k"] * np.uint64(buckets) >> np.uint64(40)).astype(np.int64)
+    rare, mark, often = first[~frequent], first[new & frequent], first[frequent]
+    # anchors are the smallest of many hashes, so most lie at the low end of their range: they are mixed to be dealt evenly
+    by_anchor = lambda rows: ((mix64(rows["k"]) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
     yield from by_bucket(by_anchor(rare), rare, 0, pack_anchors)
-    mark = rows[new & frequent]
     yield from by_bucket(by_anchor(mark), mark, 3, pack_anchors)
-    rows = rows[frequent]
-    if len(rows):
-        head = np.append(True, (rows["k"][1:] != rows["k"][:-1]) | (rows["c"][1:] != rows["c"][:-1]))
-        least = rows["doc"][np.flatnonzero(head)][np.cumsum(head) - 1]
-        first = rows[head]
-        yield from by_bucket((mix64(key_of(first["k"], first["c"])) % np.uint64(buckets)).astype(np.int64), first, 2, pack_anchors)
-        known = fated(rows[rows["doc"] > least], WHOLE)
-        yield from by_bucket(doc_bucket(known["doc"], buckets), known, 1)
+    yield from by_bucket((mix64(key_of(often["k"], often["c"])) % np.uint64(buckets)).astype(np.int64), often, 2, pack_anchors)
 
 
 def fated(rows: np.ndarray, fate: int) -> np.ndarray:
@@ -194,15 +214,15 @@ def anchors(texts: DataFrame, buckets: int) -> DataFrame:
         held, size = [], 0
         for batch in text_chunks(batches, most=HASHED_BYTES):
             x, bounds = bytes_of(batch.column("text"))
-            found = contexts(x, bounds)
-            rows = np.empty(len(found["k"]), ANCHORED)
-            rows["k"], rows["c"] = found["k"], found["c"]
-            rows["doc"] = batch.column("doc_id").to_numpy(zero_copy_only=False)[found["text"]]
-            held.append(rows)
-            size += len(x)
-            if size > DEALT_BYTES:
-                yield from dealt_anchors(np.concatenate(held), buckets)
-                held, size = [], 0
+            docs = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            for found in in_parts(x, bounds):
+                rows = np.empty(len(found["k"]), ANCHORED)
+                rows["k"], rows["c"], rows["doc"] = found["k"], found["c"], docs[found["text"]]
+                held.append(rows)
+                size += len(rows)
+                if size > DEALT_ROWS:
+                    yield from dealt_anchors(np.concatenate(held), buckets)
+                    held, size = [], 0
         if held:
             yield from dealt_anchors(np.concatenate(held), buckets)
 
@@ -244,7 +264,7 @@ def fates(dealt: DataFrame, buckets: int, doc_buckets: int) -> DataFrame:
                     rows = np.concatenate([unpack_anchors(d) for d in packs_of.pop(kind)])
                     yield from decided(rows, marked, kind == 2, doc_buckets)
 
-    return dealt.repartition(buckets, "bucket").mapInArrow(lambda batches: trimmed(run(batches)), PACKS)
+    return in_buckets(dealt, buckets).mapInArrow(lambda batches: trimmed(run(batches)), PACKS)
 
 
 def squeezed(texts: DataFrame, bucket: Column) -> DataFrame:
@@ -261,7 +281,7 @@ def squeezed(texts: DataFrame, bucket: Column) -> DataFrame:
 
 def meeting(found: DataFrame, texts: DataFrame, buckets: int) -> DataFrame:
     """Packs and texts of each bucket in one partition, in any order."""
-    return found.select("bucket", "kind", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("uid"), "data").unionAll(texts).repartition(buckets, "bucket")
+    return in_buckets(found.select("bucket", "kind", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("uid"), "data").unionAll(texts), buckets)
 
 
 def unsqueezed(batches: Iterator[pa.RecordBatch], packs_to: list[bytes], most: int = HASHED_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, list[int | None], list[int]]]:
@@ -302,42 +322,42 @@ def candidates(met: DataFrame, buckets: int, uid_buckets: int) -> DataFrame:
                 names, fate = names[order], rows["fate"][order]
             if not len(names):
                 continue
-            found = contexts(x, bounds)
-            has_id = np.array([i is not None for i in ids], bool)[found["text"]]
-            doc = np.array([0 if i is None else i for i in ids], np.int64)[found["text"]]
-            uid = np.array(uids, np.int64)[found["text"]]
-            own = mix64(doc.astype(np.uint64)) ^ key_of(found["k"], found["c"])
-            at = np.minimum(np.searchsorted(names, own), len(names) - 1)
-            mine = np.where((names[at] == own) & has_id, fate[at], 0)
-            start = found["first"] - bounds[found["text"]]
-            size = found["last"] - found["first"] + WINDOW
-            whole = mine == WHOLE
-            yield from cuts(uid[whole], start[whole], (start + size)[whole], uid_buckets)
-            for kind, which in ((1, mine == COMPARED), (2, mine == BY_WINDOW)):
-                which = np.flatnonzero(which)
-                if kind == 2 and len(which):  # a string for each window, the smallest id's only
-                    count = found["last"][which] - found["first"][which] + 1
-                    p, which = ragged(found["first"][which], count), np.repeat(which, count)
-                    key, place, length = mix64(found["w"][p]), p, np.full(len(p), WINDOW)
-                    order = np.lexsort((doc[which], key))
-                    key, place, which, length = key[order], place[order], which[order], length[order]
-                    head = np.append(True, key[1:] != key[:-1])
-                    later = doc[which] > doc[which][head][np.cumsum(head) - 1]
-                    s = place - bounds[found["text"][which]]
-                    yield from cuts(uid[which][later], s[later], s[later] + WINDOW, uid_buckets)
-                    key, place, which, length = key[~later], place[~later], which[~later], length[~later]
-                else:
-                    key, place, length = mix64(found["k"][which]), found["first"][which], size[which]
-                if len(which):
-                    rows = np.empty(len(which), STRING)
-                    rows["key"], rows["doc"], rows["uid"], rows["start"], rows["size"] = key, doc[which], uid[which], place - bounds[found["text"][which]], length
-                    to = (key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
-                    order = np.lexsort((key, to))
-                    heads = np.flatnonzero(np.append(True, to[order][1:] != to[order][:-1]))
-                    data = []
-                    for part in np.split(order, heads[1:]):
-                        data.append(np.uint32(len(part)).tobytes() + rows[part].tobytes() + x[ragged(place[part], length[part])].tobytes())
-                    yield packs(to[order][heads].astype(np.int64), 1, data)
+            every_id, every_doc, every_uid = np.array([i is not None for i in ids], bool), np.array([0 if i is None else i for i in ids], np.int64), np.array(uids, np.int64)
+            for found in in_parts(x, bounds):
+                has_id, doc, uid = every_id[found["text"]], every_doc[found["text"]], every_uid[found["text"]]
+                own = mix64(doc.astype(np.uint64)) ^ key_of(found["k"], found["c"])
+                at = np.minimum(np.searchsorted(names, own), len(names) - 1)
+                mine = np.where((names[at] == own) & has_id, fate[at], 0)
+                start = found["first"] - bounds[found["text"]]
+                size = found["last"] - found["first"] + WINDOW
+                whole = mine == WHOLE
+                yield from cuts(uid[whole], start[whole], (start + size)[whole], uid_buckets)
+                for kind, which in ((1, mine == COMPARED), (2, mine == BY_WINDOW)):
+                    which = np.flatnonzero(which)
+                    if kind == 2 and len(which):  # a string for each window, the smallest id's only
+                        count = found["last"][which] - found["first"][which] + 1
+                        p, w = ragged(found["first"][which], count), found["w"][ragged(found["within"][which], count)]
+                        which = np.repeat(which, count)
+                        key, place, length = mix64(w), p, np.full(len(p), WINDOW)
+                        order = np.lexsort((doc[which], key))
+                        key, place, which, length = key[order], place[order], which[order], length[order]
+                        head = np.append(True, key[1:] != key[:-1])
+                        later = doc[which] > doc[which][head][np.cumsum(head) - 1]
+                        s = place - bounds[found["text"][which]]
+                        yield from cuts(uid[which][later], s[later], s[later] + WINDOW, uid_buckets)
+                        key, place, which, length = key[~later], place[~later], which[~later], length[~later]
+                    else:
+                        key, place, length = mix64(found["k"][which]), found["first"][which], size[which]
+                    if len(which):
+                        rows = np.empty(len(which), STRING)
+                        rows["key"], rows["doc"], rows["uid"], rows["start"], rows["size"] = key, doc[which], uid[which], place - bounds[found["text"][which]], length
+                        to = (key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+                        order = np.lexsort((key, to))
+                        heads = np.flatnonzero(np.append(True, to[order][1:] != to[order][:-1]))
+                        data = []
+                        for part in np.split(order, heads[1:]):
+                            data.append(np.uint32(len(part)).tobytes() + rows[part].tobytes() + x[ragged(place[part], length[part])].tobytes())
+                        yield packs(to[order][heads].astype(np.int64), 1, data)
 
     return met.mapInArrow(lambda batches: trimmed(run(batches)), PACKS)
 
@@ -369,7 +389,7 @@ def compared(strings: DataFrame, buckets: int, uid_buckets: int) -> DataFrame:
             for uid, start, end in repeats(np.concatenate(rows), np.frombuffer(b"".join(data), np.uint8)):
                 yield from cuts(uid, start, end, uid_buckets)
 
-    return strings.repartition(buckets, "bucket").mapInArrow(lambda batches: trimmed(run(batches)), PACKS)
+    return in_buckets(strings, buckets).mapInArrow(lambda batches: trimmed(run(batches)), PACKS)
 
 
 def repeats(rows: np.ndarray, x: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -473,14 +493,17 @@ def kept(met: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row of `docs`."""
-    small_batches(docs.sparkSession)
     own = docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("uid", F.xxhash64("doc_id", "text"))
+    named = own.where("doc_id IS NOT NULL")
     buckets = max(9, text_bytes(own) // BUCKET_BYTES) | 1
-    fated_ = fates(anchors(own, buckets), buckets, buckets)
-    texts = squeezed(own, doc_bucket_column(F.col("doc_id"), buckets))
-    found = checkpointed(candidates(meeting(fated_, texts, buckets), buckets, buckets))
+    fated_ = fates(anchors(named, buckets), buckets, buckets)
+    texts = squeezed(named, doc_bucket_column(F.col("doc_id"), buckets))
+    with small_batches(docs.sparkSession):
+        found = checkpointed(candidates(meeting(fated_, texts, buckets), buckets, buckets))
     del fated_, texts
     release(docs.sparkSession)
     more = compared(found.where("kind = 1"), buckets, buckets)
-    again = squeezed(own, F.pmod("uid", F.lit(buckets)).cast("int"))
-    return kept(meeting(found.where("kind = 0").unionAll(more), again, buckets))
+    again = squeezed(named, F.pmod("uid", F.lit(buckets)).cast("int"))
+    # rows without id meet nothing: they are read where they lie
+    whole = squeezed(own.where("doc_id IS NULL"), F.lit(0))
+    return kept(meeting(found.where("kind = 0").unionAll(more), again, buckets)).unionAll(kept(whole.select("bucket", "kind", "doc_id", "uid", "data")))
