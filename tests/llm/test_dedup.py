@@ -67,6 +67,31 @@ def test_ngram_join_of_nothing_and_of_rows_without_id(spark):
     assert got == [(5, 2, 5), (5, 2, 5), (None, 1, None), (None, 2, 5)]
 
 
+def test_ngram_join_of_very_long_texts(spark):
+    g = random.Random(11)
+    words = [f"w{g.randrange(10**6)}" for _ in range(30_000)]
+    near, far = list(words), list(words)
+    for w, n in ((near, 500), (far, 2_300)):
+        for p in g.sample(range(len(w)), n):
+            w[p] = "other"
+    rows = [(5, " ".join(words)), (6, " ".join(near)), (7, " ".join(far)), (8, "short text of words")]
+    assert rows_of(ngram_join.linked_classes(spark.createDataFrame(rows, DOCS))) == linked(rows, 4, 85, 100)
+
+
+def test_pairs_of_larger_groups(monkeypatch):
+    """Pairs across components by sketch, some at a time, as one by one."""
+    g = np.random.default_rng(1)
+    for _ in range(20):
+        monkeypatch.setattr(ngram_join, "PAIRS_AT_ONCE", int(g.integers(1, 60)))
+        lens = g.integers(2, 30, 5)
+        ends, n = np.repeat(np.cumsum(lens), lens), int(lens.sum())
+        doc, comp, size = np.arange(n) * 3, g.integers(0, 4, n), g.integers(80, 130, n)
+        raw = [g.integers(0, 256, int(g.choice([16, 32]))).astype(np.uint8).tobytes() if g.random() < 0.5 else bytes(int(g.choice([16, 32]))) for _ in range(n)]
+        got = {(int(p["a"]), int(p["b"])) for part in ngram_join.differing(doc, comp, size, ends, ngram_join.folded_rows(raw, 16), 85, 100) for p in part}
+        short = [ngram_join.folded(r, 16).to_bytes(16, "little") for r in raw]
+        assert got == {(int(doc[i]), int(doc[j])) for i in range(n) for j in range(i + 1, ends[i]) if comp[i] != comp[j] and ngram_join.may_link(short[i], int(size[i]), short[j], int(size[j]), 85, 100)}
+
+
 def test_signatures_never_lose_a_pair():
     g = np.random.default_rng(3)
     for _ in range(400):
@@ -76,7 +101,7 @@ def test_signatures_never_lose_a_pair():
         b = np.sort(np.concatenate((a[drop:], g.integers(0, 1 << 63, int(g.integers(0, 1 + len(a) // 20))).astype(np.uint64))))
         both = len(np.intersect1d(a, b))
         if both < max(len(a), len(b)) and 100 * both >= 85 * (len(a) + len(b) - both):
-            assert len(np.intersect1d(ngram_join.signatures(a, 85, 100), ngram_join.signatures(b, 85, 100)))
+            assert len(np.intersect1d(ngram_join.signatures(a, 85, 100), ngram_join.signatures(b, 85, 100))) >= ngram_join.SHARED
             assert ngram_join.may_link(ngram_join.sketch(a, 85, 100).tobytes(), len(a), ngram_join.sketch(b, 85, 100).tobytes(), len(b), 85, 100)
 
 
@@ -135,6 +160,27 @@ def test_suffix_dedup_where_short_hashes_of_contexts_meet(spark):
     assert rows_of(suffix_dedup.dedup(spark.createDataFrame(rows, DOCS))) == cut(rows)
 
 
+def test_parts_of_long_texts_have_the_anchors_of_the_whole(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HASHED_BYTES", 120)
+    g = np.random.default_rng(5)
+    texts = [g.integers(97, 101, int(n)).astype(np.uint8) for n in (0, 10, 49, 50, 120, 168, 169, 170, 171, 400, 999, 3)]
+    x, bounds = np.concatenate(texts), np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+
+    def told(found):
+        return {(int(t), p): (int(k), int(found["w"][v + p - f])) for t, f, z, k, v in zip(found["text"], found["first"], found["last"], found["k"], found.get("within", found["first"]), strict=True) for p in range(int(f), int(z) + 1)}
+
+    parts = [told(found) for found in suffix_dedup.in_parts(x, bounds)]
+    whole = told(suffix_dedup.contexts(x, bounds))
+    assert len(parts) > 5 and {k: v for part in parts for k, v in part.items()} == whole and sum(map(len, parts)) == len(whole)
+
+
+def test_suffix_dedup_of_very_long_texts(spark):
+    g = random.Random(9)
+    text = "".join(g.choice("abcdefgh ") for _ in range(450_000))
+    rows = [(1, text), (2, "x" * 60 + text[1000:300_000] + "other" + text[:5000]), (3, text)]
+    assert rows_of(suffix_dedup.dedup(spark.createDataFrame(rows, DOCS))) == cut(rows)
+
+
 def test_suffix_dedup_of_nothing(spark):
     assert suffix_dedup.dedup(spark.createDataFrame([], DOCS)).count() == 0
 
@@ -158,6 +204,20 @@ def without_runs(rows):
     return sorted(out, key=str)
 
 
+def test_fewer_places_are_selected_than_lines(spark):
+    g = np.random.default_rng(7)
+    h = g.integers(0, 1 << 63, 3000).astype(np.uint64)
+    at, fp, before, after = line_dedup.winnowed(h)
+    chosen = set(at[before] - 1) | set(at[after])
+    assert len(at) < 0.75 * len(h) and len(np.unique(at)) == len(at) and chosen == set(range(len(h) - 2))
+
+
+def test_line_dedup_of_a_very_long_text(spark):
+    lines = [f"line {i} of many" for i in range(60_000)]
+    rows = [(1, "\n".join(lines)), (2, "\n".join(["new"] + lines[100:50_000] + ["end"])), (3, "w " * 500_000)]
+    assert rows_of(line_dedup.dedup(spark.createDataFrame(rows, DOCS))) == without_runs(rows)
+
+
 def test_line_dedup(spark):
     g = random.Random(4)
     lines = [f"line {i}" for i in range(12)] + ["", "  "]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import io
 import random
+import re
 import zlib
 
 import numpy as np
@@ -44,18 +45,83 @@ def test_toxicity_on_held_out_texts(spark):
     got = {r["doc_id"]: r for r in toxicity.score(docs, model).collect()}
     assert toxicity.score(docs, model).count() == docs.count()
     held = [r for r in rows if r[0] % 3 == 0]
-    assert sum((got[r[0]]["toxic_score"] >= 0.7) == bool(r[3]) for r in held) >= 0.97 * len(held)
-    assert got[2000]["toxic_score"] == got[2001]["toxic_score"] < 0.5 and 0 <= got[2002]["toxic_score"] <= 1
+    assert sum((got[r[0]]["toxicity"]["score"] >= 0.7) == bool(r[3]) for r in held) >= 0.97 * len(held)
+    assert all(r["toxicity"]["toxic"] == (r["toxicity"]["score"] >= r["toxicity"]["threshold"]) for r in got.values())
+    assert got[2000]["toxicity"]["score"] == got[2001]["toxicity"]["score"] < 0.5 and 0 <= got[2002]["toxicity"]["score"] <= 1
 
 
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a")], DOCS)
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.train(docs, none) is None
-    assert toxicity.score(docs, None).first()["toxic_score"] == 0.0
+    assert toxicity.score(docs, None).first()["toxicity"]["score"] == 0.0
     assert toxicity.score(docs.limit(0), None).count() == 0
 
 
+def random_model(seed):
+    m = toxicity.Model.fresh(seed)
+    m.bias = np.random.default_rng(seed).normal(0, 0.1, len(m.bias)).astype(np.float32)
+    return m
+
+
+def plainly(m, text):
+    """A convolution written out: every filter at every word, the largest value, the logistic unit."""
+    words = [w for w in re.split("[ \\t-\\r]+", text or "") if w]
+    x = [sum(m.emb[r] for r in toxicity.word_rows(w)) for w in words]
+    best = []
+    for t in m.taps:
+        for f in range(toxicity.FILTERS):
+            best.append(max([0.0] + [sum(float(x[i + j] @ t[j][:, f]) for j in range(len(t)) if i + j < len(x)) for i in range(len(x))]))
+    h = np.maximum(np.array(best) + m.bias, 0)
+    return 1 / (1 + np.exp(-(h @ m.out + m.out_bias)))
+
+
+def test_scores_are_those_of_a_plain_convolution(monkeypatch):
+    g, m = random.Random(4), random_model(4)
+    texts = [" ".join(g.choice("ab nasty Nasty! vile, x yy zzz".split()) for _ in range(g.choice([0, 1, 2, 3, 9, 30]))) for _ in range(40)] + [None, "", "  a ", "\x0b"]
+    for at_once in (1, 2, 7, 1 << 16):
+        monkeypatch.setattr(toxicity, "WORDS_AT_ONCE", at_once)
+        got = toxicity.Scorer(m)(pa.array(texts, pa.string()))
+        assert np.allclose(got, [plainly(m, t) for t in texts], atol=1e-5)
+    rows = [np.array([toxicity.word_rows(w) for w in (t or "").split()], np.uint16).reshape(-1, toxicity.SLOTS) for t in texts]
+    assert np.allclose([toxicity.score_rows(m, r) for r in rows], got, atol=1e-5)
+
+
+def test_a_very_long_text_is_scored_in_bounded_memory():
+    import tracemalloc
+
+    scorer, texts = toxicity.Scorer(random_model(1)), pa.array(["word nasty " * 400_000 + "vile", "word"], pa.string())
+    tracemalloc.start()
+    got = scorer(texts)
+    assert tracemalloc.get_traced_memory()[1] < 150 << 20
+    tracemalloc.stop()
+    assert got[0] == scorer(pa.array(["word nasty word nasty word nasty vile"]))[0]
+
+
+def test_fitting_goes_downhill():
+    g = np.random.default_rng(2)
+    texts = [g.integers(1, 60, (int(g.integers(3, 12)), toxicity.SLOTS)).astype(np.uint16) for _ in range(120)]
+    labels = np.array([float((t[:, 0] < 12).any()) for t in texts])
+    loss = lambda m: float(np.mean([-np.log(max(1e-9, s if y else 1 - s)) for s, y in ((toxicity.score_rows(m, t), y) for t, y in zip(texts, labels, strict=True))]))
+    assert loss(toxicity.fit(texts, labels, epochs=30)) < 0.5 * loss(toxicity.fit(texts, labels, epochs=1))
+
+
+def test_columns_of_the_input_stay_as_they_are(spark):
+    docs = spark.createDataFrame([(1, "a", True, 0.3, "x")], "doc_id long, text string, is_toxic boolean, toxic_score double, toxicity string")
+    got = toxicity.without_toxic(docs, random_model(3)).unionByName(toxicity.without_toxic(docs, None))
+    assert got.columns == docs.columns and all(tuple(r) == (1, "a", True, 0.3, "x") for r in got.collect())
+    with pytest.raises(ValueError, match="toxicity"):
+        toxicity.score(docs, None)
+
+
+def test_few_labels_train_and_calibrate_like_many(spark):
+    docs = spark.createDataFrame([(i, "nasty vile" if i % 2 else "kind word") for i in range(12)], DOCS)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    got = {r["doc_id"]: r["toxicity"]["score"] for r in toxicity.score(docs, model).collect()}
+    assert model.thresholds == {} and min(got[i] for i in got if i % 2) > max(got[i] for i in got if not i % 2)
+
+
 @pytest.mark.parametrize("text", ["", "<s>", "</s>", "[INST]x[/INST]", "[\\INST]", "[\\\\/INST]", "a\\", "<\\s>", "<s", "[[INST]", "\\[INST]"])
 def test_escaping_is_undone(text):
     made = chat_format.escape(text)
@@ -67,7 +133,7 @@ def test_chats_read_back(spark, monkeypatch):
 
     monkeypatch.setattr(chat_format, "PIECE", 5)
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    rows = [(1, 1, "assistant", "é </s> ok"), (1, 0, "user", "[INST] hi"), (1, 2, "assistant", ""), (1, 2, "assistant", "more"), (2, 0, None, None), (None, 3, "user", "x" * 3000), (3, None, "odd</s>role", "y")]
+    rows = [(1, 1, "assistant", "é </s> ok"), (1, 0, "user", "[INST] hi"), (1, 2, "assistant", ""), (1, 2, "assistant", "more"), (2, 0, None, None), (None, 3, "user", "x" * 3000), (None, 4, "assistant", " " * 1_000_000 + "b" * 300_000 + " \n" * 100_000), (3, None, "odd</s>role", "y")]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("piece", F.lit("clash"))
     got = {r["conv_id"]: r for r in chat_format.read_back(chat_format.format_chats(turns, path, pattern), path, pattern).collect()}
     for conv in (1, 2, 3, None):
@@ -88,7 +154,8 @@ def test_token_store_is_what_the_library_says(spark):
     rows = [(i * 7 % 10, t) for i, t in enumerate(texts)] + [(None, "null id"), (-3, "minus"), (3, "again")]
     docs = spark.createDataFrame(rows, DOCS).withColumn("ident", F.lit("clash"))
     tok, start, wanted = Tokenizer.from_file(path), 0, []
-    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
+    hashes = {(r["doc_id"], r["text"]): r["h"] for r in docs.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()}
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashes[r])):
         ids = tok.encode(t or "", add_special_tokens=False).ids + [1]
         wanted.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
@@ -113,6 +180,32 @@ def test_shards_are_searched(spark):
         list(token_store.ShardReader(io.BytesIO(damaged), len(damaged)))
 
 
+def test_other_tokenizer_files_encode_whole_texts(spark):
+    from tokenizers import Tokenizer
+
+    path = queries.vocabulary("byte_bpe_50k.json")
+    docs = spark.createDataFrame([(1, "It's a test."), (2, None), (0, "  two  spaces ")], DOCS)
+    start, wanted = 0, []
+    for i, t in sorted(docs.collect()):
+        ids = Tokenizer.from_file(path).encode(t or "", add_special_tokens=False).ids + [7]
+        wanted.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert not token_store.encoder(path).by_words
+    assert rows_of(token_store.token_store(docs, path, end_id=7)) == sorted(wanted, key=str)
+
+
+def test_words_are_encoded_as_the_library_encodes_texts():
+    from tokenizers import Tokenizer
+
+    path = queries.vocabulary("word_bpe_49k.json")
+    encode, tok, g = token_store.WordEncoder(path), Tokenizer.from_file(path), random.Random(6)
+    signs = "abcdeABZ ÀéÉßÿÞĀāǅİı'’s.,!?#`^~<|>[]{}0123٣中文あ́̈ \t\n\x0b\x1c\x85\u2028 µªºøØ×÷-_\\"
+    texts = ["".join(g.choices(signs, k=g.randrange(25))) for _ in range(3000)] + ["<|startoftext|>a", "a<|endoftext|>.", "Can't I'LL", "w" * 200_000, "long text, " * 50_000]
+    ids, bounds = encode(pa.array([*texts, None]), 1)
+    for i, t in enumerate([*texts, ""]):
+        assert ids[bounds[i] : bounds[i + 1]].tolist() == [*tok.encode(t, add_special_tokens=False).ids, 1]
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -148,11 +241,66 @@ def test_leaks_against_brute_force(spark):
         assert edits(part, known[r["item_id"]].split()) == r["edits"] <= len(known[r["item_id"]].split()) // decontaminate.EVERY
 
 
+def nearest(words, item):
+    """Fewest edits from the item to any stretch of the words, the place being the first to end, then the longest."""
+    row, start, best = list(range(len(item) + 1)), [0] * (len(item) + 1), (len(item) + 1, 0, 0)
+    for j, w in enumerate(words, 1):
+        new, origin = [0], [j]
+        for i, x in enumerate(item, 1):
+            c, s = min((row[i - 1] + (x != w), start[i - 1]), (row[i] + 1, start[i]), (new[i - 1] + 1, origin[i - 1]))
+            new.append(c)
+            origin.append(s)
+        row, start = new, origin
+        if row[-1] < best[0]:
+            best = (row[-1], start[-1], j)
+    return best
+
+
+def test_best_match_against_the_whole_table():
+    g = random.Random(12)
+    for _ in range(300):
+        item = np.array([g.randrange(5) for _ in range(g.randrange(1, 9))], np.uint64)
+        stretch = np.array([g.randrange(5) for _ in range(g.randrange(0, 14))], np.uint64)
+        assert decontaminate.best_match(stretch, item) == nearest(stretch.tolist(), item.tolist())
+
+
+def test_recall_against_an_exhaustive_search(spark):
+    """Insertions, deletions and substitutions up to the allowance, in items of all lengths, among near misses."""
+    g = random.Random(13)
+    vocab = [f"v{i}" for i in range(300)]
+    items = [[g.choice(vocab) for _ in range(g.choice([3, 5, 7, 10, 15, 25, 60]))] for _ in range(40)]
+    texts = []
+    for _ in range(250):
+        part = list(g.choice(items))
+        for _ in range(g.randrange(0, len(part) // decontaminate.EVERY + 3)):
+            kind, at = g.randrange(3), g.randrange(len(part))
+            if kind == 0:
+                part.insert(at, g.choice(vocab))
+            elif kind == 1 and len(part) > 1:
+                del part[at]
+            else:
+                part[at] = g.choice(vocab)
+        texts.append([g.choice(vocab) for _ in range(g.randrange(20))] + part + [g.choice(vocab) for _ in range(g.randrange(20))])
+    wanted = {(d, k): nearest(t, i)[0] for d, t in enumerate(texts) for k, i in enumerate(items) if nearest(t, i)[0] <= len(i) // decontaminate.EVERY}
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(texts)], DOCS)
+    got = decontaminate.leaks(docs, spark.createDataFrame([(k, " ".join(i)) for k, i in enumerate(items)], "item_id long, text string")).collect()
+    found = {(r["doc_id"], r["item_id"]): r["edits"] for r in got}
+    assert set(found) <= set(wanted) and len(found) >= 0.95 * len(wanted) > 100
+    assert sum(found[p] == wanted[p] for p in found) >= 0.95 * len(found)
+
+
+def test_leaks_in_a_very_long_text(spark):
+    item = [f"q{i}" for i in range(30)]
+    text = " ".join(["w"] * 400_000 + item[:12] + ["x"] + item[13:] + ["w"] * 400_000)
+    got = decontaminate.leaks(spark.createDataFrame([(1, text)], DOCS), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+    assert [(r["edits"], r["start_word"], r["n_words"]) for r in got] == [(1, 400_000, 30)]
+
+
 def test_clean_texts_stay(spark):
-    docs = spark.createDataFrame([(1, "one two three four five"), (2, "x"), (None, "one two three four five"), (3, None)], DOCS)
+    docs = spark.createDataFrame([(1, "one two three four five"), (1, "another text"), (2, "x"), (None, "one two three four five"), (3, None)], DOCS).withColumn("row_name", F.lit("clash"))
     bench = spark.createDataFrame([(1, "one two three four five")], "item_id long, text string")
-    assert {r["doc_id"] for r in decontaminate.clean(docs, bench).collect()} == {2, 3, None}
-    assert decontaminate.clean(docs, bench.limit(0)).count() == 4
+    assert rows_of(decontaminate.clean(docs, bench)) == sorted([(1, "another text", "clash"), (2, "x", "clash"), (3, None, "clash")], key=str)
+    assert decontaminate.clean(docs, bench.limit(0)).count() == 5
     assert decontaminate.clean(docs.limit(0), bench).count() == 0
 
 
@@ -163,7 +311,7 @@ def test_targets_are_shared_out_again():
 
 
 def test_budgets_are_fitted():
-    g = random.Random(8)
+    g, slack = random.Random(8), 0
     for _ in range(200):
         counts = {g.randrange(0, 40): g.randrange(1, 5) for _ in range(g.randrange(1, 8))}
         total = sum(s * n for s, n in counts.items())
@@ -174,7 +322,9 @@ def test_budgets_are_fitted():
         for s, n in counts.items():
             reach |= {r + s * k for r in reach for k in range(n + 1)}
         best = max(r for r in reach if r <= budget)
-        assert best - 40 <= sum(s * n for s, n in taken.items()) <= budget
+        assert sum(s * n for s, n in taken.items()) <= budget
+        slack = max(slack, best - sum(s * n for s, n in taken.items()))
+    assert slack <= 40
 
 
 def test_mix(spark):
@@ -223,7 +373,7 @@ def test_near_copies_keep_unlike_texts_of_one_id(spark):
     text = lambda c: " ".join(f"{c}{i}" for i in range(40))
     rows = [(1, text("a")), (1, text("b")), (1, text("a")), (2, text("b")), (3, text("c")), (0, text("c") + " more"), (5, None), (None, text("a"))]
     got = pipeline.without_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "").collect()
-    assert sorted(map(tuple, got), key=str) == sorted([(1, text("a")), (1, text("b")), (0, text("c") + " more"), (5, None), (None, text("a"))], key=str)
+    assert sorted(map(tuple, got), key=str) == sorted([(1, text("a")), (1, text("b")), (0, text("c") + " more"), (5, None)], key=str)
 
 
 def test_later_stages_keep_rows_of_one_id_apart(spark, tmp_path):

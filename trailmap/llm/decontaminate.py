@@ -1,17 +1,19 @@
 """Benchmark decontamination by edit distance, on words.
 
 A text leaks an item if some stretch of it is within a fifth of the item's words, in word
-edits. Candidates come from item-sized windows: the CGK random walk embeds window and item
-so that few edits become few differing positions, and bit-sampling tables over the
-embeddings, repeated with fresh walks, make a window that is close collide with its item
-with the target recall. Candidates are then verified by exact edit distance.
+edits. Candidates come from item-sized windows: the CGK random walk embeds windows and items
+so that few edits become few differing positions. Each walk makes a table of the items by a
+few sampled positions of their embeddings; windows are looked up in the tables of all
+walks, of which there are as many as the target recall needs. What they find is verified
+by exact edit distance, with the best place of each item in each text.
 
 Windows are embedded where they can be close at all: an item within t edits of a window has
-one of its t + 1 pieces in it unchanged, so only windows about such a piece are looked at,
-shifted by up to t words. Words are compared without case and surrounding punctuation.
+one of its t + 1 pieces in it unchanged, so only windows about such a piece are looked
+up, shifted by up to t words. That leaves nothing out; it spares most windows the walks.
+Words are compared without case and surrounding punctuation.
 
-The benchmark travels to every task, in blocks of BLOCK_BYTES at most; each block is a
-pass over the texts. Whole texts are searched.
+The benchmark is written to the shared folder in blocks of BLOCK_BYTES at most, which tasks
+read; each block is a pass over the texts. Whole texts are searched.
 
 Defined cases: null or empty texts and items without words leak nothing; items and rows
 that repeat each give their own rows of the result; null ids are kept as they are; empty
@@ -25,11 +27,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, text_chunks, word_codes
+from .common import free_name, mix64, ragged, text_chunks, trimmed, word_codes, work_dir
 
 #: Edits allowed: one in so many words.
 EVERY = 5
@@ -37,13 +41,15 @@ RECALL, SAMPLED, SEED = 0.99, 2, 23
 TRIMMED = ".,;:!?\"'()[]{}|#*$%&<>-_~`"
 BLOCK_BYTES = 8 << 20
 FILTER_BITS = 22
+#: Windows that are embedded at once.
+WINDOWS_AT_ONCE = 4096
 
 
 def plain(word: str) -> str:
     return word.lower().strip(TRIMMED)
 
 
-def hashes_of(distinct: list[str], seen: dict[str, int], most: int = 400_000) -> np.ndarray:
+def hashes_of(distinct: list[str], seen: dict[str, int], most: int = 60_000) -> np.ndarray:
     if len(seen) > most:
         seen.clear()
     out = np.empty(len(distinct), np.uint64)
@@ -66,6 +72,11 @@ def repeats_for(n: int, recall: float = RECALL, sampled: int = SAMPLED) -> int:
     return 1 if not t else math.ceil(math.log(1 - recall) / math.log(1 - alike**sampled))
 
 
+def places_of(n: int, walk: int) -> np.ndarray:
+    """Positions of the embedding of an item of n words that a walk's table looks at."""
+    return (mix64(np.arange(SAMPLED, dtype=np.uint64) + np.uint64((SEED + walk) * 1009)) % np.uint64(3 * n)).astype(np.int64)
+
+
 def embedded(words: np.ndarray, length: int, walk: int) -> np.ndarray:
     """CGK: copy the word at the place, then step on or stay by a random bit of (word, time); rows are texts.
 
@@ -82,42 +93,33 @@ def embedded(words: np.ndarray, length: int, walk: int) -> np.ndarray:
     return out
 
 
-def collisions(windows: np.ndarray, item: np.ndarray) -> Iterator[np.ndarray]:
-    """Table by table, the windows (rows, as long as the item) that newly fall with the item into a bucket."""
-    n = len(item)
-    todo, length = np.arange(len(windows)), 3 * n
-    for walk in range(repeats_for(n)):
-        places = mix64(np.arange(SAMPLED, dtype=np.uint64) + np.uint64((SEED + walk) * 1009)) % np.uint64(length)
-        reach = int(places.max()) + 1  # the walk is not followed beyond the places looked at
-        both = embedded(np.concatenate((windows[todo], item[None])), reach, walk)[:, places.astype(np.int64)]
-        hit = (both[:-1] == both[-1]).all(axis=1)
-        yield todo[hit]
-        todo = todo[~hit]
-        if not len(todo):
-            break
+def bucket_keys(words: np.ndarray, walk: int) -> np.ndarray:
+    """Each row's bucket in the table of a walk; the walk is not followed beyond the places looked at."""
+    places = places_of(words.shape[1], walk)
+    seen = embedded(words, int(places.max()) + 1, walk)[:, places]
+    key = np.zeros(len(words), np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(seen.shape[1]):
+            key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + seen[:, j])
+    return key
 
 
 def best_match(stretch: np.ndarray, item: np.ndarray) -> tuple[int, int, int]:
-    """(edits, start, end) of the part of `stretch` nearest to the item; of equal ones the first to end, then the longest."""
-    n = len(item)
-    cost = np.arange(n + 1)
-    start = np.zeros(n + 1, np.int64)
-    best = (n + 1, 0, 0)
+    """(edits, start, end) of the part of `stretch` nearest to the item; of equal ones the first to end, then the longest.
+
+    Costs and starts are one number, so a row of the table of edits is a few array operations:
+    what comes from the left is a running minimum.
+    """
+    n, unit = len(item), len(stretch) + 1
+    steps = np.arange(n + 1, dtype=np.int64) * unit
+    cost, best = steps.copy(), (n + 1, 0, 0)
     for j, w in enumerate(stretch, 1):
-        new, origin = np.empty(n + 1, np.int64), np.empty(n + 1, np.int64)
-        new[0], origin[0] = 0, j
-        differ = (item != w).astype(np.int64)
-        for i in range(1, n + 1):
-            a, b, c = cost[i - 1] + differ[i - 1], cost[i] + 1, new[i - 1] + 1
-            if a <= b and a <= c:
-                new[i], origin[i] = a, start[i - 1]
-            elif b <= c:
-                new[i], origin[i] = b, start[i]
-            else:
-                new[i], origin[i] = c, origin[i - 1]
-        cost, start = new, origin
-        if cost[n] < best[0]:
-            best = (int(cost[n]), int(start[n]), j)
+        new = cost + unit
+        new[0] = j
+        new[1:] = np.minimum(new[1:], cost[:-1] + (item != w) * unit)
+        cost = np.minimum.accumulate(new - steps) + steps
+        if cost[n] // unit < best[0]:
+            best = (int(cost[n] // unit), int(cost[n] % unit), j)
     return best
 
 
@@ -146,9 +148,23 @@ class Benchmark:
             told[h & np.uint64(len(told) - 1)] = True
             self.pieces[size] = (told, h[order], np.array([r[1] for r in rows])[order], np.array([r[2] for r in rows])[order])
 
-    def search(self, words: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
-        """(text, item, edits, start, words) for each text and item that it leaks, the best place of each."""
-        near: dict[tuple[int, int], set[int]] = {}
+        self.tables: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        by_length: dict[int, list[int]] = {}
+        for k, words in enumerate(self.words):
+            by_length.setdefault(len(words), []).append(k)
+        for n, ks in by_length.items():
+            rows = np.stack([self.words[k] for k in ks])
+            tables = []
+            for walk in range(repeats_for(n)):
+                keys = bucket_keys(rows, walk)
+                order = np.argsort(keys, kind="stable")
+                tables.append((keys[order], np.array(ks)[order]))
+            self.tables[n] = tables
+
+    def windows(self, words: np.ndarray, bounds: np.ndarray) -> dict[int, np.ndarray]:
+        """By length, where windows start that may be close to an item of that length: about its unchanged pieces."""
+        found: dict[int, list[np.ndarray]] = {}
+        lengths = np.array([len(w) for w in self.words])
         for size, (told, h, item, offset) in self.pieces.items():
             if len(words) < size:
                 continue
@@ -157,25 +173,54 @@ class Benchmark:
             at = at[np.isin(r[at], h)]
             text = np.searchsorted(bounds, at, side="right") - 1
             inside = at + size <= bounds[text + 1]
-            for p, d in zip(at[inside].tolist(), text[inside].tolist(), strict=True):
-                for i in range(*np.searchsorted(h, [r[p], r[p] + np.uint64(1)] if r[p] < np.uint64(2**64 - 1) else [r[p]] * 2).tolist()):
-                    near.setdefault((d, int(item[i])), set()).add(p - int(offset[i]))
-        for (d, k), places in near.items():
+            at, text = at[inside], text[inside]
+            low, high = np.searchsorted(h, r[at], side="left"), np.searchsorted(h, r[at], side="right")
+            which = ragged(low, high - low)
+            at, text = np.repeat(at, high - low), np.repeat(text, high - low)
+            n = lengths[item[which]]
+            first = at - offset[which]
+            for length in np.unique(n).tolist():
+                own = n == length
+                t = edits_of(length)
+                starts = first[own][:, None] + np.arange(-t, t + 1)
+                starts = np.clip(starts, bounds[text[own]][:, None], bounds[text[own] + 1][:, None] - 1)
+                found.setdefault(length, []).append(np.unique(starts))
+        return {n: np.unique(np.concatenate(s)) for n, s in found.items()}
+
+    def candidates(self, words: np.ndarray, bounds: np.ndarray) -> dict[tuple[int, int], list[int]]:
+        """By (text, item), starts of windows that fall with the item into a bucket of some table."""
+        near: dict[tuple[int, int], set[int]] = {}
+        for n, every in self.windows(words, bounds).items():
+            for a in range(0, len(every), WINDOWS_AT_ONCE):
+                starts = every[a : a + WINDOWS_AT_ONCE]
+                text = np.searchsorted(bounds, starts, side="right") - 1
+                grid = starts[:, None] + np.arange(n)
+                high = bounds[text + 1][:, None]
+                rows = np.where(grid < high, words[np.minimum(grid, high - 1)], np.uint64(0))
+                for walk, (keys, items) in enumerate(self.tables[n]):
+                    own = bucket_keys(rows, walk)
+                    low, up = np.searchsorted(keys, own, side="left"), np.searchsorted(keys, own, side="right")
+                    hit = np.flatnonzero(up > low)
+                    which = ragged(low[hit], (up - low)[hit])
+                    hit = np.repeat(hit, (up - low)[hit])
+                    for d, k, s in zip(text[hit].tolist(), items[which].tolist(), starts[hit].tolist(), strict=True):
+                        near.setdefault((d, k), set()).add(s)
+        return {pair: sorted(s) for pair, s in sorted(near.items())}
+
+    def search(self, words: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+        """(text, item, edits, start, words) for each text and item that it leaks, the best place of each."""
+        for (d, k), starts in self.candidates(words, bounds).items():
             item, low, high = self.words[k], int(bounds[d]), int(bounds[d + 1])
             n, t = len(item), edits_of(len(item))
-            starts = np.array(sorted({min(max(s, low), high - 1) for p in places for s in range(p - t, p + t + 1)}))
-            grid = starts[:, None] + np.arange(n)
-            windows = np.where(grid < high, words[np.minimum(grid, high - 1)], np.uint64(0))
-            best, seen = None, set()
-            for hit in collisions(windows, item):
-                for s in starts[hit].tolist():
-                    if s // (t + 1) in seen:  # the stretch that is compared has room for neighbours
-                        continue
-                    seen.add(s // (t + 1))
-                    a, z = max(low, s - t), min(high, s + n + 2 * t)
-                    edits, x, y = best_match(words[a:z], item)
-                    if edits <= t and (best is None or (edits, a + x - low) < best[:2]):
-                        best = (edits, a + x - low, y - x)
+            best, reached = None, -1
+            for s in starts:
+                if s <= reached:  # the stretch that was compared last has room for it
+                    continue
+                a, z = max(low, s - t), min(high, s + n + 3 * t)
+                reached = s + t
+                edits, x, y = best_match(words[a:z], item)
+                if edits <= t and (best is None or (edits, a + x - low) < best[:2]):
+                    best = (edits, a + x - low, y - x)
                 if best and not best[0]:  # nothing can be nearer
                     break
             if best:
@@ -196,19 +241,31 @@ def leaks(docs: DataFrame, benchmark: DataFrame, ident: str = "doc_id", text: st
     items = benchmark.select(F.col(item_ident).cast("long").alias("item_id"), F.col(item_text).alias("text"))
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // BLOCK_BYTES))
-    found = [searched(own, items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)) for b in range(blocks)]
+    path = work_dir(docs.sparkSession, "benchmark")
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)).cast("int"))
+    dealt.repartition(blocks, "block").write.partitionBy("block").parquet(path)
+    found = [searched(own, f"{path}/block={b}") for b in range(blocks)]
     out = found[0]
     for f in found[1:]:
         out = out.unionAll(f)
     return out
 
 
-def searched(docs: DataFrame, items: DataFrame) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast([(r["item_id"], r["text"]) for r in items.collect()])
+def read_block(path: str) -> list[tuple[int | None, str | None]]:
+    """Items of a block, from the files that were written; none where a block has none."""
+    fs, folder = pafs.FileSystem.from_uri(path)
+    listed = fs.get_file_info(pafs.FileSelector(folder, allow_not_found=True))
+    out = []
+    for f in sorted(f.path for f in listed if f.path.endswith(".parquet")):
+        with fs.open_input_file(f) as file:
+            out += [(r["item_id"], r["text"]) for r in pq.ParquetFile(file).read(["item_id", "text"]).to_pylist()]
+    return out
+
 
+def searched(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bench, seen = Benchmark(shared.value), {}
-        for batch in text_chunks(batches):
+        bench, seen = Benchmark(read_block(path)), {}
+        for batch in text_chunks(batches, most=1 << 20):
             codes, bounds, distinct = word_codes(batch.column("text"))
             rows = list(bench.search(hashes_of(distinct, seen)[codes], bounds)) if len(codes) and bench.ids else []
             if rows:
@@ -216,10 +273,12 @@ def searched(docs: DataFrame, items: DataFrame) -> DataFrame:
                 made = [[ids[r[0]] for r in rows], [bench.ids[r[1]] for r in rows], *([r[c] for r in rows] for c in (2, 3, 4))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in made], ["doc_id", "item_id", "edits", "start_word", "n_words"])
 
-    return docs.mapInArrow(run, "doc_id long, item_id long, edits long, start_word long, n_words long")
+    return docs.mapInArrow(lambda batches: trimmed(run(batches)), "doc_id long, item_id long, edits long, start_word long, n_words long")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that leak no item, with all their columns; without id they are searched too, but stay."""
-    found = leaks(docs, benchmark, ident, text).select(F.col("doc_id").alias(ident)).where(F.col(ident).isNotNull()).distinct()
-    return docs.join(found, ident, "left_anti").select(*docs.columns)
+    """The documents that leak no item, with all their columns; rows are told apart by id and text, so one without id goes like others."""
+    name = free_name(docs.columns, "row_name")
+    rows = docs.withColumn(name, F.xxhash64(ident, text))
+    found = leaks(rows, benchmark, name, text).select(F.col("doc_id").alias(name)).distinct()
+    return rows.join(found, name, "left_anti").select(*docs.columns)

@@ -1,13 +1,15 @@
-"""Removal of repeated runs of lines, by a join of the hashes of all runs of three lines.
-
-Lines with a word are hashed and every three neighbours make a run, RUN = 3; each run's
-place is told, so nothing is winnowed out. The smaller hash of a run's two grams goes along
-only to leave out, before the join, places whose value occurs once. The others' runs are
-joined to the run's first place, matches are extended
-both ways over equal lines, and of each match the later run is deleted. The result is
-exact: a line goes if some three lines over it also stand at an earlier place, in the
-order of (id, line). With `words`, a run of one or two lines that has so many words counts
-as three lines do, so a repeated passage of that length is found however it is broken.
+"""Removal of repeated runs of lines, by winnowing over line hashes.
+
+Lines with a word are hashed; two neighbours make a gram. Of each window of two grams, which
+is a run of RUN = 3 lines, the smaller gram hash is selected, the later of equal ones; so any
+three lines that stand twice have a selected gram at the same place in them. Only selected
+places travel, one row each, with the line before and the line after where a window that
+reaches there chose them. Positions are joined on the gram: equal (gram, side, line) is a
+match of three lines with their first place, which is then extended both ways over equal
+lines, and of each match the later run is deleted. The result is exact: a line goes if some
+three lines over it also stand at an earlier place, in the order of (id, line). With
+`words`, a run of one or two lines that has so many words counts as three lines do, so a
+repeated passage of that length is found however it is broken.
 
 Defined cases: a null text has no lines; lines without a word count for nothing and stay;
 overlapping repeats within a text count, so of a line said five times in a row three to
@@ -26,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, mix64, text_chunks
+from .common import materialise, mix64, text_chunks, trimmed
 
 RUN = 3
 BLANK = " \t\n\x0b\x0c\r"
@@ -42,14 +44,17 @@ def line_hashes(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return np.array([xxhash.xxh3_64_intdigest(x) for x in filled], np.uint64), np.array([len(x.split()) for x in filled], np.int64)
 
 
-def winnowed(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each run of three lines, its fingerprint (the smaller of its two grams) and its own hash."""
+def winnowed(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Selected grams: place, hash, and whether the window before and the window after chose them."""
     if len(h) < RUN:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        none = np.zeros(0, bool)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), none, none
     with np.errstate(over="ignore"):
         grams = mix64(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])
-        runs = mix64(grams[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[2:])
-    return np.minimum(grams[:-1], grams[1:]), runs
+    later = grams[1:] <= grams[:-1]  # of each window, whether its second gram is the one
+    ends, begins = np.append(False, later), np.append(~later, False)
+    at = np.flatnonzero(ends | begins)
+    return at, grams[at], ends[at], begins[at]
 
 
 def short_runs(h: np.ndarray, n: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -60,29 +65,34 @@ def short_runs(h: np.ndarray, n: np.ndarray, words: int) -> tuple[np.ndarray, np
 
 
 def fingerprints(docs: DataFrame, words: int | None) -> DataFrame:
-    """(doc_id, at, fp, run) for each run that counts, and the document's line hashes at its first."""
+    """(doc_id, at, fp, before, after) of each selected place, and the document's line hashes at its first; short runs have neither side."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches):
-            ids, ats, fps, runs, lines = [], [], [], [], []
+            ids, ats, fps, befores, afters, lines = [], [], [], [], [], []
             for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 h, n = line_hashes(t)
-                f, r = winnowed(h)
-                at = np.arange(len(f))
+                at, fp, before, after = winnowed(h)
+                line = h.view(np.int64)
+                left = pa.array(line[np.maximum(at - 1, 0)], mask=~before)
+                right = pa.array(line[np.minimum(at + 2, max(0, len(h) - 1))] if len(h) else line, mask=~after)
                 if words is not None:
                     short, hashes = short_runs(h, n, words)
-                    at, f, r = np.concatenate((at, short)), np.concatenate((f, hashes)), np.concatenate((r, hashes))
-                if i is None or not len(f):
+                    at, fp = np.concatenate((at, short)), np.concatenate((fp, hashes))
+                    left, right = (pa.concat_arrays([x, pa.nulls(len(short), pa.int64())]) for x in (left, right))
+                if i is None or not len(at):
                     continue
-                ids.append(np.full(len(f), i, np.int64))
+                ids.append(np.full(len(at), i, np.int64))
                 ats.append(at)
-                fps.append(f)
-                runs.append(r)
-                lines += [h.tobytes()] + [None] * (len(f) - 1)
+                fps.append(fp)
+                befores.append(left)
+                afters.append(right)
+                lines += [h.tobytes()] + [None] * (len(at) - 1)
             if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(ats), pa.int64()), pa.array(np.concatenate(fps).view(np.int64)), pa.array(np.concatenate(runs).view(np.int64)), pa.array(lines, pa.binary())], ["doc_id", "at", "fp", "run", "lines"])
+                made = [pa.array(np.concatenate(ids)), pa.array(np.concatenate(ats), pa.int64()), pa.array(np.concatenate(fps).view(np.int64)), pa.concat_arrays(befores), pa.concat_arrays(afters), pa.array(lines, pa.binary())]
+                yield pa.RecordBatch.from_arrays(made, ["doc_id", "at", "fp", "before", "after", "lines"])
 
-    return docs.mapInArrow(run, "doc_id long, at long, fp long, run long, lines binary")
+    return docs.mapInArrow(lambda batches: trimmed(run(batches)), "doc_id long, at long, fp long, before long, after long, lines binary")
 
 
 def extended(rows: DataFrame) -> DataFrame:
@@ -136,9 +146,14 @@ def dedup(docs: DataFrame, ident: str = "doc_id", text: str = "text", words: int
     own = docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text"))
     prints = materialise(fingerprints(own, words), "fingerprints")
     again = prints.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp")
-    places = prints.select("doc_id", "at", "fp", "run").join(again, "fp", "left_semi").drop("fp")
-    first = places.groupBy("run").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("run", "first")
-    later = places.join(first, "run").where(F.struct("doc_id", "at") > F.col("first")).select("doc_id", "at", F.col("first.doc_id").alias("first_doc"), F.col("first.at").alias("first_at"))
+    # a side of a selected place is three lines, from the line before it or from its own; a short run is itself
+    side = lambda n, at, line: F.struct(F.lit(n).alias("side"), at.alias("at"), line.alias("line"))
+    sides = F.filter(F.array(side(1, F.col("at") - 1, F.col("before")), side(2, F.col("at"), F.col("after"))), lambda s: s["line"].isNotNull())
+    sides = F.when(F.size(sides) > 0, sides).otherwise(F.array(side(0, F.col("at"), F.lit(0).cast("long"))))
+    places = prints.select("doc_id", "at", "fp", "before", "after").join(again, "fp", "left_semi").select("doc_id", "fp", F.explode(sides).alias("s")).select("doc_id", "fp", "s.side", "s.line", "s.at")
+    run = ["fp", "side", "line"]
+    first = places.groupBy(*run).agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(*run, "first")
+    later = places.join(first, run).where(F.struct("doc_id", "at") > F.col("first")).select("doc_id", "at", F.col("first.doc_id").alias("first_doc"), F.col("first.at").alias("first_at"))
     # a match's places follow each other, and only the first of them is looked up
     key = [(F.col("at") - F.col("first_at")).alias("shift")]
     heads = later.select("doc_id", "first_doc", *key, "at").distinct()

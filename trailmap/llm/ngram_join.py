@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .common import hash_words, materialise, mix64, ragged, text_chunks, trimmed, word_codes
+from .common import hash_words, in_buckets, materialise, mix64, ragged, text_chunks, trimmed, word_codes
 
 #: Ratio of a size band's ends.
 BAND = 1.2
@@ -47,6 +47,8 @@ SHARED = 2
 FEW = 32
 #: Features a subset must have to be told; common lines would share smaller ones.
 LEAST = 2
+#: Signatures that are dealt out at once.
+SIGNED_AT_ONCE = 1_500_000
 #: Documents of a larger group that are compared in a task with as many others.
 BLOCK = 2048
 #: Documents of a signature in a task beyond which they don't all go to its bucket.
@@ -226,7 +228,7 @@ def signed(docs: DataFrame, n: int, num: int, den: int, buckets: int) -> DataFra
                 rows["sig"], rows["doc"], rows["size"] = sigs, doc, len(s)
                 held.append(rows)
                 count += len(rows)
-            if count > 3_000_000:
+            if count > SIGNED_AT_ONCE:
                 yield from dealt(np.concatenate(held), buckets)
                 held, count = [], 0
         if count:
@@ -343,7 +345,7 @@ def matched(packs: DataFrame, buckets: int, num: int, den: int) -> DataFrame:
             pairs, times = counted(np.concatenate(found))
             yield pairs_batch(pairs["a"], pairs["b"], None, times)
 
-    return packs.repartition(buckets, "bucket").mapInArrow(lambda batches: trimmed(run(batches)), "sig long, a long, b long, n int, group binary")
+    return in_buckets(packs, buckets).mapInArrow(lambda batches: trimmed(run(batches)), "sig long, a long, b long, n int, group binary")
 
 
 PAIR = np.dtype([("a", "<i8"), ("b", "<i8")])
@@ -449,34 +451,67 @@ def across(groups: DataFrame, labels: DataFrame, rows: DataFrame, num: int, den:
         lo, hi = key[1].as_py(), key[2].as_py()
         i, doc, c, size = (table.column(x).to_numpy() for x in ("i", "doc_id", "c", "size"))
         raw = table.column("sketch").to_pylist()
-        to = min(map(len, raw))
-        bits = np.frombuffer(b"".join(folded(x, to).to_bytes(to, "little") for x in raw), np.uint64 if to % 8 == 0 else np.uint8).reshape(len(raw), -1)
-        found = []
-        for p in range(len(raw)):
-            q = np.flatnonzero((i == hi) & (doc > doc[p]) & (c != c[p])) if lo == hi else np.flatnonzero((i == hi) & (c != c[p])) if i[p] == lo else []
-            if not len(q):
-                continue
-            differ = np.bitwise_count(bits[q] ^ bits[p]).sum(axis=1, dtype=np.int64)
-            q = q[(differ * (den + num) <= (den - num) * (size[q] + size[p])) & (size[q] * den >= size[p] * num) & (size[p] * den >= size[q] * num)]
-            found.append(np.stack([np.minimum(doc[q], doc[p]), np.maximum(doc[q], doc[p])], axis=1))
-        both = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-        return pa.table({"a": both[:, 0], "b": both[:, 1]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+        bits = folded_rows(raw, min(map(len, raw)))
+        found = [np.zeros(0, PAIR)]
+        if lo == hi:
+            found += differing(doc, c, size, np.full(len(doc), len(doc)), bits, num, den)
+        else:
+            far = np.flatnonzero(i == hi)
+            for p in np.flatnonzero(i == lo).tolist():
+                q = far[(c[far] != c[p]) & (size[far] * den >= size[p] * num) & (size[p] * den >= size[far] * num)]
+                if len(q):
+                    q = q[np.bitwise_count(bits[q] ^ bits[p]).sum(axis=1, dtype=np.int64) * (den + num) <= (den - num) * (size[q] + size[p])]
+                    out = np.empty(len(q), PAIR)
+                    out["a"], out["b"] = np.minimum(doc[q], doc[p]), np.maximum(doc[q], doc[p])
+                    found.append(out)
+        both = np.concatenate(found)
+        return pa.table({k: np.ascontiguousarray(both[k]) for k in ("a", "b")}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
     return held.groupBy("sig", "lo", "hi").applyInArrow(compare, "a long, b long").distinct()
 
 
-def differing(doc: np.ndarray, comp: np.ndarray, size: np.ndarray, raw: list[bytes], num: int, den: int) -> np.ndarray:
-    """Pairs across components, within one group, that sketches don't rule out."""
-    to = min(map(len, raw))
-    bits = np.frombuffer(b"".join(x if len(x) == to else folded(x, to).to_bytes(to, "little") for x in raw), np.uint64 if to % 8 == 0 else np.uint8).reshape(len(raw), -1)
-    found = []
-    for p in range(len(raw) - 1):
-        q = np.arange(p + 1, len(raw))
-        q = q[(comp[q] != comp[p]) & (size[q] * den >= size[p] * num) & (size[p] * den >= size[q] * num)]
-        if len(q):
-            q = q[np.bitwise_count(bits[q] ^ bits[p]).sum(axis=1, dtype=np.int64) * (den + num) <= (den - num) * (size[q] + size[p])]
-            found.append(np.stack([np.minimum(doc[q], doc[p]), np.maximum(doc[q], doc[p])], axis=1))
-    return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+def folded_rows(raw: list[bytes], to: int) -> np.ndarray:
+    """Sketches as rows of numbers, shortened to `to` bytes each."""
+    out = np.empty((len(raw), to), np.uint8)
+    lengths = np.fromiter(map(len, raw), np.int64, len(raw))
+    for n in np.unique(lengths).tolist():
+        own = np.flatnonzero(lengths == n)
+        rows = np.frombuffer(b"".join([raw[i] for i in own.tolist()]), np.uint8).reshape(-1, n)
+        while n > to:
+            n //= 2
+            rows = rows[:, :n] ^ rows[:, n:]
+        out[own] = rows
+    return out.view(np.uint64)
+
+
+def differing(doc: np.ndarray, comp: np.ndarray, size: np.ndarray, ends: np.ndarray, bits: np.ndarray, num: int, den: int) -> Iterator[np.ndarray]:
+    """Pairs across components, within groups, that sketches don't rule out.
+
+    Members of a group follow each other; `ends` tells where each member's group ends.
+    Some PAIRS_AT_ONCE are looked at in one step, whatever groups they belong to.
+    """
+    first = np.arange(len(doc))
+    left = ends - first - 1
+    total = np.cumsum(left)
+    a = 0
+    while a < len(doc):
+        z = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + PAIRS_AT_ONCE, side="right")))
+        for off in range(0, int(left[a]) if z == a + 1 else 1, PAIRS_AT_ONCE):  # one member may have more partners than that
+            n = left[a:z] if z > a + 1 else np.minimum(left[a:z] - off, PAIRS_AT_ONCE)
+            i, j = np.repeat(first[a:z], n), ragged(first[a:z] + 1 + off, n)
+            x, y = size[i], size[j]
+            keep = np.flatnonzero((comp[i] != comp[j]) & (x * den >= y * num) & (y * den >= x * num))
+            if len(keep):
+                i, j = i[keep], j[keep]
+                near = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64) * (den + num) <= (den - num) * (size[i] + size[j])
+                out = np.empty(int(near.sum()), PAIR)
+                out["a"], out["b"] = np.minimum(doc[i[near]], doc[j[near]]), np.maximum(doc[i[near]], doc[j[near]])
+                yield out
+        a = z
+
+
+#: Pairs that are looked at in one step.
+PAIRS_AT_ONCE = 100_000
 
 
 def across_packed(groups: DataFrame, labels: DataFrame, rows: DataFrame, buckets: int, num: int, den: int) -> DataFrame:
@@ -539,17 +574,26 @@ def across_packed(groups: DataFrame, labels: DataFrame, rows: DataFrame, buckets
         t = t[order]
         at, length = runs(t["sig"])
         mixed = np.minimum.reduceat(t["comp"], at) < np.maximum.reduceat(t["comp"], at)
-        found = [np.zeros((0, 2), np.int64)]
-        for a, n in zip(at[mixed].tolist(), length[mixed].tolist(), strict=True):
-            part = t[a : a + n]
-            found.append(differing(part["doc"], part["comp"], part["size"].astype(np.int64), [raw[i] for i in order[a : a + n]], num, den))
-            if len(found) > 200:
-                found = [np.unique(np.concatenate(found), axis=0)]
-        both = np.unique(np.concatenate(found), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, i]), pa.int64()) for i in (0, 1)], ["a", "b"])
-
-    told = groups.select("group").mapInArrow(by_doc, schema).unionAll(info).repartition(buckets, "bucket").sortWithinPartitions("kind").mapInArrow(by_sig, "bucket int, data binary")
-    return told.repartition(buckets, "bucket").mapInArrow(compare, "a long, b long").distinct()
+        shortest = np.minimum.reduceat(t["bytes"], at)
+        found, held = [np.zeros(0, PAIR)], 0
+        for to in np.unique(shortest[mixed]).tolist():
+            own = mixed & (shortest == to)
+            members = ragged(at[own], length[own])
+            ends = np.repeat(np.cumsum(length[own]), length[own])
+            part = t[members]
+            bits = folded_rows([raw[i] for i in order[members].tolist()], to)
+            for pairs in differing(part["doc"], part["comp"], part["size"].astype(np.int64), ends, bits, num, den):
+                found.append(pairs)
+                held += len(pairs)
+                if held > 500_000:
+                    found = [counted(np.concatenate(found))[0]]
+                    held = 0
+        both = counted(np.concatenate(found))[0]
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[c]), pa.int64()) for c in ("a", "b")], ["a", "b"])
+
+    met = in_buckets(groups.select("group").mapInArrow(lambda batches: trimmed(by_doc(batches)), schema).unionAll(info), buckets)
+    told = met.sortWithinPartitions("kind").mapInArrow(lambda batches: trimmed(by_sig(batches)), "bucket int, data binary")
+    return in_buckets(told, buckets).mapInArrow(lambda batches: trimmed(compare(batches)), "a long, b long").distinct()
 
 
 TOLD = np.dtype([("sig", "<u8"), ("doc", "<i8"), ("comp", "<i8"), ("size", "<i4"), ("bytes", "<i4")])

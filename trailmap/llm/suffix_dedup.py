@@ -6,7 +6,7 @@ A byte goes if a 50-byte window over it also starts in a document with a smaller
    windows have equal anchors. Consecutive windows of one anchor are its context. Anchors
    and contexts travel as hashes, packed by bucket.
 2. Where documents share an anchor, equal contexts of all but the smallest id go whole;
-   equal means by hash, 40 bits of the anchor and 64 of the context's bytes.
+   equal means by hash, 40 bits of the anchor and 48 of the context's bytes.
    Contexts that differ, which is where repeats begin and end, are sent as strings.
 3. Strings of one anchor are put into one text and its suffixes ordered (suffix_array).
    Windows that are equal are neighbours in that order; the smallest id keeps its own.
@@ -45,7 +45,7 @@ SORTED_BYTES = 512 << 10
 #: Text whose windows are hashed at once; numpy holds some 150 bytes for each of its bytes. Longer texts are cut there.
 HASHED_BYTES = 192 << 10
 #: Contexts that are dealt out at once, and text for which a bucket is made.
-DEALT_ROWS, BUCKET_BYTES = 400_000, 8 << 20
+DEALT_ROWS, BUCKET_BYTES = 800_000, 16 << 20
 
 BYTE = mix64(np.arange(256, dtype=np.uint64) + np.uint64(0x51ED270B))
 ANCHORED = np.dtype([("k", "<u8"), ("c", "<u8"), ("doc", "<i8")])
@@ -72,7 +72,7 @@ def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def contexts(x: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
-    """Anchors of all windows: text number, first and last window, hash of the anchor (40 bits) and of the context (64 bits).
+    """Anchors of all windows: text number, first and last window, hash of the anchor (40 bits) and of the context (48 bits).
 
     `w` has the hash of the window at every byte of `x`.
     """
@@ -102,7 +102,7 @@ def contexts(x: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
     first, last = first[keep], last[keep]
     q = at[first]
     with np.errstate(over="ignore"):
-        c = mix64(joined_hash(joined_hash(w[first], w[last]), ((q - first) * 64 + (last - first)).astype(np.uint64)))
+        c = mix64(joined_hash(joined_hash(w[first], w[last]), ((q - first) * 64 + (last - first)).astype(np.uint64))) >> np.uint64(16)
     return {"text": text[first], "first": first, "last": last, "k": piece[q] >> np.uint64(24), "c": c, "w": w}
 
 
@@ -143,19 +143,43 @@ def from_planes(data: bytes, n: int, width: int, at: int) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
-def pack_anchors(rows: np.ndarray) -> bytes:
-    docs, which = np.unique(rows["doc"], return_inverse=True)
+def pack_docs(doc: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """A head and the distinct ids as steps from one to the next, and each row's number among them."""
+    docs, which = np.unique(doc, return_inverse=True)
     width = 2 if len(docs) <= 1 << 16 else 4
-    head = np.array([len(rows), len(docs), width], "<u4").tobytes()
-    return head + docs.astype("<i8").tobytes() + planes(np.ascontiguousarray(rows["k"]), 5) + planes(np.ascontiguousarray(rows["c"]), 8) + which.astype(f"<u{width}").tobytes()
+    head = np.array([len(doc), len(docs), width], "<u4").tobytes()
+    return head + planes(np.diff(docs.astype("<i8"), prepend=0).view(np.uint64), 8), which.astype(f"<u{width}")
 
 
-def unpack_anchors(data: bytes) -> np.ndarray:
+def unpack_docs(data: bytes) -> tuple[int, np.ndarray, int, int]:
+    """Rows, ids, the width of their numbers, and where the rest begins."""
     n, d, width = (int(v) for v in np.frombuffer(data, "<u4", 3))
-    docs, at = np.frombuffer(data, "<i8", d, 12), 12 + 8 * d
+    return n, np.cumsum(from_planes(data, d, 8, 12).view(np.int64)), width, 12 + 8 * d
+
+
+def pack_anchors(rows: np.ndarray) -> bytes:
+    head, which = pack_docs(rows["doc"])
+    return head + planes(np.ascontiguousarray(rows["k"]), 5) + planes(np.ascontiguousarray(rows["c"]), 6) + which.tobytes()
+
+
+def unpack_anchors(data: bytes) -> np.ndarray:
+    n, docs, width, at = unpack_docs(data)
     out = np.empty(n, ANCHORED)
-    out["k"], out["c"] = from_planes(data, n, 5, at), from_planes(data, n, 8, at + 5 * n)
-    out["doc"] = docs[np.frombuffer(data, f"<u{width}", n, at + 13 * n)]
+    out["k"], out["c"] = from_planes(data, n, 5, at), from_planes(data, n, 6, at + 5 * n)
+    out["doc"] = docs[np.frombuffer(data, f"<u{width}", n, at + 11 * n)]
+    return out
+
+
+def pack_fates(rows: np.ndarray) -> bytes:
+    head, which = pack_docs(rows["doc"])
+    return head + planes(np.ascontiguousarray(rows["key"]), 8) + which.tobytes() + rows["fate"].tobytes()
+
+
+def unpack_fates(data: bytes) -> np.ndarray:
+    n, docs, width, at = unpack_docs(data)
+    out = np.empty(n, FATED)
+    out["key"], out["fate"] = from_planes(data, n, 8, at), np.frombuffer(data, np.uint8, n, at + (8 + width) * n)
+    out["doc"] = docs[np.frombuffer(data, f"<u{width}", n, at + 8 * n)]
     return out
 
 
@@ -191,7 +215,7 @@ def dealt_anchors(rows: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
     head = np.append(True, (rows["k"][1:] != rows["k"][:-1]) | (rows["c"][1:] != rows["c"][:-1]))
     first = rows[head]
     known = fated(rows[rows["doc"] > first["doc"][np.cumsum(head) - 1]], WHOLE)
-    yield from by_bucket(doc_bucket(known["doc"], buckets), known, 1)
+    yield from by_bucket(doc_bucket(known["doc"], buckets), known, 1, pack_fates)
     new = np.append(True, first["k"][1:] != first["k"][:-1])
     number = np.cumsum(new) - 1
     frequent = np.bincount(number)[number] > FEW
@@ -241,7 +265,7 @@ def decided(rows: np.ndarray, marked: np.ndarray, by_window: bool, doc_buckets:
     alike = ~single & several[k_of]
     for which, fate in ((later, WHOLE), (~later & single, BY_WINDOW), (~later & alike, COMPARED)):
         out = fated(rows[which], fate)
-        yield from by_bucket(doc_bucket(out["doc"], doc_buckets), out, 0)
+        yield from by_bucket(doc_bucket(out["doc"], doc_buckets), out, 0, pack_fates)
 
 
 def fates(dealt: DataFrame, buckets: int, doc_buckets: int) -> DataFrame:
@@ -252,8 +276,7 @@ def fates(dealt: DataFrame, buckets: int, doc_buckets: int) -> DataFrame:
         for batch in batches:
             for bucket, kind, data in zip(*(batch.column(c).to_pylist() for c in ("bucket", "kind", "data")), strict=True):
                 if kind == 1:
-                    rows = np.frombuffer(data, FATED)
-                    yield from by_bucket(doc_bucket(rows["doc"], doc_buckets), rows, 0)
+                    yield packs([bucket], 0, [data])  # they are of one bucket of documents already
                 else:
                     held.setdefault(bucket, {0: [], 2: [], 3: []})[kind].append(data)
         while held:  # a bucket at a time, whatever else came to this task
@@ -316,7 +339,7 @@ def candidates(met: DataFrame, buckets: int, uid_buckets: int) -> DataFrame:
         names = fate = None
         for x, bounds, ids, uids in unsqueezed(batches, fate_packs):
             if names is None:
-                rows = np.concatenate([np.frombuffer(d, FATED) for d in fate_packs]) if fate_packs else np.zeros(0, FATED)
+                rows = np.concatenate([unpack_fates(d) for d in fate_packs]) if fate_packs else np.zeros(0, FATED)
                 names = mix64(rows["doc"].astype(np.uint64)) ^ rows["key"]
                 order = np.lexsort((rows["fate"], names))
                 names, fate = names[order], rows["fate"][order]
