@@ -49,7 +49,7 @@ def plain(word: str) -> str:
     return word.lower().strip(TRIMMED)
 
 
-def hashes_of(distinct: list[str], seen: dict[str, int], most: int = 60_000) -> np.ndarray:
+def hashes_of(distinct: list[str], seen: dict[str, int], most: int = 300_000) -> np.ndarray:
     if len(seen) > most:
         seen.clear()
     out = np.empty(len(distinct), np.uint64)
@@ -265,7 +265,7 @@ def read_block(path: str) -> list[tuple[int | None, str | None]]:
 def searched(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bench, seen = Benchmark(read_block(path)), {}
-        for batch in text_chunks(batches, most=1 << 20):
+        for batch in text_chunks(batches):
             codes, bounds, distinct = word_codes(batch.column("text"))
             rows = list(bench.search(hashes_of(distinct, seen)[codes], bounds)) if len(codes) and bench.ids else []
             if rows:
