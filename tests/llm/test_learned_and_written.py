@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import os
 import random
 import re
 import zlib
@@ -383,3 +384,13 @@ def test_later_stages_keep_rows_of_one_id_apart(spark, tmp_path):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     assert sorted(map(tuple, pipeline.without_leaks(spark, docs, str(tmp_path)).collect())) == sorted(rows[1:])
     assert sorted(map(tuple, pipeline.mixed(spark, docs, "").collect())) == sorted(rows)
+
+
+def test_kept_tables_stay_whatever_scheme_their_folder_was_given_with(spark, tmp_path, monkeypatch):
+    from trailmap.llm import common
+
+    for scheme in ("", "file:", "file://"):
+        monkeypatch.setattr(common, "shared_dir", lambda _, scheme=scheme: f"{scheme}{tmp_path}")
+        gone, kept = common.materialise(spark.range(3), "gone"), common.materialise(spark.range(5), "kept")
+        common.drop_written(spark, common.path_of(kept))
+        assert kept.count() == 5 and not os.path.exists(common.path_of(gone).removeprefix("file://"))
