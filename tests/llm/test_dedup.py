@@ -253,3 +253,29 @@ def test_line_dedup_of_long_passages(spark):
     kept = dict(got)
     assert kept[301] == [] == kept[303] and kept[305]
     assert rows_of(line_dedup.dedup(docs)) == without_runs(rows)
+
+
+def test_nearest_forest_keeps_the_nearest_pairs_that_join_all():
+    pairs = np.array([(1, 2), (1, 3), (2, 3), (1, 4), (3, 4), (5, 6)], ngram_join.PAIR)
+    far = np.array([0.3, 0.1, 0.2, 0.4, 0.1, 0.0])
+    comp = {1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 5}
+    kept, apart = ngram_join.nearest_forest(pairs, far, comp)
+    assert [tuple(p) for p in kept.tolist()] == [(1, 3), (3, 4), (2, 3)] and apart.tolist() == [0.1, 0.1, 0.2]
+
+
+def test_few_pairs_are_compared_in_a_large_group_of_near_copies(spark, monkeypatch):
+    """Near copies of one text, not all of them linked: one class, found without comparing all pairs."""
+    compared = []
+    whole = ngram_join.verified
+    monkeypatch.setattr(ngram_join, "verified", lambda pairs, *more: compared.append(pairs.count()) or whole(pairs, *more))
+    g = random.Random(5)
+    base = [f"w{g.randrange(10**6)}" for _ in range(300)]
+    docs = []
+    for i in range(300):
+        own = list(base)
+        for k in g.sample(range(300), 6):
+            own[k] = f"n{g.randrange(10**6)}"
+        docs.append((i, " ".join(own)))
+    got = rows_of(ngram_join.linked_classes(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), 4, 85, 100))
+    assert got == linked(docs, 4, 85, 100)
+    assert sum(compared) <= 10 * len(docs)

@@ -49,6 +49,8 @@ FEW = 32
 LEAST = 2
 #: Signatures that are dealt out at once.
 SIGNED_AT_ONCE = 1_500_000
+#: Bytes of sketches that are sent to larger groups at once, or four for each shingle if that is more.
+SENT_AT_ONCE = 64 << 20
 #: Documents of a larger group that are compared in a task with as many others.
 BLOCK = 2048
 #: Documents of a signature in a task beyond which they don't all go to its bucket.
@@ -484,8 +486,13 @@ def folded_rows(raw: list[bytes], to: int) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def differing(doc: np.ndarray, comp: np.ndarray, size: np.ndarray, ends: np.ndarray, bits: np.ndarray, num: int, den: int) -> Iterator[np.ndarray]:
-    """Pairs across components, within groups, that sketches don't rule out.
+def differing(*given) -> Iterator[np.ndarray]:
+    """The pairs of `apart`."""
+    return (pairs for pairs, _ in apart(*given))
+
+
+def apart(doc: np.ndarray, comp: np.ndarray, size: np.ndarray, ends: np.ndarray, bits: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs across components, within groups, that sketches don't rule out, and how far their sketches are apart.
 
     Members of a group follow each other; `ends` tells where each member's group ends.
     Some PAIRS_AT_ONCE are looked at in one step, whatever groups they belong to.
@@ -503,10 +510,11 @@ def differing(doc: np.ndarray, comp: np.ndarray, size: np.ndarray, ends: np.ndar
             keep = np.flatnonzero((comp[i] != comp[j]) & (x * den >= y * num) & (y * den >= x * num))
             if len(keep):
                 i, j = i[keep], j[keep]
-                near = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64) * (den + num) <= (den - num) * (size[i] + size[j])
+                bits_off, both = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64), size[i] + size[j]
+                near = bits_off * (den + num) <= (den - num) * both
                 out = np.empty(int(near.sum()), PAIR)
                 out["a"], out["b"] = np.minimum(doc[i[near]], doc[j[near]]), np.maximum(doc[i[near]], doc[j[near]])
-                yield out
+                yield out, bits_off[near] / both[near]
         a = z
 
 
@@ -514,8 +522,36 @@ def differing(doc: np.ndarray, comp: np.ndarray, size: np.ndarray, ends: np.ndar
 PAIRS_AT_ONCE = 100_000
 
 
-def across_packed(groups: DataFrame, labels: DataFrame, rows: DataFrame, buckets: int, num: int, den: int) -> DataFrame:
-    """Like `across`, for groups of a BLOCK at most: their members go by id to labels and sketches, then by signature."""
+def sig_bucket(members: np.ndarray, buckets: int) -> np.ndarray:
+    return ((members["sig"] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def nearest_forest(pairs: np.ndarray, far: np.ndarray, comp_of: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs, taken from the nearest on, those that join components which the ones before leave apart."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            up[x] = x = up.get(y, y)
+        return x
+
+    order, keep = np.lexsort((pairs["b"], pairs["a"], far)), []
+    for i, a, b in zip(order.tolist(), pairs["a"][order].tolist(), pairs["b"][order].tolist(), strict=True):
+        x, y = top(comp_of[a]), top(comp_of[b])
+        if x != y:
+            up[max(x, y)] = min(x, y)
+            keep.append(i)
+    return pairs[keep], far[keep]
+
+
+def across_packed(groups: DataFrame, labels: DataFrame, rows: DataFrame, buckets: int, num: int, den: int, low: int, high: int, one: bool) -> DataFrame:
+    """Like `across`, for groups of a BLOCK at most whose signatures' buckets are in low .. high - 1.
+
+    Their members go by id to labels and sketches, then by signature; a document's sketch goes to a
+    bucket of signatures once, however many of them it has there. With `one`, a bucket tells only a forest
+    of its pairs, the nearest by sketch, that joins all the components that its pairs join, and, packed in
+    `group`, the members that are in any of its pairs: no others need be looked at again.
+    """
     info = rows.where("sketch IS NOT NULL AND doc_id IS NOT NULL").join(labels, "doc_id", "left").select(F.pmod("doc_id", F.lit(buckets)).cast("int").alias("bucket"), F.lit(0).alias("kind"), "doc_id", F.coalesce("component", "doc_id").alias("c"), F.col("n_shingles").alias("size"), F.col("sketch").alias("data"))
     schema = "bucket int, kind int, doc_id long, c long, size long, data binary"
 
@@ -523,6 +559,8 @@ def across_packed(groups: DataFrame, labels: DataFrame, rows: DataFrame, buckets
         for batch in batches:
             for data in batch.column("group").to_pylist():
                 members = np.frombuffer(data, MEMBER)
+                at = sig_bucket(members, buckets)
+                members = members[(at >= low) & (at < high)]
                 members = members[np.argsort(np.mod(members["doc"], buckets), kind="stable")]
                 at, n = runs(np.mod(members["doc"], buckets))
                 cut = [members[a : a + k].tobytes() for a, k in zip(at, n, strict=True)]
@@ -544,59 +582,75 @@ def across_packed(groups: DataFrame, labels: DataFrame, rows: DataFrame, buckets
                     order = np.argsort(np.array(ids, np.int64), kind="stable")
                     known = np.array(ids, np.int64)[order]
                 members = np.frombuffer(data, MEMBER)
-                which = order[np.searchsorted(known, members["doc"])]
-                to = ((members["sig"] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+                to = sig_bucket(members, buckets)
                 by = np.argsort(to, kind="stable")
                 at, length = runs(to[by])
                 cut = []
                 for a, k in zip(at, length, strict=True):
-                    part = by[a : a + k]
-                    told = np.empty(k, TOLD)
-                    w = which[part]
-                    told["sig"], told["doc"] = members["sig"][part], members["doc"][part]
-                    told["comp"], told["size"], told["bytes"] = np.array(comps, np.int64)[w] if len(w) > 999 else [comps[i] for i in w], [sizes[i] for i in w], [len(sketches[i]) for i in w]
-                    cut.append(np.uint32(k).tobytes() + told.tobytes() + b"".join(sketches[i] for i in w))
+                    part = members[by[a : a + k]]
+                    docs, which = np.unique(part["doc"], return_inverse=True)
+                    w = order[np.searchsorted(known, docs)].tolist()
+                    told, of = np.empty(len(docs), TOLD), np.empty(k, SIG_OF)
+                    told["doc"], told["comp"], told["size"], told["bytes"] = docs, [comps[i] for i in w], [sizes[i] for i in w], [len(sketches[i]) for i in w]
+                    of["sig"], of["which"] = part["sig"], which
+                    cut.append(np.array([k, len(docs)], "<u4").tobytes() + of.tobytes() + told.tobytes() + b"".join(sketches[i] for i in w))
                 yield pa.RecordBatch.from_arrays([pa.array(to[by][at], pa.int32()), pa.array(cut, pa.binary())], ["bucket", "data"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        told, raw = [], []
+        told, raw, sigs, which, n = [], [], [], [], 0
         for batch in batches:
             for data in batch.column("data").to_pylist():
-                k = int(np.frombuffer(data, "<u4", 1)[0])
-                t = np.frombuffer(data, TOLD, k, 4)
-                ends = 4 + k * TOLD.itemsize + np.cumsum(t["bytes"], dtype=np.int64)
+                k, d = (int(v) for v in np.frombuffer(data, "<u4", 2))
+                of = np.frombuffer(data, SIG_OF, k, 8)
+                t = np.frombuffer(data, TOLD, d, 8 + k * SIG_OF.itemsize)
+                ends = 8 + k * SIG_OF.itemsize + d * TOLD.itemsize + np.cumsum(t["bytes"], dtype=np.int64)
                 told.append(t)
-                raw += [data[z - n : z] for z, n in zip(ends.tolist(), t["bytes"].tolist(), strict=True)]
+                raw += [data[z - b : z] for z, b in zip(ends.tolist(), t["bytes"].tolist(), strict=True)]
+                sigs.append(of["sig"])
+                which.append(of["which"].astype(np.int64) + n)
+                n += d
         if not told:
             return
-        t = np.concatenate(told)
-        order = np.lexsort((t["doc"], t["sig"]))
-        t = t[order]
-        at, length = runs(t["sig"])
-        mixed = np.minimum.reduceat(t["comp"], at) < np.maximum.reduceat(t["comp"], at)
-        shortest = np.minimum.reduceat(t["bytes"], at)
-        found, held = [np.zeros(0, PAIR)], 0
+        t, sig, which = np.concatenate(told), np.concatenate(sigs), np.concatenate(which)
+        order = np.lexsort((t["doc"][which], sig))
+        sig, which = sig[order], which[order]
+        comp, size, length_of = t["comp"][which], t["size"][which], t["bytes"][which]
+        at, length = runs(sig)
+        mixed = np.minimum.reduceat(comp, at) < np.maximum.reduceat(comp, at)
+        shortest = np.minimum.reduceat(length_of, at)
+        found, fars, held = [np.zeros(0, PAIR)], [np.zeros(0)], 0
+        met_docs = [np.zeros(0, np.int64)]
+        comp_of = dict(zip(t["doc"].tolist(), t["comp"].tolist(), strict=True)) if one else {}
         for to in np.unique(shortest[mixed]).tolist():
             own = mixed & (shortest == to)
             members = ragged(at[own], length[own])
             ends = np.repeat(np.cumsum(length[own]), length[own])
-            part = t[members]
-            bits = folded_rows([raw[i] for i in order[members].tolist()], to)
-            for pairs in differing(part["doc"], part["comp"], part["size"].astype(np.int64), ends, bits, num, den):
+            docs, of = np.unique(which[members], return_inverse=True)
+            bits = folded_rows([raw[i] for i in docs.tolist()], to)[of]
+            for pairs, far in apart(t["doc"][which[members]], comp[members], size[members].astype(np.int64), ends, bits, num, den):
                 found.append(pairs)
+                fars.append(far)
                 held += len(pairs)
+                if one:
+                    met_docs.append(np.unique([pairs["a"], pairs["b"]]))
                 if held > 500_000:
-                    found = [counted(np.concatenate(found))[0]]
-                    held = 0
-        both = counted(np.concatenate(found))[0]
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[c]), pa.int64()) for c in ("a", "b")], ["a", "b"])
+                    kept, far = nearest_forest(np.concatenate(found), np.concatenate(fars), comp_of) if one else (counted(np.concatenate(found))[0], np.zeros(0))
+                    found, fars, held = [kept], [far], 0
+        both = nearest_forest(np.concatenate(found), np.concatenate(fars), comp_of)[0] if one else counted(np.concatenate(found))[0]
+        yield pa.RecordBatch.from_arrays([*[pa.array(np.ascontiguousarray(both[c]), pa.int64()) for c in ("a", "b")], pa.nulls(len(both), pa.binary())], ["a", "b", "group"])
+        again = np.repeat(mixed, length) & np.isin(t["doc"][which], np.concatenate(met_docs))
+        if again.any():
+            members = np.empty(int(again.sum()), MEMBER)
+            members["sig"], members["doc"] = sig[again], t["doc"][which[again]]
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * 2, pa.array([members.tobytes()], pa.binary())], ["a", "b", "group"])
 
     met = in_buckets(groups.select("group").mapInArrow(lambda batches: trimmed(by_doc(batches)), schema).unionAll(info), buckets)
     told = met.sortWithinPartitions("kind").mapInArrow(lambda batches: trimmed(by_sig(batches)), "bucket int, data binary")
-    return in_buckets(told, buckets).mapInArrow(lambda batches: trimmed(compare(batches)), "a long, b long").distinct()
+    return in_buckets(told, buckets).mapInArrow(lambda batches: trimmed(compare(batches)), "a long, b long, group binary")
 
 
-TOLD = np.dtype([("sig", "<u8"), ("doc", "<i8"), ("comp", "<i8"), ("size", "<i4"), ("bytes", "<i4")])
+TOLD = np.dtype([("doc", "<i8"), ("comp", "<i8"), ("size", "<i4"), ("bytes", "<i4")])
+SIG_OF = np.dtype([("sig", "<u8"), ("which", "<u4")])
 
 
 def linked_classes(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, ident: str = "doc_id", text: str = "text") -> DataFrame:
@@ -608,7 +662,7 @@ def linked_classes(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, i
     """
     own = cut_text(docs, ident, text)
     rows = materialise(described(own, n, num, den), "described")
-    total = rows.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    total, sketched_bytes, described_rows = rows.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)), F.coalesce(F.sum(F.length("sketch")), F.lit(0)), F.count("sketch")).first()
     buckets = max(8, int(total // 2_000_000))
     found = materialise(matched(signed(own, n, num, den, buckets), buckets, num, den), "matched")
     met = found.where("a < b").groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= SHARED).select("a", "b")
@@ -618,14 +672,30 @@ def linked_classes(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, i
     same = rows.where("digest IS NOT NULL AND doc_id IS NOT NULL").join(named, "digest").where("doc_id > named").select(F.col("doc_id").alias("a"), F.col("named").alias("b"))
     links = materialise(verified(forest, own, n, num, den).unionAll(same), "links")
     labels = components(links, "a", "b")
+    tried = forest
+    packs = found.where("group IS NOT NULL").select("group")
     wide = found.where("sig IS NOT NULL")
     groups = wide.select("sig", F.col("a").alias("doc_id")).unionAll(wide.select("sig", F.col("b").alias("doc_id"))).distinct()
     label = lambda c: labels.select(F.col("doc_id").alias(c), F.col("component").alias(f"c{c}"))
-    apart = F.coalesce("ca", "a") != F.coalesce("cb", "b")
-    rest = near.join(label("a"), "a", "left").join(label("b"), "b", "left").where(apart).select("a", "b").join(forest, ["a", "b"], "left_anti")
-    open_ = rest.unionAll(across(groups, labels, rows, num, den)).unionAll(across_packed(found.where("group IS NOT NULL"), labels, rows, buckets, num, den)).distinct()
-    more = materialise(verified(open_, own, n, num, den), "more-links")
-    if not more.isEmpty():
-        labels = components(links.unionAll(more), "a", "b")
+    unlike = F.coalesce("ca", "a") != F.coalesce("cb", "b")
+    left = lambda pairs: pairs.join(label("a"), "a", "left").join(label("b"), "b", "left").where(unlike).select("a", "b")
+    for one in (True, False):
+        members = packs.agg(F.coalesce(F.sum(F.length("group")), F.lit(0))).first()[0] // MEMBER.itemsize
+        sent = members * (SIG_OF.itemsize + TOLD.itemsize + sketched_bytes // max(1, described_rows))
+        steps = min(buckets, 1 + int(sent // max(SENT_AT_ONCE, 4 * total))) if members else 0
+        parts = [materialise(across_packed(packs, labels, rows, buckets, num, den, buckets * i // steps, buckets * (i + 1) // steps, one), "across") for i in range(steps)]
+        said = functools.reduce(DataFrame.unionAll, parts) if parts else found.select("a", "b", "group").limit(0)
+        packs = said.where("group IS NOT NULL").select("group")
+        open_ = said.where("a < b").select("a", "b").distinct()
+        if one:
+            open_ = open_.unionAll(left(near).groupBy("b").agg(F.max("a").alias("a")).select("a", "b")).distinct()
+        else:
+            open_ = open_.unionAll(left(near)).unionAll(across(groups, labels, rows, num, den)).distinct()
+        open_ = materialise(open_.join(tried, ["a", "b"], "left_anti"), "open")
+        more = materialise(verified(open_, own, n, num, den), "more-links")
+        tried = tried.unionAll(open_)
+        if not more.isEmpty():
+            links = links.unionAll(more)
+            labels = components(links, "a", "b")
     of_class = named.join(labels, named["named"] == labels["doc_id"], "left").select("digest", F.coalesce("component", "named").alias("component"))
     return rows.join(of_class, "digest", "left").select(F.col("doc_id").alias(ident), "n_shingles", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
