@@ -394,3 +394,24 @@ def test_kept_tables_stay_whatever_scheme_their_folder_was_given_with(spark, tmp
         gone, kept = common.materialise(spark.range(3), "gone"), common.materialise(spark.range(5), "kept")
         common.drop_written(spark, common.path_of(kept))
         assert kept.count() == 5 and not os.path.exists(common.path_of(gone).removeprefix("file://"))
+
+
+def test_all_labelled_texts_train_and_set_thresholds(spark, monkeypatch):
+    """A word that only texts beyond the first model's tell of is learned, and thresholds see all texts."""
+    for name, value in (("SAMPLE_TOXIC", 20), ("SAMPLE_CLEAN", 20), ("GROUP_TEXTS", 200), ("GROUP_EPOCHS", 1)):
+        monkeypatch.setattr(toxicity, name, value)
+    g, told = random.Random(8), []
+    monkeypatch.setattr(toxicity, "gone_on", lambda texts, n, *more, f=toxicity.gone_on: told.append((texts.count(), n)) or f(texts, n, *more))
+    monkeypatch.setattr(toxicity, "calibrated", lambda texts, *more, f=toxicity.calibrated: told.append(texts.count()) or f(texts, *more))
+    rows, labels = [], []
+    for i in range(1000):
+        w = [f"u{g.randrange(60)}" for _ in range(20)]
+        if i % 2:
+            w[3] = "vilething"
+        rows.append((i, " ".join(w), "en"))
+        labels.append((i, i % 2))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.train(docs, marks)
+    assert told[0][0] == told[0][1] and told[0][0] + told[1] == 1000 and "en" in model.thresholds
+    got = toxicity.score(docs, model).select("doc_id", "toxicity.toxic").collect()
+    assert sum(r["toxic"] == bool(r["doc_id"] % 2) for r in got) >= 990
