@@ -250,3 +250,21 @@ def test_cache_on_a_stream_and_of_analyses(spark, tmp_path):
     assert cache.get("a")["journeys"]["j"]["scenarios"] == {"s": 2}
     now[0] = 19
     assert cache.get("a") is None
+
+
+def test_collapse_writes_nothing_and_keeps_journeys_of_the_primarys_id(spark, monkeypatch):
+    rows = []
+    for i, (ident, kind, node) in enumerate([("a", "backend", "/backend/x"), ("b", "backend", "/backend/y"), ("a", "backend", "/backend/x"), ("c", "route", "/r")]):
+        root = "M" if i < 3 else "N"
+        rows.append((ident, root, [("route", "/n", None), ("widget", root, None), ("interaction", root, "click"), (kind, node, None)], i))
+    given = spark.createDataFrame(rows, f"id string, root string, steps array<{journeys.STEP}>, ord int")
+    primaries = journeys.grouped(given).where("auxiliary_of IS NULL").select("id", "ord", "siblings", "primary", "aux_backend")
+    wanted = sorted(map(tuple, primaries.collect()))
+
+    def written(df):
+        raise AssertionError("journeys were written")
+
+    monkeypatch.setattr(journeys, "cut", written)
+    got = journeys.grouped(given, "collapse")
+    assert sorted(map(tuple, got.select("id", "ord", "siblings", "primary", "aux_backend").collect())) == wanted and len(wanted) == 3
+    assert {r["ord"]: (r["collapsed_from"], r["steps"][-1]["node_id"]) for r in got.collect()} == {0: ("/backend/x", X.VIRTUAL_BACKEND), 2: ("/backend/x", X.VIRTUAL_BACKEND), 3: (None, "/r")}
