@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trailmap.llm import chat_format, decontaminate, queries, source_mix, token_store, toxicity
-from trailmap.llm.common import word_codes
+from trailmap.llm.common import trim_driver, word_codes
 
 FOLDER = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string"
@@ -51,6 +51,26 @@ def test_toxicity_on_held_out_texts(spark):
     assert got[2000]["toxicity"]["score"] == got[2001]["toxicity"]["score"] < 0.5 and 0 <= got[2002]["toxicity"]["score"] <= 1
 
 
+def test_toxicity_trains_outside_the_driver(spark, monkeypatch):
+    driver, trained = os.getpid(), toxicity.fitted
+
+    def away(*given, **named):
+        assert os.getpid() != driver
+        return trained(*given, **named)
+
+    monkeypatch.setattr(toxicity, "fitted", away)
+    docs = spark.createDataFrame([(i, "good words here" if i % 2 else "bad words here") for i in range(60)], DOCS)
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 = 0 as int) AS toxic")
+    model = toxicity.train(docs, labels)
+    score = {r["doc_id"]: r["toxicity"]["score"] for r in toxicity.score(docs, model).collect()}
+    assert score[0] > 0.5 > score[1]
+
+
+def test_driver_gives_native_memory_back(spark):
+    version = [int(x) for x in spark._jvm.java.lang.System.getProperty("java.version").split(".")[:3]]
+    assert trim_driver(spark) or version < [17, 0, 9]
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a")], DOCS)
     none = spark.createDataFrame([], "doc_id long, toxic int")
