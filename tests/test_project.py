@@ -220,3 +220,21 @@ def test_journeys_of_a_project(app_of):
     assert next(r for r in got if r["id"].startswith("AppModule→/shop["))["steps"][0]["node_id"] == "AppModule"
     with pytest.raises(ValueError, match="root"):
         graph.root_module(app_of.graph.nodes.where("role IS NULL"))
+
+
+def test_sources_are_read_once(spark):
+    met = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            met.add(batch.num_rows)
+            yield batch
+
+    sources = spark.createDataFrame([("/a.ts", "let a;"), ("/b.ts", "let b;")], "path string, source string").mapInArrow(counted, "path string, source string")
+    assert app.numbered(project.extracted(sources)).count() == 2 and met.value == 2
+
+
+def test_parts_of_files_in_reading_order():
+    loads = {"a": [("x", "b"), ("y", "b")], "b": [("/z", "c")], "c": [("w", "c"), ("v", None)]}
+    got = list(app.reading_order(["b", "a"], loads))
+    assert got == [("a", 0, []), ("b", 0, ["x"]), ("c", 0, ["/z", "x"]), ("c", 1, ["/z", "x"]), ("c", 2, ["/z", "x"]), ("b", 1, ["x"]), ("a", 1, []), ("a", 2, [])]
