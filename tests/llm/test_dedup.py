@@ -124,6 +124,18 @@ def test_suffix_arrays():
             assert (got[a:z] - a).tolist() == sorted(range(len(t)), key=lambda i, t=t: t[i:].tolist())
 
 
+def test_suffixes_ordered_as_far_as_some_symbols():
+    g = np.random.default_rng(2)
+    for _ in range(60):
+        texts = [np.append(g.integers(1, 2 + g.integers(1, 4), g.integers(0, 90)), 0) for _ in range(g.integers(1, 6))]
+        bounds, symbols = np.cumsum([0, *map(len, texts)]), int(g.integers(1, 60))
+        got = suffix_array.ordered_to(np.concatenate(texts), bounds, symbols)
+        for a, z, t in zip(bounds[:-1], bounds[1:], texts, strict=True):
+            own = (got[a:z] - a).tolist()
+            assert sorted(own) == list(range(len(t)))
+            assert [t[i : i + symbols].tolist() for i in own] == sorted(t[i : i + symbols].tolist() for i in range(len(t)))
+
+
 def cut(rows):
     first = {}
     for d, t in rows:
@@ -160,6 +172,72 @@ def test_suffix_dedup_where_short_hashes_of_contexts_meet(spark):
     assert rows_of(suffix_dedup.dedup(spark.createDataFrame(rows, DOCS))) == cut(rows)
 
 
+def letters(g, n, of=26):
+    return g.integers(97, 97 + of, n).astype(np.uint8)
+
+
+def contexts_of(*texts):
+    """Contexts of texts whose ids are 0, 1, ... as rows of anchors."""
+    found = suffix_dedup.contexts(np.concatenate(texts), np.cumsum([0, *map(len, texts)]))
+    rows = np.empty(len(found["k"]), suffix_dedup.ANCHORED)
+    rows["k"], rows["c"], rows["doc"] = found["k"], found["c"], found["text"]
+    return rows, found
+
+
+def test_contexts_that_share_only_an_anchor_are_not_compared():
+    g = np.random.default_rng(4)
+    t = letters(g, 4000)
+    _, found = contexts_of(t)
+    q = found["last"][np.argmax(found["last"] - found["first"])]  # it is the least of 30 pieces on each side
+    rows, _ = contexts_of(*(np.concatenate((letters(g, 100), t[q : q + 20], letters(g, 100))) for _ in range(3)))
+    assert len(np.unique(rows["k"])) < len(rows) == len(np.unique(rows["c"]))
+    assert list(suffix_dedup.decided(rows, np.zeros(0, np.uint64), False, 3)) == []
+
+
+def test_contexts_with_a_window_in_common_are_compared_or_go_whole():
+    g = np.random.default_rng(6)
+    for _ in range(200):
+        w = letters(g, 50)
+        a, b = (np.concatenate((letters(g, int(g.integers(0, 70))), w, letters(g, int(g.integers(0, 70))))) for _ in range(2))
+        rows, found = contexts_of(a, b)
+        at = [i for i, d in enumerate(rows["doc"]) for p in range(found["first"][i], found["last"][i] + 1) if np.concatenate((a, b))[p : p + 50].tobytes() == w.tobytes()]
+        fates = np.concatenate([suffix_dedup.unpack_fates(d) for p in suffix_dedup.decided(rows, np.zeros(0, np.uint64), False, 1) for d in p.column("data").to_pylist()])
+        later = rows[at[1]]
+        said = fates[(fates["doc"] == later["doc"]) & (fates["key"] == suffix_dedup.key_of(rows["k"], rows["c"])[at[1]])]["fate"].tolist()
+        assert len(at) == 2 and said == [suffix_dedup.WHOLE if rows["c"][at[0]] == later["c"] else suffix_dedup.COMPARED]
+
+
+def test_a_key_of_many_strings_takes_no_step_for_each_of_them(monkeypatch):
+    g, asked, sorted_before = np.random.default_rng(8), [], suffix_dedup.suffix_arrays
+    monkeypatch.setattr(suffix_dedup, "suffix_arrays", lambda text, bounds: asked.append(int(np.diff(bounds).max())) or sorted_before(text, bounds))
+    start = letters(g, 55)
+    key = np.repeat(np.array([7, 8, 9], np.uint64), [900, 5, 200])
+    texts = [np.concatenate((start[int(k) - 7 :], letters(g, int(g.integers(1, 20)), 3))) for k in key]
+    rows = np.empty(len(key), suffix_dedup.STRING)
+    rows["key"], rows["doc"], rows["uid"], rows["start"], rows["size"] = key, g.permutation(len(key)), np.arange(len(key)), 10, [len(t) for t in texts]
+    got = {(int(u), p) for uid, a, z in suffix_dedup.repeats(rows, np.concatenate(texts)) for u, s, e in zip(uid, a, z, strict=True) for p in range(s, e - 49)}
+    first = {}
+    windows = [(k, t[p : p + 50].tobytes(), d, u, p + 10) for k, t, d, u in zip(key.tolist(), texts, rows["doc"].tolist(), rows["uid"].tolist(), strict=True) for p in range(len(t) - 49)]
+    for k, w, d, _, _ in windows:
+        first[k, w] = min(d, first.get((k, w), d))
+    assert got == {(u, p) for k, w, d, u, p in windows if d > first[k, w]}
+    assert max(asked) < 5 * 80
+
+
+def test_strings_and_cuts_travel_once_for_a_bucket_of_texts(spark):
+    """Not once for each of the smaller parts that its texts are hashed in."""
+    g = random.Random(12)
+    parts = ["".join(g.choice("abcdefgh") for _ in range(300)) for _ in range(40)]
+    rows = [(i, "".join(g.choice(parts)[g.randrange(100) :] + "".join(g.choice("abcdefgh") for _ in range(200)) for _ in range(12))) for i in range(1000)]
+    docs = spark.createDataFrame(rows, DOCS).withColumn("uid", F.xxhash64("doc_id", "text")).repartition(2)
+    n = 5
+    assert sum(len(t) for _, t in rows) > 4 * n * suffix_dedup.HASHED_BYTES
+    fates = suffix_dedup.fates(suffix_dedup.anchors(docs, n), n, n)
+    found = suffix_dedup.candidates(suffix_dedup.meeting(fates, suffix_dedup.squeezed(docs, suffix_dedup.doc_bucket_column(F.col("doc_id"), n)), n), n, n)
+    told = {r["kind"]: r["count"] for r in found.groupBy("kind").count().collect()}
+    assert set(told) == {0, 1} and max(told.values()) <= n * n
+
+
 def test_parts_of_long_texts_have_the_anchors_of_the_whole(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HASHED_BYTES", 120)
     g = np.random.default_rng(5)

@@ -7,7 +7,9 @@ all groups done, the order within them is emitted front to back along the same p
 nothing is renamed and there is no recursion (Baier 2016).
 
 numpy works on one group of each text per step, so the steps are those of the longest
-text and the texts of a call should be about equally long.
+text and the texts of a call should be about equally long. A long text alone takes a step
+for nearly each of its symbols; `ordered_to` sorts all suffixes at once instead, as far as
+some symbols reach, by doubling (Manber and Myers 1990).
 """
 
 from __future__ import annotations
@@ -113,3 +115,24 @@ def emitted(group: np.ndarray, prev: np.ndarray, bounds: np.ndarray) -> np.ndarr
         j = j.copy()
         j[go] = prev[k]
     return out
+
+
+def ordered_to(text: np.ndarray, bounds: np.ndarray, symbols: int) -> np.ndarray:
+    """Like `suffix_arrays`, in order by `symbols` symbols at least and in any order beyond them. Symbols are below 512."""
+    n, reach = len(text), 7
+    lane = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    rank = np.zeros(n, np.int64)
+    for i in range(reach):  # symbols after a text's end are another's, or none; its last is its own, so none decides
+        rank[: n - i] |= text[i:].astype(np.int64) << 9 * (reach - 1 - i)
+    while True:
+        order = np.argsort(rank)
+        at = rank[order]
+        rank[order] = np.cumsum(np.append(1, at[1:] != at[:-1]))  # from 1; 0 is past the end
+        later = np.zeros(n, np.int64)
+        later[: max(0, n - reach)] = rank[reach:]
+        rank = rank * (n + 1) + later
+        reach *= 2
+        if reach >= symbols:
+            break
+    order = np.argsort(rank)
+    return order[np.argsort(lane[order], kind="stable")]

@@ -6,10 +6,14 @@ A byte goes if a 50-byte window over it also starts in a document with a smaller
    windows have equal anchors. Consecutive windows of one anchor are its context. Anchors
    and contexts travel as hashes, packed by bucket.
 2. Where documents share an anchor, equal contexts of all but the smallest id go whole;
-   equal means by hash, 40 bits of the anchor and 48 of the context's bytes.
-   Contexts that differ, which is where repeats begin and end, are sent as strings.
+   equal means by hash, 40 bits of the anchor and 56 of the context's bytes. Contexts
+   that differ, which is where repeats begin and end, are sent as strings if another
+   document's has the same 15 bytes before the anchor, or after it: a window reaches as
+   far on one side at least, so others have no window in common. Short anchors meet by
+   chance, the more of them the more text there is; those of 35 bytes hardly do.
 3. Strings of one anchor are put into one text and its suffixes ordered (suffix_array).
    Windows that are equal are neighbours in that order; the smallest id keeps its own.
+   A text of many strings is ordered by doubling, as far as a window reaches.
 4. Removed runs meet their texts again.
 
 Of equal contexts only the smallest id of a task travels to their anchor. Anchors that have
@@ -35,17 +39,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, in_buckets, mix64, ragged, release, small_batches, text_bytes, text_chunks, trimmed
-from .suffix_array import suffix_arrays
+from .suffix_array import ordered_to, suffix_arrays
 
 WINDOW, PIECE = 50, 20
+#: A window has so many bytes before its anchor, or so many after it.
+SIDE = (WINDOW - PIECE) // 2
 #: Unlike contexts of an anchor, of those dealt out at once, beyond which it is frequent.
 FEW = 32
 #: Text of suffix arrays that are built at once.
 SORTED_BYTES = 512 << 10
+#: Strings of a key, beyond which its suffixes are ordered at once, as far as a window reaches, and not group by group.
+MANY = 48
 #: Text whose windows are hashed at once; numpy holds some 150 bytes for each of its bytes. Longer texts are cut there.
 HASHED_BYTES = 192 << 10
 #: Contexts that are dealt out at once, and text for which a bucket is made.
 DEALT_ROWS, BUCKET_BYTES = 800_000, 16 << 20
+#: Strings, with what is told of them, and cuts that a task holds before it deals them out.
+HELD_BYTES, HELD_CUTS = 16 << 20, 400_000
 
 BYTE = mix64(np.arange(256, dtype=np.uint64) + np.uint64(0x51ED270B))
 ANCHORED = np.dtype([("k", "<u8"), ("c", "<u8"), ("doc", "<i8")])
@@ -72,7 +82,8 @@ def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def contexts(x: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
-    """Anchors of all windows: text number, first and last window, hash of the anchor (40 bits) and of the context (48 bits).
+    """Anchors of all windows: text number, first and last window, hash of the anchor (40 bits) and of the context (56 bits,
+    of which 8 tell the bytes before the anchor and 8 those after it, as `side` has them).
 
     `w` has the hash of the window at every byte of `x`.
     """
@@ -102,8 +113,20 @@ def contexts(x: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
     first, last = first[keep], last[keep]
     q = at[first]
     with np.errstate(over="ignore"):
-        c = mix64(joined_hash(joined_hash(w[first], w[last]), ((q - first) * 64 + (last - first)).astype(np.uint64))) >> np.uint64(16)
-    return {"text": text[first], "first": first, "last": last, "k": piece[q] >> np.uint64(24), "c": c, "w": w}
+        c = mix64(joined_hash(joined_hash(w[first], w[last]), ((q - first) * 64 + (last - first)).astype(np.uint64))) >> np.uint64(24)
+    c |= side(h8, q - SIDE, q - SIDE >= first) << np.uint64(40) | side(h8, q + PIECE, q + PIECE + SIDE <= last + WINDOW) << np.uint64(48)
+    # the anchor's lower bits: it is the smallest of many hashes, so most have the same upper ones
+    return {"text": text[first], "first": first, "last": last, "k": piece[q] & np.uint64((1 << 40) - 1), "c": c, "w": w}
+
+
+def side(h8: np.ndarray, at: np.ndarray, there: np.ndarray) -> np.ndarray:
+    """Of SIDE bytes from each place, 8 bits that aren't 0, or 0 where a context doesn't reach that far."""
+    at = np.where(there, at, 0)
+    return np.where(there, mix64(joined_hash(h8[at], h8[at + SIDE - 8])) % np.uint64(255) + np.uint64(1), np.uint64(0))
+
+
+def sides(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return c >> np.uint64(40) & np.uint64(255), c >> np.uint64(48)
 
 
 def in_parts(x: np.ndarray, bounds: np.ndarray) -> Iterator[dict[str, np.ndarray]]:
@@ -129,7 +152,7 @@ def in_parts(x: np.ndarray, bounds: np.ndarray) -> Iterator[dict[str, np.ndarray
 
 
 def key_of(k: np.ndarray, c: np.ndarray) -> np.ndarray:
-    return mix64(mix64(k) + c)
+    return mix64(mix64(k) + c) >> np.uint64(8)
 
 
 def planes(values: np.ndarray, width: int) -> bytes:
@@ -158,28 +181,30 @@ def unpack_docs(data: bytes) -> tuple[int, np.ndarray, int, int]:
 
 
 def pack_anchors(rows: np.ndarray) -> bytes:
+    """Rows in the order of their anchors, which are packed as steps."""
     head, which = pack_docs(rows["doc"])
-    return head + planes(np.ascontiguousarray(rows["k"]), 5) + planes(np.ascontiguousarray(rows["c"]), 6) + which.tobytes()
+    return head + planes(np.diff(rows["k"], prepend=np.uint64(0)), 5) + planes(np.ascontiguousarray(rows["c"]), 7) + which.tobytes()
 
 
 def unpack_anchors(data: bytes) -> np.ndarray:
     n, docs, width, at = unpack_docs(data)
     out = np.empty(n, ANCHORED)
-    out["k"], out["c"] = from_planes(data, n, 5, at), from_planes(data, n, 6, at + 5 * n)
-    out["doc"] = docs[np.frombuffer(data, f"<u{width}", n, at + 11 * n)]
+    out["k"], out["c"] = np.cumsum(from_planes(data, n, 5, at)), from_planes(data, n, 7, at + 5 * n)
+    out["doc"] = docs[np.frombuffer(data, f"<u{width}", n, at + 12 * n)]
     return out
 
 
 def pack_fates(rows: np.ndarray) -> bytes:
+    rows = rows[np.argsort(rows["doc"], kind="stable")]  # the ids' numbers are runs then
     head, which = pack_docs(rows["doc"])
-    return head + planes(np.ascontiguousarray(rows["key"]), 8) + which.tobytes() + rows["fate"].tobytes()
+    return head + planes(np.ascontiguousarray(rows["key"]), 7) + planes(which.astype(np.uint64), which.itemsize) + rows["fate"].tobytes()
 
 
 def unpack_fates(data: bytes) -> np.ndarray:
     n, docs, width, at = unpack_docs(data)
     out = np.empty(n, FATED)
-    out["key"], out["fate"] = from_planes(data, n, 8, at), np.frombuffer(data, np.uint8, n, at + (8 + width) * n)
-    out["doc"] = docs[np.frombuffer(data, f"<u{width}", n, at + 8 * n)]
+    out["key"], out["fate"] = from_planes(data, n, 7, at), np.frombuffer(data, np.uint8, n, at + (7 + width) * n)
+    out["doc"] = docs[from_planes(data, n, width, at + 7 * n).astype(np.int64)]
     return out
 
 
@@ -220,8 +245,7 @@ def dealt_anchors(rows: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
     number = np.cumsum(new) - 1
     frequent = np.bincount(number)[number] > FEW
     rare, mark, often = first[~frequent], first[new & frequent], first[frequent]
-    # anchors are the smallest of many hashes, so most lie at the low end of their range: they are mixed to be dealt evenly
-    by_anchor = lambda rows: ((mix64(rows["k"]) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    by_anchor = lambda rows: (rows["k"] * np.uint64(buckets) >> np.uint64(40)).astype(np.int64)  # noqa: E731  by range, so that steps are small
     yield from by_bucket(by_anchor(rare), rare, 0, pack_anchors)
     yield from by_bucket(by_anchor(mark), mark, 3, pack_anchors)
     yield from by_bucket((mix64(key_of(often["k"], often["c"])) % np.uint64(buckets)).astype(np.int64), often, 2, pack_anchors)
@@ -254,18 +278,34 @@ def anchors(texts: DataFrame, buckets: int) -> DataFrame:
 
 
 def decided(rows: np.ndarray, marked: np.ndarray, by_window: bool, doc_buckets: int) -> Iterator[pa.RecordBatch]:
-    """Fates of a bucket's contexts: the smallest id's are compared where contexts of an anchor differ, the others go whole."""
+    """Fates of a bucket's contexts: the smallest id's are compared where another document's has its anchor and the bytes
+    on a side of it, the others go whole."""
     rows = rows[np.lexsort((rows["doc"], rows["c"], rows["k"]))]
     k_new = np.append(True, rows["k"][1:] != rows["k"][:-1])
     c_new = k_new | np.append(True, rows["c"][1:] != rows["c"][:-1])
-    k_of, k_at, c_at = np.cumsum(k_new) - 1, np.flatnonzero(k_new), np.flatnonzero(c_new)
-    later = rows["doc"] > rows["doc"][c_at][np.cumsum(c_new) - 1]
-    several = (np.bincount(k_of[c_at], minlength=len(k_at)) > 1) & (np.minimum.reduceat(rows["doc"], k_at) < np.maximum.reduceat(rows["doc"], k_at))
+    later = rows["doc"] > rows["doc"][np.flatnonzero(c_new)][np.cumsum(c_new) - 1]
     single = np.isin(rows["k"], marked) if len(marked) and not by_window else np.full(len(rows), by_window)
-    alike = ~single & several[k_of]
-    for which, fate in ((later, WHOLE), (~later & single, BY_WINDOW), (~later & alike, COMPARED)):
-        out = fated(rows[which], fate)
-        yield from by_bucket(doc_bucket(out["doc"], doc_buckets), out, 0, pack_fates)
+    alike = np.zeros(len(rows), bool)
+    # one anchor's first rows of a context; those of one context are of one id, so that two ids are two contexts
+    rows_n = np.diff(np.append(np.flatnonzero(k_new), len(rows)))
+    left = np.flatnonzero(~later & ~single & np.repeat(rows_n > 1, rows_n))
+    for tag in sides(rows["c"][left]):
+        met = left[tag > 0]
+        alike[met[shared(rows["k"][met], tag[tag > 0], rows["doc"][met])]] = True
+    out = np.concatenate([fated(rows[which], fate) for which, fate in ((later, WHOLE), (~later & single, BY_WINDOW), (alike, COMPARED))])
+    yield from by_bucket(doc_bucket(out["doc"], doc_buckets), out, 0, pack_fates)
+
+
+def shared(k: np.ndarray, tag: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Whether rows of several documents have a row's (k, tag)."""
+    out = np.zeros(len(k), bool)
+    if len(k):
+        order = np.lexsort((tag, k))
+        k, tag, doc = k[order], tag[order], doc[order]
+        new = np.append(True, (k[1:] != k[:-1]) | (tag[1:] != tag[:-1]))
+        at = np.flatnonzero(new)
+        out[order] = (np.minimum.reduceat(doc, at) < np.maximum.reduceat(doc, at))[np.cumsum(new) - 1]
+    return out
 
 
 def fates(dealt: DataFrame, buckets: int, doc_buckets: int) -> DataFrame:
@@ -332,17 +372,29 @@ def unsqueezed(batches: Iterator[pa.RecordBatch], packs_to: list[bytes], most: i
 
 
 def candidates(met: DataFrame, buckets: int, uid_buckets: int) -> DataFrame:
-    """Cuts (kind 0, by uid) and strings (kind 1 by anchor, kind 2 by window)."""
+    """Cuts (kind 0, by uid) and strings (kind 1, by anchor or by window)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fate_packs: list[bytes] = []
         names = fate = None
+        gone, gone_n, held, held_size = [], 0, {COMPARED: [], BY_WINDOW: []}, 0
+
+        def strings() -> Iterator[pa.RecordBatch]:
+            """What is held, dealt out; of windows the smallest id's only."""
+            rows, data = merged(held[BY_WINDOW])
+            kept_, later = smallest(rows)
+            gone.append((rows["uid"][later], rows["start"][later], rows["start"][later] + WINDOW))
+            yield from dealt_strings(*merged([*held[COMPARED], (rows[kept_], data.reshape(-1, WINDOW)[kept_].ravel())]), buckets)
+            held[COMPARED], held[BY_WINDOW] = [], []
+
         for x, bounds, ids, uids in unsqueezed(batches, fate_packs):
             if names is None:
                 rows = np.concatenate([unpack_fates(d) for d in fate_packs]) if fate_packs else np.zeros(0, FATED)
+                fate_packs.clear()
                 names = mix64(rows["doc"].astype(np.uint64)) ^ rows["key"]
                 order = np.lexsort((rows["fate"], names))
                 names, fate = names[order], rows["fate"][order]
+                del rows, order
             if not len(names):
                 continue
             every_id, every_doc, every_uid = np.array([i is not None for i in ids], bool), np.array([0 if i is None else i for i in ids], np.int64), np.array(uids, np.int64)
@@ -354,37 +406,63 @@ def candidates(met: DataFrame, buckets: int, uid_buckets: int) -> DataFrame:
                 start = found["first"] - bounds[found["text"]]
                 size = found["last"] - found["first"] + WINDOW
                 whole = mine == WHOLE
-                yield from cuts(uid[whole], start[whole], (start + size)[whole], uid_buckets)
-                for kind, which in ((1, mine == COMPARED), (2, mine == BY_WINDOW)):
-                    which = np.flatnonzero(which)
-                    if kind == 2 and len(which):  # a string for each window, the smallest id's only
-                        count = found["last"][which] - found["first"][which] + 1
-                        p, w = ragged(found["first"][which], count), found["w"][ragged(found["within"][which], count)]
-                        which = np.repeat(which, count)
-                        key, place, length = mix64(w), p, np.full(len(p), WINDOW)
-                        order = np.lexsort((doc[which], key))
-                        key, place, which, length = key[order], place[order], which[order], length[order]
-                        head = np.append(True, key[1:] != key[:-1])
-                        later = doc[which] > doc[which][head][np.cumsum(head) - 1]
-                        s = place - bounds[found["text"][which]]
-                        yield from cuts(uid[which][later], s[later], s[later] + WINDOW, uid_buckets)
-                        key, place, which, length = key[~later], place[~later], which[~later], length[~later]
-                    else:
-                        key, place, length = mix64(found["k"][which]), found["first"][which], size[which]
-                    if len(which):
-                        rows = np.empty(len(which), STRING)
-                        rows["key"], rows["doc"], rows["uid"], rows["start"], rows["size"] = key, doc[which], uid[which], place - bounds[found["text"][which]], length
-                        to = (key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
-                        order = np.lexsort((key, to))
-                        heads = np.flatnonzero(np.append(True, to[order][1:] != to[order][:-1]))
-                        data = []
-                        for part in np.split(order, heads[1:]):
-                            data.append(np.uint32(len(part)).tobytes() + rows[part].tobytes() + x[ragged(place[part], length[part])].tobytes())
-                        yield packs(to[order][heads].astype(np.int64), 1, data)
+                gone.append((uid[whole], start[whole], (start + size)[whole]))
+                which = np.flatnonzero(mine == COMPARED)
+                held[COMPARED].append(string_rows(x, mix64(found["k"][which]), doc[which], uid[which], found["first"][which], start[which], size[which]))
+                which = np.flatnonzero(mine == BY_WINDOW)  # a string for each window
+                count = found["last"][which] - found["first"][which] + 1
+                p, w = ragged(found["first"][which], count), found["w"][ragged(found["within"][which], count)]
+                which = np.repeat(which, count)
+                rows, data = string_rows(x, mix64(w), doc[which], uid[which], p, p - bounds[found["text"][which]], np.full(len(p), WINDOW))
+                kept_, later = smallest(rows)
+                gone.append((rows["uid"][later], rows["start"][later], rows["start"][later] + WINDOW))
+                held[BY_WINDOW].append((rows[kept_], data.reshape(-1, WINDOW)[kept_].ravel()))
+                held_size += sum(r.nbytes + d.nbytes for r, d in (held[COMPARED][-1], held[BY_WINDOW][-1]))
+                gone_n += int(whole.sum()) + len(later)
+                if held_size > HELD_BYTES:
+                    yield from strings()
+                    held_size = 0
+                if gone_n > HELD_CUTS:
+                    yield from cuts(*map(np.concatenate, zip(*gone, strict=True)), uid_buckets)
+                    gone, gone_n = [], 0
+        yield from strings()
+        yield from cuts(*map(np.concatenate, zip(*gone, strict=True)), uid_buckets)
 
     return met.mapInArrow(lambda batches: trimmed(run(batches)), PACKS)
 
 
+def string_rows(x: np.ndarray, key: np.ndarray, doc: np.ndarray, uid: np.ndarray, place: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What is told of strings, and their bytes, which begin at `place` in `x`."""
+    rows = np.empty(len(key), STRING)
+    rows["key"], rows["doc"], rows["uid"], rows["start"], rows["size"] = key, doc, uid, start, size
+    return rows, x[ragged(place, size)]
+
+
+def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    return (np.concatenate([r for r, _ in parts]), np.concatenate([d for _, d in parts])) if parts else (np.zeros(0, STRING), np.zeros(0, np.uint8))
+
+
+def smallest(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows are of the smallest id of their key, and which are not."""
+    order = np.lexsort((rows["doc"], rows["key"]))
+    key, doc = rows["key"][order], rows["doc"][order]
+    head = np.append(True, key[1:] != key[:-1])[: len(key)]
+    later = doc > doc[head][np.cumsum(head) - 1]
+    return order[~later], order[later]
+
+
+def dealt_strings(rows: np.ndarray, data: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    if not len(rows):
+        return
+    to = (rows["key"] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+    size = rows["size"].astype(np.int64)
+    at = np.cumsum(size) - size
+    order = np.lexsort((rows["key"], to))
+    heads = np.flatnonzero(np.append(True, to[order][1:] != to[order][:-1]))
+    out = [np.uint32(len(part)).tobytes() + rows[part].tobytes() + data[ragged(at[part], size[part])].tobytes() for part in np.split(order, heads[1:])]
+    yield packs(to[order][heads].astype(np.int64), 1, out)
+
+
 def cuts(uid: np.ndarray, start: np.ndarray, end: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
     """Removed runs by uid, those that touch made one."""
     if not len(uid):
@@ -437,11 +515,13 @@ def repeats(rows: np.ndarray, x: np.ndarray) -> Iterator[tuple[np.ndarray, np.nd
     bytes_n = np.bincount(lane, size[one] + 1).astype(np.int64) + 1
     first_of = np.flatnonzero(k_head)
     todo = np.flatnonzero(lane_n > 1)
-    todo = todo[np.argsort(bytes_n[todo], kind="stable")]
+    todo = todo[np.lexsort((bytes_n[todo], lane_n[todo] > MANY))]
     gone_string, gone_at = [], []
     total = np.cumsum(bytes_n[todo])
     while len(todo):  # lanes of about one length at a time
         n = max(1, int(np.searchsorted(total - (total[0] - bytes_n[todo[0]]), SORTED_BYTES)))
+        many = lane_n[todo[:n]] > MANY  # those come last
+        n = n if many[0] else int(n - many.sum())
         part, todo, total = todo[:n], todo[n:], total[n:]
         members = ragged(first_of[part], lane_n[part])
         length = size[one[members]]
@@ -455,7 +535,7 @@ def repeats(rows: np.ndarray, x: np.ndarray) -> Iterator[tuple[np.ndarray, np.nd
         windows = length - WINDOW + 1
         places = ragged(starts, windows)
         of[places] = np.repeat(np.arange(len(members)), windows)
-        sa = suffix_arrays(text, bounds)
+        sa = ordered_to(text, bounds, WINDOW) if many[0] else suffix_arrays(text, bounds)
         sa = sa[of[sa] >= 0]
         same = np.zeros(len(sa), bool)
         span = np.arange(WINDOW)
