@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 import re
 
@@ -10,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trailmap.llm import components, line_dedup, ngram_join, suffix_array, suffix_dedup
+from trailmap.llm import common, components, line_dedup, ngram_join, suffix_array, suffix_dedup
 
 DOCS = "doc_id long, text string"
 WORD = re.compile("[^ \t-\r]+")
@@ -61,6 +62,26 @@ def test_ngram_join(spark, monkeypatch, n, num, few):
     assert rows_of(ngram_join.linked_classes(docs, n, num, 100)) == linked(rows, n, num, 100)
 
 
+def test_ngram_join_sends_signatures_in_rounds_and_leaves_little_behind(spark, monkeypatch):
+    g = random.Random(5)
+    vocab = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join(g.choice(vocab) for _ in range(60))) for i in range(90)]
+    rows += [(100 + i, t.replace(t.split()[3], "other", 1)) for i, t in rows[:40]]
+    docs = spark.createDataFrame(rows, DOCS)
+    monkeypatch.setattr(ngram_join, "BUCKET", 500)
+    monkeypatch.setattr(ngram_join, "ROUND", 4)
+    sent, signed = [], ngram_join.signed
+    monkeypatch.setattr(ngram_join, "signed", lambda *a: sent.append(signed(*a).cache()) or sent[-1])
+    before = set(common.written(spark))
+    assert rows_of(ngram_join.linked_classes(docs, 4, 85, 100)) == linked(rows, 4, 85, 100)
+    n = [sum(len(ngram_join.unpack_signed(bytes(r["rows"]))) for r in x.collect()) for x in sent]
+    assert len(n) == ngram_join.ROUNDS and max(n) < sum(n) / 2
+    left = {p.rsplit("/", 1)[-1].split("-")[1] for p in set(common.written(spark)) - before if os.path.isdir(p.removeprefix("file:"))}
+    assert left <= {"described", "edges"}
+    for x in sent:
+        x.unpersist()
+
+
 def test_ngram_join_of_nothing_and_of_rows_without_id(spark):
     assert ngram_join.linked_classes(spark.createDataFrame([], DOCS)).count() == 0
     got = rows_of(ngram_join.linked_classes(spark.createDataFrame([(None, "a b c d e"), (5, "a b c d e"), (5, "a b c d e"), (None, "q")], DOCS)))

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from trailmap.llm import chat_format, decontaminate, queries, source_mix, token_store, toxicity
+from trailmap.llm import chat_format, common, decontaminate, queries, source_mix, token_store, toxicity
 from trailmap.llm.common import trim_driver, word_codes
 
 FOLDER = "/root/testdata/sf0.001"
@@ -389,6 +389,19 @@ def test_pipeline_keeps_columns_and_clean_documents(spark, tmp_path):
     assert sorted(seen["mix"]) == sorted(seen["tokens"]) and set(seen["mix"]) <= set(seen["leaks"])
 
 
+def test_a_stage_drops_what_the_one_before_wrote_on_its_way(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    there = lambda kind: {p for p in common.written(spark) if f"trailmap-{kind}-" in p}
+    before = there("described")
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(30))) for i in range(9)], "doc_id long, text string")
+    lazy = pipeline.without_near_copies(spark, docs, "")
+    own = there("described") - before
+    again = pipeline.without_near_copies(spark, lazy, "")  # its plan leads through the tables of the one before
+    assert own and own <= there("described") and again.count() == 9
+    pipeline.without_near_copies(spark, docs, "")
+    assert len(there("described") - before - own) == 1
+
+
 def test_near_copies_keep_unlike_texts_of_one_id(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     text = lambda c: " ".join(f"{c}{i}" for i in range(40))

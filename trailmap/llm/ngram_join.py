@@ -23,6 +23,7 @@ gives an empty result; further columns of the input are not looked at.
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .common import hash_words, in_buckets, materialise, mix64, ragged, text_chunks, trimmed, word_codes
+from .common import delete, hash_words, in_buckets, materialise, mix64, path_of, ragged, text_chunks, trimmed, word_codes
 
 #: Ratio of a size band's ends.
 BAND = 1.2
@@ -53,6 +54,12 @@ SIGNED_AT_ONCE = 1_500_000
 SENT_AT_ONCE = 64 << 20
 #: Documents of a larger group that are compared in a task with as many others.
 BLOCK = 2048
+#: Shingles for each bucket.
+BUCKET = 2_000_000
+#: Buckets beyond which signatures are made and sent in rounds, each for a range of buckets; texts are read once for each round.
+ROUND, ROUNDS = 24, 3
+#: Bits that tell signatures of a bucket apart, at least. Unlike signatures that are cut to the same bits add candidates, no more.
+TOLD_APART = 38
 #: Documents of a signature in a task beyond which they don't all go to its bucket.
 MANY = 1024
 
@@ -207,14 +214,16 @@ def described(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
 SIGNED = np.dtype([("sig", "<u8"), ("doc", "<i8"), ("size", "<i4")])
 
 
-def signed(docs: DataFrame, n: int, num: int, den: int, buckets: int) -> DataFrame:
-    """(bucket, rows): signatures by range, packed. Of equal sets in a task, the first one signs for all.
+def signed(docs: DataFrame, n: int, num: int, den: int, buckets: int, low: int = 0, high: int | None = None) -> DataFrame:
+    """(bucket, rows): signatures by range, packed; of the buckets low .. high - 1, counted from low. Of equal sets in a task, the first one signs for all.
 
     Where a task has more than MANY documents for a signature, only its first goes to the
     signature's own bucket, with a negative size as mark. The others go to buckets by their
     id, as pairs with it, so that no bucket has more than MANY rows of a signature from a task.
     """
 
+    high = buckets if high is None else high
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, int] = {}
         met: set[bytes] = set()
@@ -225,16 +234,19 @@ def signed(docs: DataFrame, n: int, num: int, den: int, buckets: int) -> DataFra
                     continue
                 if len(met) < 1_000_000:
                     met.add(d)
-                sigs = signatures(s, num, den)
+                sigs = shortened(signatures(s, num, den), buckets)
+                if high - low < buckets:
+                    to = sig_bucket(sigs, buckets)
+                    sigs = sigs[(to >= low) & (to < high)]
                 rows = np.empty(len(sigs), SIGNED)
                 rows["sig"], rows["doc"], rows["size"] = sigs, doc, len(s)
                 held.append(rows)
                 count += len(rows)
             if count > SIGNED_AT_ONCE:
-                yield from dealt(np.concatenate(held), buckets)
+                yield from dealt(np.concatenate(held), buckets, low, high)
                 held, count = [], 0
         if count:
-            yield from dealt(np.concatenate(held), buckets)
+            yield from dealt(np.concatenate(held), buckets, low, high)
 
     return docs.mapInArrow(lambda batches: trimmed(run(batches)), "bucket int, kind int, rows binary")
 
@@ -277,7 +289,13 @@ def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, np.diff(np.append(at, len(values)))
 
 
-def dealt(rows: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+def shortened(sigs: np.ndarray, buckets: int) -> np.ndarray:
+    """Signatures with as many leading bytes as tell those of a bucket apart, the rest zero, which takes no room once compressed."""
+    drop = max(0, 64 - 8 * -(-(TOLD_APART + buckets.bit_length()) // 8))
+    return sigs >> np.uint64(drop) << np.uint64(drop)
+
+
+def dealt(rows: np.ndarray, buckets: int, low: int, high: int) -> Iterator[pa.RecordBatch]:
     rows = rows[np.lexsort((rows["doc"], rows["sig"]))]
     at, length = runs(rows["sig"])
     many = np.repeat(length > MANY, length)
@@ -288,12 +306,12 @@ def dealt(rows: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
         pairs = np.empty(len(led), PAIRED)
         pairs["sig"], pairs["b"] = led["sig"], led["doc"]
         pairs["a"] = np.repeat(rows["doc"][at], length)[many & ~first]
-        to = (mix64(led["doc"].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        to = (mix64(led["doc"].astype(np.uint64)) % np.uint64(high - low)).astype(np.int64)
         order = np.argsort(to, kind="stable")
         yield packed(to[order], 1, pairs[order], lambda rows: rows.tobytes())
         rows["size"][many & first] *= -1
         rows = rows[~many | first]
-    yield packed(((rows["sig"] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64), 0, rows, pack_signed)
+    yield packed(sig_bucket(rows["sig"], buckets) - low, 0, rows, pack_signed)
 
 
 PAIRED = np.dtype([("sig", "<u8"), ("a", "<i8"), ("b", "<i8")])
@@ -522,8 +540,8 @@ def apart(doc: np.ndarray, comp: np.ndarray, size: np.ndarray, ends: np.ndarray,
 PAIRS_AT_ONCE = 100_000
 
 
-def sig_bucket(members: np.ndarray, buckets: int) -> np.ndarray:
-    return ((members["sig"] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+def sig_bucket(sigs: np.ndarray, buckets: int) -> np.ndarray:
+    return ((sigs >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
 def nearest_forest(pairs: np.ndarray, far: np.ndarray, comp_of: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -559,7 +577,7 @@ def across_packed(groups: DataFrame, labels: DataFrame, rows: DataFrame, buckets
         for batch in batches:
             for data in batch.column("group").to_pylist():
                 members = np.frombuffer(data, MEMBER)
-                at = sig_bucket(members, buckets)
+                at = sig_bucket(members["sig"], buckets)
                 members = members[(at >= low) & (at < high)]
                 members = members[np.argsort(np.mod(members["doc"], buckets), kind="stable")]
                 at, n = runs(np.mod(members["doc"], buckets))
@@ -582,7 +600,7 @@ def across_packed(groups: DataFrame, labels: DataFrame, rows: DataFrame, buckets
                     order = np.argsort(np.array(ids, np.int64), kind="stable")
                     known = np.array(ids, np.int64)[order]
                 members = np.frombuffer(data, MEMBER)
-                to = sig_bucket(members, buckets)
+                to = sig_bucket(members["sig"], buckets)
                 by = np.argsort(to, kind="stable")
                 at, length = runs(to[by])
                 cut = []
@@ -662,15 +680,26 @@ def linked_classes(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, i
     """
     own = cut_text(docs, ident, text)
     rows = materialise(described(own, n, num, den), "described")
+    passing = []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        """Like materialise, until the classes are found."""
+        passing.append(materialise(df, name))
+        return passing[-1]
+
     total, sketched_bytes, described_rows = rows.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)), F.coalesce(F.sum(F.length("sketch")), F.lit(0)), F.count("sketch")).first()
-    buckets = max(8, int(total // 2_000_000))
-    found = materialise(matched(signed(own, n, num, den, buckets), buckets, num, den), "matched")
-    met = found.where("a < b").groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= SHARED).select("a", "b")
-    near = materialise(sketched(met, rows, num, den), "near")
+    buckets = max(8, int(total // BUCKET))
+    rounds = min(ROUNDS, 1 + buckets // ROUND)
+    ends = [buckets * i // rounds for i in range(rounds + 1)]
+    union = functools.partial(functools.reduce, DataFrame.unionAll)
+    found = union([kept(matched(signed(own, n, num, den, buckets, low, high), high - low, num, den), "matched") for low, high in itertools.pairwise(ends)])
+    dealt_to = F.pmod(F.xxhash64("a", F.lit(1)), F.lit(rounds))
+    met = lambda i: found.where("a < b").where(dealt_to == i).groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= SHARED).select("a", "b")
+    near = union([kept(sketched(met(i), rows, num, den), "near") for i in range(rounds)])
     forest = near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     named = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("named"))
     same = rows.where("digest IS NOT NULL AND doc_id IS NOT NULL").join(named, "digest").where("doc_id > named").select(F.col("doc_id").alias("a"), F.col("named").alias("b"))
-    links = materialise(verified(forest, own, n, num, den).unionAll(same), "links")
+    links = kept(verified(forest, own, n, num, den).unionAll(same), "links")
     labels = components(links, "a", "b")
     tried = forest
     packs = found.where("group IS NOT NULL").select("group")
@@ -683,19 +712,21 @@ def linked_classes(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, i
         members = packs.agg(F.coalesce(F.sum(F.length("group")), F.lit(0))).first()[0] // MEMBER.itemsize
         sent = members * (SIG_OF.itemsize + TOLD.itemsize + sketched_bytes // max(1, described_rows))
         steps = min(buckets, 1 + int(sent // max(SENT_AT_ONCE, 4 * total))) if members else 0
-        parts = [materialise(across_packed(packs, labels, rows, buckets, num, den, buckets * i // steps, buckets * (i + 1) // steps, one), "across") for i in range(steps)]
-        said = functools.reduce(DataFrame.unionAll, parts) if parts else found.select("a", "b", "group").limit(0)
+        parts = [kept(across_packed(packs, labels, rows, buckets, num, den, buckets * i // steps, buckets * (i + 1) // steps, one), "across") for i in range(steps)]
+        said = union(parts) if parts else found.select("a", "b", "group").limit(0)
         packs = said.where("group IS NOT NULL").select("group")
         open_ = said.where("a < b").select("a", "b").distinct()
         if one:
             open_ = open_.unionAll(left(near).groupBy("b").agg(F.max("a").alias("a")).select("a", "b")).distinct()
         else:
             open_ = open_.unionAll(left(near)).unionAll(across(groups, labels, rows, num, den)).distinct()
-        open_ = materialise(open_.join(tried, ["a", "b"], "left_anti"), "open")
-        more = materialise(verified(open_, own, n, num, den), "more-links")
+        open_ = kept(open_.join(tried, ["a", "b"], "left_anti"), "open")
+        more = kept(verified(open_, own, n, num, den), "more-links")
         tried = tried.unionAll(open_)
         if not more.isEmpty():
             links = links.unionAll(more)
             labels = components(links, "a", "b")
+    for table in passing:
+        delete(own.sparkSession, path_of(table))
     of_class = named.join(labels, named["named"] == labels["doc_id"], "left").select("digest", F.coalesce("component", "named").alias("component"))
     return rows.join(of_class, "digest", "left").select(F.col("doc_id").alias(ident), "n_shingles", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
